@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import quality, simhash
+from flowlens.llm import mixing, quality, secrets, simhash
 from flowlens.llm.common import table
 
 
@@ -21,8 +21,43 @@ def op4_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP6_SQL = r"""
+WITH rows AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '/', md5(coalesce(text, '')))) AS k
+  FROM documents),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS r FROM sizes),
+weighed AS (SELECT *, (r - 1) % 3 + 1 AS w, 3 * source_size AS cap FROM ranked),
+levels AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS BIGINT) - coalesce(CAST(sum(cap) OVER (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0))
+         / CAST(sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level
+  FROM weighed),
+fixed AS (SELECT arg_min(level, {'a': cap / w, 'r': r}) AS level FROM levels WHERE level * w <= cap),
+aims AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), fixed.level * w) AS target FROM levels, fixed),
+placed AS (
+  SELECT rows.*, source_size, target,
+         CAST(sum(size) OVER (PARTITION BY rows.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS place
+  FROM rows JOIN aims ON rows.source IS NOT DISTINCT FROM aims.source)
+SELECT doc_id, size, source_size, target,
+       CAST(list_sum(list_transform([0, 1, 2], lambda e: greatest(0, least(place + size + e * source_size, CAST(floor(target) AS BIGINT)) - (place + e * source_size)))) AS BIGINT) AS taken
+FROM placed
+"""
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash_near_dup": op4_simhash_near_dup,
+    "op6_mixing": op6_mixing,
+    "op9_secret_scan": op9_secret_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL}

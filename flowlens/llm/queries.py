@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import mixing, quality, secrets, simhash
+from flowlens.llm import bpe, mixing, pieces, quality, secrets, simhash
 from flowlens.llm.common import table
 
 
+def tokenizer(name: str) -> str:
+    """Path of an installed public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality(docs, table(spark, sf_dir, "labels")).drop("text")
@@ -50,14 +61,20 @@ FROM placed
 """
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash_near_dup": op4_simhash_near_dup,
     "op6_mixing": op6_mixing,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_secret_scan": op9_secret_scan,
 }
 ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL}

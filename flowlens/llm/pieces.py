@@ -24,6 +24,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Space marks and what follows them up to the next cut.
@@ -187,5 +188,5 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_texts:
-        schema = schema.add("ids", "array<int>").add("decoded", "string")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
     return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, mixing, pieces, quality, secrets, simhash
+from flowlens.llm import bpe, flac, langid, mixing, pieces, quality, secrets, simhash
 from flowlens.llm.common import table
 
 
@@ -65,6 +65,16 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, *langid.learn(docs))
+    return found.select("doc_id", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", F.array_join("languages", ",").alias("languages"))
+
+
+def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.read_back(flac.media(table(spark, sf_dir, "documents")))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -75,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dup": op4_simhash_near_dup,
     "op6_mixing": op6_mixing,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
+    "op10_flac": op10_flac,
 }
 ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL}

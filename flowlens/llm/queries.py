@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, flac, langid, mixing, pieces, quality, secrets, simhash
+from flowlens.llm import bpe, flac, html, langid, licences, mixing, pieces, quality, secrets, simhash
 from flowlens.llm.common import table
 
 
@@ -18,6 +18,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.learn(pages))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -32,6 +37,12 @@ def op4_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    family = F.transform("licences", lambda x: x["family"])
+    return found.select("doc_id", "n_windows", F.size("licences").cast("long").alias("n_licences"), F.array_join(F.array_sort(F.array_distinct(family)), ",").alias("families"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -80,9 +91,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash_near_dup": op4_simhash_near_dup,
+    "op5_licence_scan": op5_licence_scan,
     "op6_mixing": op6_mixing,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_language_id": op8_language_id,

@@ -1,0 +1 @@
+"""flowlens: off-exchange trading flow analytics as lazy Spark DataFrame operators."""

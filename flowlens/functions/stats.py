@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def t_two_sided(t: np.ndarray, df: np.ndarray, steps: int = 4000) -> np.ndarray:
@@ -24,7 +25,7 @@ def t_two_sided(t: np.ndarray, df: np.ndarray, steps: int = 4000) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of Student's t; meant for aggregated rows."""
     return pd.Series(t_two_sided(t.to_numpy(float), df.to_numpy(float))).replace({np.nan: None}).astype(float)

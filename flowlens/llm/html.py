@@ -73,6 +73,7 @@ class Event(NamedTuple):
     block: int
     text: str
     at: int  # where it begins in the page
+    inside: str | None  # the kind of core container around it, also around boilerplate
 
 
 def role_of(name: str, attributes: str) -> str | None:
@@ -95,21 +96,21 @@ def events(page: str) -> list[Event]:
     """Words and tags of a page with their roles; character references are decoded."""
     out: list[Event] = []
     stack: list[tuple[str, str | None]] = []
-    role, block, at = "body", 0, 0
+    role, inside, block, at = "body", None, 0, 0
 
-    def current() -> str:
+    def current() -> tuple[str, str | None]:
         inside = None
         for _, r in stack:
             if r in BOILERPLATE and not (r == "header" and inside in ("article", "main")):
-                return r
+                return r, inside
             if r in LEVELS and (inside is None or LEVELS.index(r) < LEVELS.index(inside)):
                 inside = r
-        return inside or "body"
+        return inside or "body", inside
 
     def say(upto: int) -> None:
         text = html.unescape(page[at:upto])
         if text:
-            out.append(Event("word", role, len(text.split()), block, text, at))
+            out.append(Event("word", role, len(text.split()), block, text, at, inside))
 
     for m in TAG.finditer(page):
         if m.start() < at:
@@ -128,15 +129,15 @@ def events(page: str) -> list[Event]:
         if name in BLOCK_TAGS:
             block += 1
         elif name in SPACING:
-            out.append(Event("space", role, 0, block, " ", m.start()))
+            out.append(Event("space", role, 0, block, " ", m.start(), inside))
         if not closing and name not in VOID:
             own = role_of(name, attributes)
             if name in BLOCK_TAGS or own:
                 if name in ("p", "li", "option", "tr", "dt", "dd") and stack and stack[-1][0] == name:
                     stack.pop()
                 stack.append((name, own))
-                role = current()
-        out.append(Event(name, role, 1, block, "", m.start()))
+                role, inside = current()
+        out.append(Event(name, role, 1, block, "", m.start(), inside))
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -144,17 +145,17 @@ def events(page: str) -> list[Event]:
                     break
                 if stack[k][1] in ("article", "main") and name not in ("body", "html", "article", "main"):
                     break  # a stray end tag does not close the article around it
-            role = current()
+            role, inside = current()
     say(len(page))
     return out
 
 
 def places(found: list[Event]) -> list[str]:
-    """Each event's place: core, rest, or the kind of boilerplate."""
+    """Each event's place: core (open, if only a class or nothing marks it), rest, nested boilerplate, or its kind."""
     roles = {e.role for e in found}
     level = next((x for x in LEVELS if x in roles), "body")
     name = {level: "core" if level in ("article", "main") else "open"}
-    return [e.role if e.role in BOILERPLATE else name.get(e.role, "rest") for e in found]
+    return ["nested" if e.role in BOILERPLATE and e.inside == level else e.role if e.role in BOILERPLATE else name.get(e.role, "rest") for e in found]
 
 
 def feature(e: Event, place: str) -> str:
@@ -193,9 +194,11 @@ def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
 
 
 def weight(weights: dict[str, float], name: str) -> float:
+    kind, place = name.split("@")
+    if place == "nested":
+        return 0.0  # left out of the text, and no reason to end the region
     if name in weights:
         return weights[name]
-    kind, place = name.split("@")
     if kind == "space":
         return 0.0
     if kind == "word":

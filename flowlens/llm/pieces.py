@@ -32,8 +32,8 @@ SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}*[^\\W\\d_¹²³¼-¾]+|{SPACE}*(?:[^\\w{SPACE}]|[\\d_¹²³¼-¾])+|{SPACE}+")
 WHOLE = re.compile(r"(?s).+")
 #: Segments and their characters remembered by a worker; when there are more, it starts afresh.
-REMEMBERED = 500_000
-REMEMBERED_CHARS = 16_000_000
+REMEMBERED = 150_000
+REMEMBERED_CHARS = 8_000_000
 
 
 class Vocabulary:

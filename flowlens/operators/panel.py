@@ -94,12 +94,6 @@ def drop_empty(panel: DataFrame, value: str, part: str = "symbol") -> DataFrame:
     return panel.withColumn("_n", F.count(value).over(W.partitionBy(part))).filter("_n > 0").drop("_n")
 
 
-def sampled(points: DataFrame, order: list[str], most: int = 7000) -> DataFrame:
-    """Every k-th point in order, k = ceil(n / most): systematic, not random. Order has to be bounded by the caller's plot."""
-    k = F.ceil(F.count("*").over(W.partitionBy()) / most)
-    return points.withColumn("_i", F.row_number().over(W.orderBy(*order)) - 1).withColumn("_k", k).filter("_i % _k = 0").drop("_i", "_k")
-
-
 def search(panel: DataFrame, query: str) -> DataFrame:
     """Symbols that contain the query, upper-cased and trimmed."""
     return panel.filter(F.col("symbol").contains(query.strip().upper()))

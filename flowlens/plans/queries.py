@@ -504,6 +504,38 @@ def backtest_stats(spark, d):
     return out.select("days", *(r6(c).alias(c) for c in ("total", "max_drawdown", "win", "avg_positions", "invested", "cagr", "sharpe")))
 
 
+@query(
+    "monotonicity",
+    POINTS_SQL
+    + """, b AS (SELECT *, CAST(floor((10 * row_number() OVER (ORDER BY x, symbol, t) - 1) / count(*) OVER ()) + 1 AS INTEGER) AS bucket FROM pts),
+m AS (SELECT bucket, round(avg(y), 9) AS y FROM b GROUP BY bucket), r AS (SELECT rank() OVER (ORDER BY bucket) AS rx, rank() OVER (ORDER BY y) AS ry FROM m)
+SELECT count(*) AS n, round(corr(rx, ry), 6) + 0.0 AS monotonicity FROM r""",
+)
+def monotonicity(spark, d):
+    buckets = R.deciles(points(spark, d)).withColumn("y_mean", F.round("y_mean", 9))
+    return R.monotonicity(buckets, "bucket", "y_mean").select("n", r6("monotonicity").alias("monotonicity"))
+
+
+@query("sampled_points", POINTS_SQL + ", n AS (SELECT *, row_number() OVER (ORDER BY symbol, t) - 1 AS i, count(*) OVER () AS n FROM pts) SELECT symbol, t, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM n WHERE i % CAST(ceil(n / 500) AS BIGINT) = 0")
+def sampled_points(spark, d):
+    return R.sampled(points(spark, d), ["symbol", "t"], 500).select("symbol", "t", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query(
+    "residual_grid",
+    RESIDUAL_SQL
+    + """, a AS (SELECT symbol, arg_max(diff, t) FILTER (diff IS NOT NULL) AS diff, arg_max(reg, t) FILTER (reg IS NOT NULL) AS reg, count(reg) = 0 AS fallback FROM res GROUP BY symbol),
+w AS (SELECT p_brand AS symbol, CAST(sum(CAST(p_retailprice AS DECIMAL(18, 2))) AS DOUBLE) AS w FROM part GROUP BY ALL), x AS (SELECT symbol, w / sum(w) OVER () * 100 AS weight FROM w)
+SELECT symbol, round(diff, 6) + 0.0 AS diff, round(CASE WHEN fallback THEN diff ELSE reg END, 6) + 0.0 AS shown, fallback, abs(round(diff, 6)) >= 0.12 AS hot, round(weight, 6) + 0.0 AS weight FROM a LEFT JOIN x USING (symbol)""",
+)
+def residual_grid(spark, d):
+    res = I.residuals(A.grid(spark, d), bench(spark, d))
+    shown = P.prefer(res, "reg", "diff", "shown")
+    own = P.latest(shown, "diff", "diff").join(P.latest(shown, "shown", "shown"), "symbol").join(shown.select("symbol", "fallback").distinct(), "symbol")
+    hot, _ = I.flags(r6("diff"), F.lit(0.0))
+    return own.join(A.weights(spark, d), "symbol", "left").select("symbol", r6("diff").alias("diff"), r6("shown").alias("shown"), "fallback", hot.alias("hot"), r6("weight").alias("weight"))
+
+
 @query("bootstrap_ci")
 def bootstrap_ci(spark, d):
     return B.block_bootstrap(points(spark, d), 21)

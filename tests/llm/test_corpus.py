@@ -40,6 +40,25 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == sum(r["kept"] for r in rows)
 
 
+def test_ratios_grow_with_the_corpus(spark, docs, texts, labels):
+    assert quality.BUCKETS >= 1 << 16 and [quality.bucket_count(n) for n in (0, 10**6, 10**8, 10**10)] == [1 << 16, 1 << 16, 1 << 19, 1 << 22]
+    # of the labels of odd hash only the first is held back; every other trusted document counts
+    table = spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r["doc_id"]: r["score"] for r in quality.quality(docs.select("doc_id", "text"), table, max_labels=1).collect()}
+    grams = {i: brute.gram_buckets(t, quality.BUCKETS) for i, t in texts.items()}
+    order = {i: brute.signed(brute.spark_xx(i, 42)) for i, (q, toxic) in labels.items() if q == 0 or (q, toxic) == (1, 0)}
+    held = min((i for i in order if order[i] % 2), key=order.get)
+    raw, trusted = collections.Counter(), collections.Counter()
+    for i, g in grams.items():
+        raw.update(g)
+        if labels.get(i) == (1, 0) and i != held:
+            trusted.update(g)
+    n_raw, n_trusted = raw.total() + quality.BUCKETS, trusted.total() + quality.BUCKETS
+    for i, g in grams.items():
+        want = sum(np.log((trusted[b] + 1) / n_trusted) - np.log((raw[b] + 1) / n_raw) for b in g) / len(g) if g else 0.0
+        assert got[i] == pytest.approx(want, abs=2e-6)
+
+
 @pytest.mark.parametrize("n", [0, 1, 4, 5, 6, 30])
 def test_repeats_of_short_texts(spark, n):
     rows = [(i, t) for i, t in enumerate([" ".join(["a"] * n), " ".join("abcde"[k % 5] for k in range(n)), "\n".join(["x y"] * n)])]

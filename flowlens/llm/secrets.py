@@ -2,15 +2,18 @@
 
 A candidate is a long run of key characters next to a sensitive word.  It is
 compressed twice with a raw zstandard dictionary made of common identifiers
-and of the code that surrounds it: the surroundings alone, and with the candidate
-put back.  The difference is its marginal size.  Words, paths and repeated
+and of the code that surrounds it, copies of itself taken out: the surroundings
+alone, and with the candidate put back.  The difference is its marginal size.  Words, paths and repeated
 names cost a few bytes; what can't be predicted from the identifiers or
-the surroundings costs nearly its own length in bytes, and is reported.
+the surroundings costs nearly its own length in bytes, and is reported; of a
+small alphabet, such as digits, a smaller share of the length is enough.  The
+lines of a private key's block all stand beside a sensitive word.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,7 +29,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 #: Words beside which a candidate is weighed, and common identifiers that never make one new.
-CONTEXT = re.compile(r"pass(?:word|wd|phrase)|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization|signature|auth[_-]?key", re.I | re.A)
+CONTEXT = re.compile(r"pass(?:word|wd|phrase)|secret|token|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|credential|bearer|authorization|signature|auth[\x20_-]?key", re.I | re.A)
 IDENTIFIERS = (
     "password passwd passphrase secret token api_key apikey access_key private_key credential bearer authorization signature client_id client_secret "
     "refresh_token access_token session_id user_name username account_id public_key begin end certificate request response content_type application "
@@ -38,6 +41,9 @@ IDENTIFIERS = (
 #: In lower case, one of these is in every sensitive word.
 CLUES = ("passw", "passp", "secret", "token", "key", "credential", "bearer", "authorization", "signature")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
+#: A private key in armour, up to its end line or the text's end; the short last line that may follow a full one.
+BLOCK = re.compile(r"-----BEGIN\x20[A-Z0-9\x20]*PRIVATE\x20KEY[A-Z\x20]*-----.*?(?=-----|\Z)", re.S)
+LAST = re.compile(r"\s+([A-Za-z0-9+/=]{1,15})(?=\s*(?:-----END|\Z))")
 REACH = 48
 AROUND = 256
 NOVELTY = 0.75
@@ -63,16 +69,49 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
     return len(pack(around + candidate.encode())) - len(pack(around))
 
 
+def without(value: str, text: str, a: int, b: int) -> tuple[str, str]:
+    """The ``AROUND`` characters before ``a`` and after ``b``, copies of ``value`` blanked out, also those cut by the ends."""
+    blank, wide = " " * len(value), AROUND + len(value)
+    return text[max(0, a - wide) : a].replace(value, blank)[-AROUND:], text[b : b + wide].replace(value, blank)[:AROUND]
+
+
+def alphabet_share(value: str) -> float:
+    """Bits of a letter of the candidate's alphabet over the 6 of base64, 1 at most."""
+    if re.fullmatch("[0-9A-F]+|[0-9a-f]+", value):
+        size = 16 if re.search("[A-Fa-f]", value) else 10
+    else:
+        size = sum(n for n, x in ((10, "[0-9]"), (26, "[a-z]"), (26, "[A-Z]"), (7, "[^0-9A-Za-z]")) if re.search(x, value))
+    return min(1.0, math.log2(size) / 6)
+
+
+def keylike(value: str) -> bool:
+    """Letters and digits, digits alone, or letters alone that do not look like words or names of words.
+
+    Compression can't tell a rare word from a key, so letters alone must change
+    their case as random ones do, or, of one case, have few vowels.
+    """
+    if re.search("[0-9]", value):
+        return True
+    letters = value.rstrip("=")
+    if not letters.isalpha():
+        return False
+    body = letters[1:]
+    if body.islower() or body.isupper():
+        return 10 * len(re.findall("[aeiouy]", letters, re.I)) < 3 * len(letters)
+    return 20 * sum(x.isupper() != y.isupper() for x, y in zip(letters, body)) >= 7 * len(body)
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: float = NOVELTY) -> list[tuple[int, int, int]]:
     """Candidates near a sensitive word, outside ``taken``, whose marginal bytes reach ``novelty`` of their length.
 
     A sensitive word may end up to ``REACH`` characters before the candidate or
-    begin up to ``REACH`` after it.  A candidate has letters and digits.
+    begin up to ``REACH`` after it; in a private key's block it always does.
     """
     low = text.lower()
     if not any(x in low for x in CLUES):
         return []
-    marks = [m.span() for m in CONTEXT.finditer(text)]
+    blocks = [m.span() for m in BLOCK.finditer(text)] if "-----BEGIN" in text else []
+    marks = sorted([m.span() for m in CONTEXT.finditer(text)] + blocks)
     taken, out, k, t = sorted(taken), [], 0, 0
     for m in CANDIDATE.finditer(text) if marks else ():
         a, b = m.span()
@@ -83,8 +122,12 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: float = N
         if (a and text[a - 1] == "@") or k == len(marks) or marks[k][0] > b + REACH or any(s < b and a < e for s, _, e in taken[t : t + 3]):
             continue
         value = m[0]
-        if re.search("[0-9]", value) and re.search("[A-Za-z]", value) and marginal_bytes(value, text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= novelty * len(value):
+        inside = any(s <= a < e for s, e in blocks)
+        if (inside or keylike(value)) and marginal_bytes(value, *without(value, text, a, b)) >= novelty * alphabet_share(value) * len(value):
             out.append((a, 3, b))
+            last = LAST.match(text, b) if inside else None
+            if last:
+                out.append((last.start(1), 3, last.end(1)))
     return out
 
 

@@ -112,6 +112,23 @@ def test_novelty_reports_keys_and_not_names():
     assert secrets.marginal_bytes("q8Zt0LmX2vB7nR4kY9sW1cHd", "q8Zt0LmX2vB7nR4kY9sW1cHd ", "") < 12 and again
 
 
+def test_novelty_reports_copies_key_blocks_and_small_alphabets():
+    found = lambda t: [t[a:b] for a, k, b in secrets.find(t)[1] if k == 3]
+    key = "q8Zt0LmX2vB7nR4kY9sW1cHd"
+    assert found(f"Authorization: Bearer {key}\n" * 2) == [key] * 2
+    assert found(f"bearer {key}" + " " * 240 + f"bearer {key}") == [key] * 2  # the other copy is cut by the window
+    assert found(f"the api key is {key}") == [key] and found(f"a private key, {key}") == [key]
+    rng, base64 = random.Random(3), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for name in ("PRIVATE KEY", "RSA PRIVATE KEY"):
+        lines = ["".join(rng.choices(base64, k=64)) for _ in range(12)] + ["q8Zt0Lm="]
+        block = "\n".join([f"-----BEGIN {name}-----", *lines, f"-----END {name}-----"])
+        assert found(block) == lines
+        assert found("\n".join(["-----BEGIN CERTIFICATE-----", *lines])) == []
+    assert found("bearer QzXvKmTrWpLdGhBnCfJs") == ["QzXvKmTrWpLdGhBnCfJs"] and found("credential 8301749265530917") == ["8301749265530917"]
+    assert found("bearer qxzvkmtrwpldghbncfjs") == ["qxzvkmtrwpldghbncfjs"]
+    assert found("signature of the Geschwindigkeitsbegrenzung and internationalization, AbstractRequestHandlerFactory") == []
+
+
 def test_secrets_of_odd_rows(odd, none):
     rows = {r["doc_id"]: r for r in secrets.scan(odd).collect()}
     assert rows[2]["spans"] == "" and rows[7]["n_assign"] == 1 and rows[7]["n_access"] == 1

@@ -7,8 +7,9 @@ of the core score positive, tags negative.  One linear scan finds the best
 contiguous region; its blocks, without the boilerplate nested in it, are the
 main text.
 
-The core is the innermost kind of container that a page offers: article
-elements, else main, else containers whose class or id says content, else the body.
+The core is the kind of container that holds most words of a page, those in an
+inner kind not counted: article elements, main, or containers whose class or id
+says content; without any of them it is the body.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
-MARK = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+MARK = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true)|display\s*:\s*none""", re.I)
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
@@ -73,39 +74,55 @@ class Event(NamedTuple):
     block: int
     text: str
     at: int  # where it begins in the page
-    inside: str | None  # the kind of core container around it, also around boilerplate
+    inside: frozenset[str]  # the kinds of core containers around it, also around boilerplate
 
 
 def role_of(name: str, attributes: str) -> str | None:
+    """Role by element, role, class and id.
+
+    An article or main element, and one whose classes name content, is
+    boilerplate only by a class that is a boilerplate word as a whole, and not
+    if another class names content: has-sidebar tells of the page.
+    """
     if HIDDEN.search(attributes):
         return "hidden"
-    found = None
+    own, found, whole, titled = ROLE_OF_TAG.get(name), [], set(), False
     if name not in ("body", "html"):
         for m in MARK.finditer(attributes):
-            for word in PART.findall(m[1] or m[2] or m[3] or ""):
-                role = ROLE_OF_WORD.get(word.lower())
-                if role and role != "content":
-                    if not (role in ("header", "form") and name in ("h1", "h2", "h3", "h4", "h5", "h6")):
-                        return role
-                found = found or role
-    own = ROLE_OF_TAG.get(name)
-    return own or found
+            value = m[2] or m[3] or m[4] or ""
+            if m[1].lower() == "role" and value.strip().lower() in ("article", "main"):
+                own = value.strip().lower()
+                continue
+            for token in value.split():
+                words = PART.findall(token)
+                roles = [r for r in (ROLE_OF_WORD.get(w.lower()) for w in words) if r]
+                found += roles
+                if len(words) == 1 and roles:
+                    whole.add(roles[0])
+    if "content" in whole or own in ("article", "main"):
+        found = [] if "content" in whole else [r for r in found if r in whole]
+        titled = "content" in whole
+    for role in found:
+        if role != "content" and not (role in ("header", "form") and name in ("h1", "h2", "h3", "h4", "h5", "h6")):
+            return role
+    return own or ("content" if titled else found[0] if found else None)
 
 
 def events(page: str) -> list[Event]:
     """Words and tags of a page with their roles; character references are decoded."""
     out: list[Event] = []
     stack: list[tuple[str, str | None]] = []
-    role, inside, block, at = "body", None, 0, 0
+    role, inside, block, at = "body", frozenset(), 0, 0
 
-    def current() -> tuple[str, str | None]:
-        inside = None
+    def current() -> tuple[str, frozenset[str]]:
+        inside, best = [], None
         for _, r in stack:
-            if r in BOILERPLATE and not (r == "header" and inside in ("article", "main")):
-                return r, inside
-            if r in LEVELS and (inside is None or LEVELS.index(r) < LEVELS.index(inside)):
-                inside = r
-        return inside or "body", inside
+            if r in BOILERPLATE and not (r == "header" and best in ("article", "main")):
+                return r, frozenset(inside)
+            if r in LEVELS:
+                inside.append(r)
+                best = min(inside, key=LEVELS.index)
+        return best or "body", frozenset(inside)
 
     def say(upto: int) -> None:
         text = html.unescape(page[at:upto])
@@ -151,11 +168,14 @@ def events(page: str) -> list[Event]:
 
 
 def places(found: list[Event]) -> list[str]:
-    """Each event's place: core (open, if only a class or nothing marks it), rest, nested boilerplate, or its kind."""
-    roles = {e.role for e in found}
-    level = next((x for x in LEVELS if x in roles), "body")
-    name = {level: "core" if level in ("article", "main") else "open"}
-    return ["nested" if e.role in BOILERPLATE and e.inside == level else e.role if e.role in BOILERPLATE else name.get(e.role, "rest") for e in found]
+    """Each event's place: core (open, if only a class or nothing marks it), nested (boilerplate) or rest."""
+    held = {x: 0 for x in LEVELS}
+    for e in found:
+        if e.role in held and e.kind == "word":
+            held[e.role] += e.n
+    level = max(LEVELS, key=held.get) if any(held.values()) else "body"  # of equal ones the first
+    core = "core" if level in ("article", "main") else "open"
+    return ["nested" if e.role in BOILERPLATE else core if level in e.inside or e.role == level else "rest" for e in found]
 
 
 def feature(e: Event, place: str) -> str:

@@ -146,6 +146,28 @@ def test_extraction_cases(weights, page, want):
     assert html.extract_one(page, weights) == want
 
 
+STORY = "The story goes on for many more words than any card beside it does."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<main><p>{STORY}</p></main><article><p>Read this too</p></article>", STORY),
+        (f"<article><p>Read this too</p></article><p>or that</p><main><p>{STORY}</p></main>", STORY),
+        (f"<main><p>Few words</p><article><p>{STORY}</p></article></main>", STORY),
+        (f"<article class='post has-sidebar'><p>{STORY}</p></article>", STORY),
+        (f"<article class='post comments-open'><p>{STORY}</p></article>", STORY),
+        (f"<div role='main' class='with-sidebar'><p>{STORY}</p></div><aside>Links</aside>", STORY),
+        (f"<div class='post no-comments'><p>{STORY}</p></div><div class='post-footer'>By them</div>", STORY),
+        (f"<article><p>{STORY}</p></article><article class='comment'><p>I liked it</p></article>", STORY),
+        (f"<p>{STORY}</p><div class='ad'>{'Buy this now. ' * 30}</div><p>{STORY}</p>", f"{STORY}\n\n{STORY}"),
+        (f"<article><p>{STORY}</p></article><div class='ad'>{'Buy this now. ' * 30}</div><article><p>{STORY}</p></article>", f"{STORY}\n\n{STORY}"),
+    ],
+)
+def test_extraction_finds_the_core_by_its_words(weights, page, want):
+    assert html.extract_one(page, weights) == want
+
+
 def test_pages_null_and_empty(spark, weights):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "", "x"), (2, "u", "<p>a b</p>", "x"), (2, "u", "<p>a b</p>", "x")], "page_id long, url string, html string, text string")
     got = sorted((r["text"], r["n_chars"]) for r in html.extract(df, weights).collect())

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 576
 RATE = 8000
@@ -32,6 +33,8 @@ FRAMES = 4096
 GATHERED = FRAMES * BLOCK
 PARTITION_ORDER = 2
 LPC_ORDER, LPC_PRECISION = 4, 7
+#: Kinds of subframes beside the orders of the fixed predictors.
+LINEAR, CONSTANT, VERBATIM = 5, -1, -2
 #: Coefficients of the fixed predictors, newest sample first.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
@@ -48,18 +51,22 @@ def crc_table(poly: int, bits: int) -> np.ndarray:
     return table
 
 
-CRC8, CRC16 = crc_table(0x07, 8), crc_table(0x8005, 16)
+CRC8, CRC16 = crc_table(0x07, 8).astype(np.uint16), crc_table(0x8005, 16).astype(np.uint16)
 
 
 def crcs(data: np.ndarray, start: np.ndarray, end: np.ndarray, wide: bool) -> np.ndarray:
     """CRC-16 or CRC-8 of each ``data[start:end]``; leading zeros leave a CRC of zero alone, so all end together."""
-    crc = np.zeros(len(start), np.int64)
     most = int((end - start).max(initial=0))
-    for k in range(most, 0, -1):
-        at = end - k
-        byte = np.where(at >= start, data[np.maximum(at, 0)], 0).astype(np.int64)
-        crc = (crc << 8 & 0xFFFF) ^ CRC16[(crc >> 8) ^ byte] if wide else CRC8[crc ^ byte]
-    return crc
+    by = np.argsort(start - end, kind="stable")  # the longest first: step k takes those of k bytes and more
+    last, sizes = end[by], (end - start)[by]
+    live = np.searchsorted(-sizes, -np.arange(most, 0, -1), side="right")
+    crc = np.zeros(len(start), np.uint16)
+    for k, n in zip(range(most, 0, -1), live.tolist()):
+        own, byte = crc[:n], data[last[:n] - k]
+        crc[:n] = own << 8 ^ CRC16[own >> 8 ^ byte] if wide else CRC8[own ^ byte]
+    out = np.empty(len(start), np.int64)
+    out[by] = crc
+    return out
 
 
 def coded_number(n: int) -> bytes:
@@ -76,89 +83,126 @@ def coded_number(n: int) -> bytes:
 
 def linear_predictors(x: np.ndarray, order: int, precision: int) -> tuple[np.ndarray, np.ndarray]:
     """Quantised coefficients (frames, order) and shifts of each frame, by autocorrelation and Levinson's recursion."""
-    v = x.astype(np.float64) * np.hanning(x.shape[1] + 2)[1:-1]
-    r = np.stack([(v[:, k:] * v[:, : v.shape[1] - k]).sum(axis=1) for k in range(order + 1)], axis=1)
+    v = x.astype(np.float32) * np.hanning(x.shape[1] + 2)[1:-1].astype(np.float32)
+    r = np.stack([np.einsum("ij,ij->i", v[:, k:], v[:, : v.shape[1] - k]) for k in range(order + 1)], axis=1).astype(np.float64)
     a, err = np.zeros((len(x), order)), r[:, 0] + 1e-9
     for i in range(order):
-        k = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(axis=1)) / err
+        k = np.clip((r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(axis=1)) / err, -1, 1)
         a[:, :i] -= k[:, None] * a[:, :i][:, ::-1]
         a[:, i] = k
         err = np.maximum(err * (1 - k * k), 1e-9)
     room = (1 << (precision - 1)) - 1
-    shift = np.clip(np.floor(np.log2(room / np.maximum(np.abs(a).max(axis=1), 1e-6))), 0, 15).astype(np.int64)
-    return np.clip(np.rint(a * (1 << shift)[:, None]), -room - 1, room).astype(np.int64), shift
+    shift = np.clip(np.floor(np.log2(room / np.maximum(np.abs(a).max(axis=1), 1e-6))), 0, 15).astype(np.int32)
+    return np.clip(np.rint(a * (1 << shift)[:, None]), -room - 1, room).astype(np.int32), shift
 
 
 def residuals(x: np.ndarray, coefs: np.ndarray, shift: np.ndarray) -> np.ndarray:
     """What the predictors leave of each sample from the order-th on; coefficients newest sample first."""
     order = coefs.shape[1]
-    out = x[:, order:].copy()
+    out = x[:, order:].astype(np.int32)
     if order:
-        said = sum(coefs[:, j : j + 1] * x[:, order - 1 - j : x.shape[1] - 1 - j] for j in range(order))
+        said = sum(coefs[:, j : j + 1] * x[:, order - 1 - j : x.shape[1] - 1 - j].astype(np.int32) for j in range(order))
         out -= said >> shift[:, None]
     return out
 
 
-def rice_cost(res: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Folded residuals padded to a whole block, best parameter per partition, and bits of each frame."""
-    folded = np.where(res < 0, -2 * res - 1, 2 * res)
-    full = np.concatenate([np.zeros((len(res), order), np.int64), folded], axis=1).reshape(len(res), 1 << PARTITION_ORDER, -1)
+def bits_about(total: np.ndarray, n: int) -> np.ndarray:
+    """Bits of n residuals whose magnitudes add up to ``total``, each coded with the parameter that their mean asks for."""
+    k = np.maximum(np.floor(np.log2(np.maximum(total / n, 1))), 0)
+    return n * (k + 1) + 2 * total / 2**k
+
+
+def rice_parameters(res: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Folded residuals padded to a whole block, the parameter of each partition, and bits of each frame.
+
+    The parameter is the best of the two on either side of the partition's mean.
+    """
+    full = np.zeros((len(res), BLOCK), np.int32)
+    full[:, order:] = res << 1 ^ res >> 31
+    full = full.reshape(len(res), 1 << PARTITION_ORDER, -1)
     size = np.full(1 << PARTITION_ORDER, full.shape[2])
     size[0] -= order
-    costs = np.stack([(full >> k).sum(axis=2) + size * (k + 1) for k in range(12)])
-    best = costs.argmin(axis=0)
-    return full, best, costs.min(axis=0).sum(axis=1) + order * 8
+    first = np.clip(np.floor(np.log2(np.maximum(full.sum(axis=2) / size, 1))), 0, 13).astype(np.int32)
+    low, high = ((full >> k[:, :, None]).sum(axis=2) + size * (k + 1) for k in (np.maximum(first - 1, 0), first))
+    return full, np.where(low < high, np.maximum(first - 1, 0), first), np.minimum(low, high).sum(axis=1) + order * 8
 
 
-def put(data: np.ndarray, at: np.ndarray, value: np.ndarray, bits: np.ndarray) -> None:
-    """Add fields of at most 17 bits into bytes at bit places; fields don't overlap, so adding is setting."""
-    word = value << (24 - bits - (at & 7))
-    first = at >> 3
-    for k in range(3):
-        data += np.bincount(first + k, weights=word >> (16 - 8 * k) & 255, minlength=len(data)).astype(np.int64)
+class Writer:
+    """Bit fields of many frames in one buffer of 64-bit words."""
+
+    def __init__(self, nbytes: int) -> None:
+        self.words = np.zeros(nbytes // 8 + 2, np.uint64)
+
+    def put(self, at: np.ndarray, value: np.ndarray, bits: np.ndarray) -> None:
+        """Set fields of at most 32 bits at rising bit places; fields don't overlap, so at most one crosses into a word."""
+        word, room = at >> 6, 64 - (at & 63) - bits
+        value = value.astype(np.uint64)
+        over = np.flatnonzero(room < 0)
+        own = value << np.maximum(room, 0).astype(np.uint64)
+        own[over] = value[over] >> (-room[over]).astype(np.uint64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        self.words[word[first]] |= np.bitwise_or.reduceat(own, first)
+        self.words[word[over] + 1] |= value[over] << (64 + room[over]).astype(np.uint64)
+
+    def bytes(self) -> np.ndarray:
+        return self.words.astype(">u8").view(np.uint8)
 
 
 def write_frames(samples: np.ndarray, numbers: np.ndarray) -> list[bytes]:
-    """Frames of ``samples`` (frames, BLOCK) with their numbers."""
-    n = len(samples)
-    plans = []
-    for order, c in enumerate(FIXED):
-        coefs = np.tile(np.array(c, np.int64), (n, 1)).reshape(n, order)
-        plans.append((order, coefs, np.zeros(n, np.int64), 8 + order))
-    coefs, shift = linear_predictors(samples, LPC_ORDER, LPC_PRECISION)
-    plans.append((LPC_ORDER, coefs, shift, 32 + LPC_ORDER - 1))
-    cost = np.stack([rice_cost(residuals(samples, c, s), o)[2] + (9 + LPC_PRECISION * o) * (kind >= 32) for o, c, s, kind in plans])
-    choice = cost.argmin(axis=0)
-    choice[(samples == samples[:, :1]).all(axis=1)] = -1  # constant
-    choice[(choice >= 0) & (cost.min(axis=0) + 22 >= BLOCK * 8)] = -2  # verbatim
+    """Frames of ``samples`` (frames, BLOCK) with their numbers.
+
+    The predictor, fixed or linear, is the one that promises fewest bits by the
+    sum of its residuals' magnitudes.
+    """
+    n, x = len(samples), samples.astype(np.int16)
+    promised, left = [], x
+    for order in range(len(FIXED)):
+        left = np.diff(left, axis=1) if order else left
+        promised.append(bits_about(np.abs(left).sum(axis=1, dtype=np.int64), BLOCK - order) + 8 * order)
+    fixed = np.stack(promised)
+    choice, least = fixed.argmin(axis=0), fixed.min(axis=0)
+    coefs, shift = linear_predictors(x, LPC_ORDER, LPC_PRECISION)
+    tried = bits_about(np.abs(residuals(x, coefs, shift)).sum(axis=1), BLOCK - LPC_ORDER) + 8 * LPC_ORDER + 9 + LPC_PRECISION * LPC_ORDER
+    choice[tried < least] = LINEAR
+    choice[(x == x[:, :1]).all(axis=1)] = CONSTANT
     out: list[bytes] = [b""] * n
     for pick in np.unique(choice).tolist():
         rows = np.flatnonzero(choice == pick)
-        for at in range(0, len(rows), FRAMES):
-            part = rows[at : at + FRAMES]
-            plan = None if pick < 0 else plans[pick]
-            for row, frame in zip(part.tolist(), write_kind(samples[part], numbers[part], pick, plan and (plan[0], plan[1][part], plan[2][part], plan[3]))):
-                out[row] = frame
+        own = (coefs[rows], shift[rows]) if pick == LINEAR else None
+        for row, frame in zip(rows.tolist(), write_kind(x[rows], numbers[rows], pick, own)):
+            out[row] = frame
     return out
 
 
-def write_kind(x: np.ndarray, numbers: np.ndarray, pick: int, plan: tuple | None) -> list[bytes]:
-    """Frames that share a kind of subframe."""
+def write_kind(x: np.ndarray, numbers: np.ndarray, pick: int, predictors: tuple[np.ndarray, np.ndarray] | None) -> list[bytes]:
+    """Frames that share a kind of subframe; those that coding would not shorten are stored verbatim."""
     n = len(x)
+    if pick >= 0:
+        order = LPC_ORDER if pick == LINEAR else pick
+        coefs, shift = predictors or (np.tile(np.array(FIXED[order], np.int32), (n, 1)).reshape(n, order), np.zeros(n, np.int32))
+        full, best, cost = rice_parameters(residuals(x, coefs, shift), order)
+        plain = np.flatnonzero(cost + 22 >= BLOCK * 8)
+        if len(plain) and n > len(plain):
+            coded = np.flatnonzero(cost + 22 < BLOCK * 8)
+            parts = write_kind(x[coded], numbers[coded], pick, predictors and (coefs[coded], shift[coded])), write_kind(x[plain], numbers[plain], VERBATIM, None)
+            back = np.argsort(np.concatenate([coded, plain]), kind="stable").tolist()
+            frames = parts[0] + parts[1]
+            return [frames[k] for k in back]
+        if len(plain):
+            pick = VERBATIM
     # sync and fixed block size; 576 samples; 8 kHz; mono; 8 bits
     heads = [bytes([0xFF, 0xF8, 0x24, 0x02]) + coded_number(int(k)) for k in numbers]
     head = np.array([len(h) + 1 for h in heads])
     fields: list[tuple[np.ndarray, int]] = []  # values by frame, bits
     lengths = head * 8 + 8
-    if pick == -1:
+    if pick == CONSTANT:
         kind, lengths = 0, lengths + 8
-    elif pick == -2:
+    elif pick == VERBATIM:
         kind, lengths = 1, lengths + 8 * BLOCK
     else:
-        order, coefs, shift, kind = plan
-        full, best, _ = rice_cost(residuals(x, coefs, shift), order)
+        kind = 31 + order if pick == LINEAR else 8 + order
         fields = [(x[:, k] & 255, 8) for k in range(order)]
-        if kind >= 32:
+        if pick == LINEAR:
             fields += [(np.full(n, LPC_PRECISION - 1), 4), (shift, 5)]
             fields += [(coefs[:, k] & ((1 << LPC_PRECISION) - 1), LPC_PRECISION) for k in range(order)]
         fields += [(np.full(n, PARTITION_ORDER), 6)]
@@ -166,39 +210,44 @@ def write_kind(x: np.ndarray, numbers: np.ndarray, pick: int, plan: tuple | None
         per = full.shape[2]
         k = np.repeat(best, per, axis=1)
         values = full.reshape(n, -1)
-        sizes = (values >> k) + 1 + k
+        quotient = values >> k
+        sizes = quotient + 1 + k
         sizes[:, :order] = 0
         sizes[:, ::per] += 4  # each partition's parameter stands before its first code
-        ends = np.cumsum(sizes, axis=1)
+        ends = np.cumsum(sizes, axis=1, dtype=np.int64)
         lengths = lengths + fixed + ends[:, -1]
     nbytes = (lengths + 7) // 8 + 2
     base = np.concatenate([[0], np.cumsum(nbytes)[:-1]])
-    data = np.zeros(int(nbytes.sum()) + 3, np.int64)
-    for b, h in zip(base.tolist(), heads):
-        data[b : b + len(h)] = np.frombuffer(h, np.uint8)
-    data[base + head - 1] = crcs(data, base, base + head - 1, False)
-    data[base + head] = kind << 1
+    writer = Writer(int(nbytes.sum()))
     at = (base + head + 1) * 8
-    if pick == -1:
-        data[at >> 3] = x[:, 0] & 255
-    elif pick == -2:
-        data[((at >> 3)[:, None] + np.arange(BLOCK)).ravel()] = (x & 255).ravel()
-    else:
+    if pick >= 0:
         for value, bits in fields:
-            put(data, at, value, np.full(n, bits))
+            writer.put(at, value, np.full(n, bits))
             at = at + bits
         starts = at[:, None] + ends - sizes
         lead = starts[:, ::per]
-        put(data, lead.ravel(), best.ravel(), np.full(best.size, 4))
+        writer.put(lead.ravel(), best.ravel(), np.full(best.size, 4))
         starts[:, ::per] += 4
-        live = np.ones(values.shape, bool)
-        live[:, :order] = False
-        code = (1 << k | values & ((1 << k) - 1))[live]
-        put(data, (starts + (values >> k))[live], code, k[live] + 1)
+        code = 1 << k | values & ((1 << k) - 1)
+        places, widths = starts + quotient, k + 1
+        if order:
+            live = np.ones(values.shape, bool)
+            live[:, :order] = False
+            places, code, widths = places[live], code[live], widths[live]
+        writer.put(places.ravel(), code.ravel(), widths.ravel())
+    data = writer.bytes()
+    for b, h in zip(base.tolist(), heads):
+        data[b : b + len(h)] = np.frombuffer(h, np.uint8)
+    data[base + head - 1] = crcs(data, base, base + head - 1, False)
+    data[base + head] = kind << 1
+    if pick == CONSTANT:
+        data[base + head + 1] = x[:, 0] & 255
+    elif pick == VERBATIM:
+        data[((base + head + 1)[:, None] + np.arange(BLOCK)).ravel()] = (x & 255).ravel()
     tail = base + nbytes - 2
     check = crcs(data, base, tail, True)
     data[tail], data[tail + 1] = check >> 8, check & 255
-    raw = data.astype(np.uint8).tobytes()
+    raw = data.tobytes()
     return [raw[b : b + m] for b, m in zip(base.tolist(), nbytes.tolist())]
 
 
@@ -209,7 +258,7 @@ def streams(payloads: list[bytes]) -> list[bytes]:
     joined = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK)
     numbers = np.concatenate([np.arange(c) for c in counts])
     for at in range(0, len(joined), FRAMES):
-        frames += write_frames(joined[at : at + FRAMES].astype(np.int64) - 128, numbers[at : at + FRAMES])
+        frames += write_frames(joined[at : at + FRAMES].astype(np.int16) - 128, numbers[at : at + FRAMES])
     out, first = [], 0
     for payload, count in zip(payloads, counts):
         own = frames[first : first + count]
@@ -298,15 +347,38 @@ class Bits:
         run = np.zeros(len(rows), np.int64)
         left = np.arange(len(rows))
         while len(left):
-            top = (self.window(rows[left]) >> np.uint64(11)).astype(np.float64)
-            n = np.where(top > 0, 53 - np.frexp(top)[1], 53)
+            n = leading_zeros(self.window(rows[left]))
             run[left] += n
-            self.at[rows[left]] += n + (top > 0)
+            self.at[rows[left]] += n + (n < 53)
             if (self.at[rows[left]] >> 3 > len(self.words)).any():
                 raise FlacError("a residual is cut off")
-            left = left[top == 0]
+            left = left[n == 53]
         return run
 
+    def rice(self, rows: np.ndarray, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rice codes with parameters ``k`` at bit places ``at``, and where they end; ``rows`` own the places.
+
+        A code lies in one window of 57 bits almost always; longer ones are read piece by piece.
+        """
+        byte = at >> 3
+        if byte.size and byte.max() >= len(self.words):
+            raise FlacError("a residual is cut off")
+        window = self.words[byte].astype(np.uint64) << (at & 7).astype(np.uint64)
+        run = leading_zeros(window)
+        value = run << k | (window << (run + 1).astype(np.uint64) >> np.uint64(1) >> (63 - k).astype(np.uint64)).astype(np.int64)
+        end = at + run + 1 + k
+        long = np.flatnonzero(run + 1 + k > 53)
+        if len(long):
+            self.at[rows[long]] = at[long]
+            value[long] = self.zeros(rows[long]) << k[long] | self.take(rows[long], k[long])
+            end[long] = self.at[rows[long]]
+        return value, end
+
+
+def leading_zeros(window: np.ndarray) -> np.ndarray:
+    """Zeros at the top of 64-bit words, 53 at most: read off the exponent of the upper 53 bits as a number."""
+    return np.minimum(1075 - ((window >> np.uint64(11)).astype(np.float64).view(np.int64) >> 52), 53)
+
 
 def read_frames(data: bytes, starts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(samples (frames, block), frame numbers, ends) of frames that begin at byte ``starts``; checksums are verified."""
@@ -397,11 +469,13 @@ def read_predicted(bits: Bits, rows: np.ndarray, order: int, linear: bool, size:
             all_plain = not len(odd)
             if not all_plain:
                 width = bits.take(own[odd], 5)
+            at = bits.at[rows_plain]
             for i in range(part * per + (order if part == 0 else 0), (part + 1) * per):
-                folded = bits.zeros(rows_plain) << k_plain | bits.take(rows_plain, k_plain)
+                folded, at = bits.rice(rows_plain, at, k_plain)
                 x[i, here if all_plain else here[plain]] = folded >> 1 ^ -(folded & 1)
                 if not all_plain:
                     x[i, here[odd]] = bits.signed(own[odd], width)
+            bits.at[rows_plain] = at
     if order:
         for i in range(order, size):
             said = coefs[0] * x[i - 1]
@@ -458,89 +532,124 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 def feature(payload: bytes) -> str:
     """Peak, sum of magnitudes, energy and zero crossings of the samples read back."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-    return f"peak={np.abs(x).max()};sum={np.abs(x).sum()};energy={(x * x).sum()};crossings={np.count_nonzero((x[1:] < 0) != (x[:-1] < 0))}"
+    x = np.frombuffer(payload, np.uint8).astype(np.int16) - 128
+    size = np.abs(x)
+    return f"peak={size.max(initial=0)};sum={size.sum(dtype=np.int64)};energy={np.square(x.astype(np.int32)).sum(dtype=np.int64)};crossings={np.count_nonzero((x[1:] < 0) != (x[:-1] < 0))}"
+
+
+def lots(sizes: Iterator[int]) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of rows of about GATHERED bytes; a longer row is one by itself."""
+    first = end = held = 0
+    for size in sizes:
+        end, held = end + 1, held + size
+        if held >= GATHERED:
+            yield first, end
+            first, held = end, 0
+    if end > first:
+        yield first, end
+
+
+def encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) as rows (id, n_bytes, media)."""
+    for b in batches:
+        texts, at = b.column(1), 0
+        for first, end in lots(4 * len(t.as_py() or "") for t in texts):  # a code point has 4 bytes at most
+            part = [padded(t.as_py()) for t in texts.slice(first, end - first)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array([n for _, n in part], pa.int64()), pa.array(streams([p for p, _ in part]), pa.binary())], [b.schema.names[0], "n_bytes", "media"])
+            at += len(part)
+
+
+def decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, n_bytes, media) as rows (id, n_bytes, media_bytes, media_sha256, blocks)."""
+    for b in batches:
+        sizes = (len(v.as_py() or b"") for v in b.column(2))
+        for first, end in lots(sizes):
+            part = b.slice(first, end - first)
+            found = part.column(2).to_pylist()
+            have = [s for s in found if s is not None]
+            heads, payloads = [read_head(s) for s in have], read_many(have)
+            starts = [np.arange(0, h.samples, h.block) for h in heads]
+            ends = [np.minimum(s + h.block, h.samples) for s, h in zip(starts, heads)]
+            seek = [h.audio + h.seek["byte"].astype(np.int64) if h.seek is not None and len(h.seek) == len(s) else np.full(len(s), -1) for h, s in zip(heads, starts)]
+            joined = lambda xs: np.concatenate([np.zeros(0, np.int64), *xs])
+            cuts = np.concatenate([[0], np.cumsum(joined([e - s for s, e in zip(starts, ends)]))]).astype(np.int32)
+            pcm = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(b"".join(payloads))])
+            blocks = pa.StructArray.from_arrays([pa.array(joined(starts), pa.int64()), pa.array(joined(seek), pa.int64()), pcm], ["sample_offset", "byte_offset", "pcm"])
+            counts, each = np.zeros(len(found), np.int64), iter(starts)
+            counts[:] = [0 if s is None else len(next(each)) for s in found]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.array([*(s is None for s in found), False]))
+            digests = pa.array([None if s is None else hashlib.sha256(s).hexdigest() for s in found], pa.string())
+            lengths = pa.array([None if s is None else len(s) for s in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lengths, digests, pa.ListArray.from_arrays(offsets, blocks)], [b.schema.names[0], "n_bytes", *PCM])
+
+
+BLOCKS = T.ArrayType(T.StructType().add("sample_offset", "long").add("byte_offset", "long").add("pcm", "binary"))
+PCM = {"media_bytes": "long", "media_sha256": "string", "blocks": BLOCKS}
 
 
-def gathered(texts: Iterator[str | None]) -> Iterator[list[tuple[bytes, int]]]:
-    """Payloads in lots of about GATHERED bytes."""
-    lot, size = [], 0
-    for t in texts:
-        lot.append(padded(t))
-        size += len(lot[-1][0])
-        if size >= GATHERED:
-            yield lot
-            lot, size = [], 0
-    if lot:
-        yield lot
+def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``id_col``, ``n_bytes`` and ``media``, the FLAC stream of the padded text.
 
+    Null and empty texts are one block of padding.  Rows may repeat, ids may be
+    null, other columns are not read; equal texts give equal streams.
+    """
+    return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(encode_batches, docs.select(id_col).schema.add("n_bytes", "long").add("media", "binary"))
 
-def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, ``n_bytes`` and ``media``, the FLAC stream of the padded text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = 0
-            for lot in gathered(t.as_py() for t in b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(lot)), pa.array([n for _, n in lot], pa.int64()), pa.array(streams([p for p, _ in lot]), pa.binary())], schema.names)
-                at += len(lot)
+def pcm_schema(rows: DataFrame, id_col: str) -> T.StructType:
+    schema = rows.select(id_col).schema.add("n_bytes", "long")
+    for name, kind in PCM.items():
+        schema = schema.add(name, kind)
+    return schema
 
-    schema = docs.select(id_col).schema.add("n_bytes", "long").add("media", "binary")
-    return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
+def pcm(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Per row of ``media``: ``id_col``, ``n_bytes``, ``media_bytes``, ``media_sha256`` and ``blocks``.
 
-def pcm_blocks(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The frames of ``media`` as rows: ``id_col``, ``sample_offset``, ``byte_offset`` (seek point) and ``pcm``."""
+    ``blocks`` are the stream's frames, decoded and verified, in order: sample
+    offset, byte offset in the stream (its seek point, -1 without one) and PCM
+    bytes, so any sample can be sought in either form.  A null stream gives
+    nulls; rows may repeat, ids may be null; a damaged stream fails the task.
+    """
+    return stored.select(id_col, "n_bytes", "media").mapInArrow(decode_batches, pcm_schema(stored, id_col))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row, value in enumerate(b.column(1)):
-                stream = value.as_py()
-                if stream is None:
-                    continue
-                head, payload = read_head(stream), read_many([stream])[0]
-                at = np.arange(0, head.samples, head.block)
-                seek = head.audio + head.seek["byte"].astype(np.int64) if head.seek is not None else np.full(len(at), -1)
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[row].as_py()] * len(at), b.column(0).type), pa.array(at, pa.int64()), pa.array(seek, pa.int64()), pa.array([payload[k : k + head.block] for k in at.tolist()], pa.binary())], schema.names)
 
-    schema = stored.select(id_col).schema.add("sample_offset", "long").add("byte_offset", "long").add("pcm", "binary")
-    return stored.select(id_col, "media").mapInArrow(run, schema)
+def recorded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``pcm(media(docs))`` in one pass of the workers, so no stream crosses to the JVM and back."""
+    return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(lambda batches: decode_batches(encode_batches(batches)), pcm_schema(docs, id_col))
+
+
+def pcm_blocks(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The frames of ``media`` as rows: ``id_col``, ``sample_offset``, ``byte_offset`` (seek point) and ``pcm``; none for a null stream."""
+    return pcm(stored, id_col).select(id_col, F.inline("blocks"))
 
 
-def read_back(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digests and features of what is read back from ``media``.
+def read_back(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Digests and features of what is read back from rows of :func:`pcm`.
 
     Columns: ``id_col``, ``n_bytes``, ``payload_bytes``, ``payload_sha256``,
     ``tail_crc32`` (of the last 32 bytes), ``media_bytes``, ``media_sha256``,
-    ``feature``.  Null and empty texts are one block of padding.  Rows may repeat and
-    ids be null; a damaged stream fails the task.
+    ``feature``.  Null blocks give null digests.  Rows may repeat and ids be
+    null; blocks whose sample offsets leave a gap fail the task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, held = [], [], []
-            for row in range(b.num_rows):
-                ids.append(row)
-                sizes.append(b.column(1)[row].as_py())
-                held.append(b.column(2)[row].as_py())
-                if sum(map(len, held)) >= GATHERED or row == b.num_rows - 1:
-                    back = read_many(held)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            b.column(0).slice(ids[0], len(ids)),
-                            pa.array(sizes, pa.int64()),
-                            pa.array([len(p) for p in back], pa.int64()),
-                            pa.array([hashlib.sha256(p).hexdigest() for p in back], pa.string()),
-                            pa.array([zlib.crc32(p[-32:]) for p in back], pa.int64()),
-                            pa.array([len(s) for s in held], pa.int64()),
-                            pa.array([hashlib.sha256(s).hexdigest() for s in held], pa.string()),
-                            pa.array([feature(p) for p in back], pa.string()),
-                        ],
-                        schema.names,
-                    )
-                    ids, sizes, held = [], [], []
-
-    schema = stored.select(id_col).schema
+            lists = b.column(4)
+            at, _, samples = lists.values.flatten()
+            cuts, data = np.frombuffer(samples.buffers()[1], np.int32)[samples.offset : samples.offset + len(samples) + 1] if len(samples) else np.zeros(1, np.int32), samples.buffers()[2]
+            places, rows, found = at.to_numpy(), lists.offsets.to_numpy(), []
+            for k, given in enumerate(lists.is_valid().to_pylist()):
+                own = cuts[rows[k] : rows[k + 1] + 1]
+                if given and (places[rows[k] : rows[k + 1]] != own[:-1] - own[0]).any():
+                    raise FlacError("the blocks leave a gap")
+                payload = data[int(own[0]) : int(own[-1])].to_pybytes() if given and data is not None else b""
+                found.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), feature(payload)) if given else (None,) * 4)
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
+            size, digest, crc, said = (pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), size, digest, crc, b.column(2), b.column(3), said], schema.names)
+
+    schema = blocks.select(id_col).schema
     for name, kind in (("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")):
         schema = schema.add(name, kind)
-    return stored.select(id_col, "n_bytes", "media").mapInArrow(run, schema)
+    return blocks.select(id_col, "n_bytes", "media_bytes", "media_sha256", "blocks").mapInArrow(run, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.llm import bpe, flac, html, langid, licences, mixing, pieces, quality, secrets, simhash
-from flowlens.llm.common import table
+from flowlens.llm.common import cut, table
 
 
 def tokenizer(name: str) -> str:
@@ -83,7 +83,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.read_back(flac.media(table(spark, sf_dir, "documents")))
+    return flac.read_back(cut(flac.recorded(table(spark, sf_dir, "documents")), "zstd"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

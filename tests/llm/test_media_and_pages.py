@@ -8,6 +8,7 @@ from html import unescape
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowlens.llm import flac, html, licences, queries
 
@@ -93,11 +94,26 @@ def test_query_against_plain_bytes(spark, texts):
 
 def test_columns_of_odd_rows(odd, none):
     stored = flac.media(odd)
-    rows = flac.read_back(stored).collect()
+    rows = flac.read_back(flac.pcm(stored)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, flac.read_back(flac.recorded(odd)).collect()))
     assert len(rows) == 9 and len({r["media_sha256"] for r in rows if r["doc_id"] == 1}) == 1
     blocks = flac.pcm_blocks(stored.filter("doc_id = 6")).orderBy("sample_offset").collect()
     assert b"".join(b["pcm"] for b in blocks) == flac.padded("ü" * 5000)[0] and [b["sample_offset"] for b in blocks] == list(range(0, 10368, 576))
-    assert flac.read_back(flac.media(none)).count() == 0
+    assert flac.read_back(flac.recorded(none)).count() == 0 and flac.pcm_blocks(flac.media(none)).count() == 0
+
+
+def test_pcm_offsets_are_seekable_and_gaps_are_found(spark, odd):
+    for r in flac.pcm(flac.media(odd)).join(flac.media(odd).withColumnRenamed("n_bytes", "n"), "doc_id").filter("doc_id in (5, 6)").collect():
+        for at in (0, 7, len(r["blocks"]) - 1):  # a block decodes from its byte offset alone
+            b = r["blocks"][at]
+            got, number, _ = flac.read_frames(bytes(r["media"]), np.array([b["byte_offset"]]), flac.BLOCK)
+            assert (got[0] + 128).astype(np.uint8).tobytes() == bytes(b["pcm"]) and number[0] == at and b["sample_offset"] == at * flac.BLOCK
+    blocks = flac.pcm(flac.media(odd).withColumn("media", F.when(F.col("doc_id") != 3, F.col("media"))))
+    none = flac.read_back(blocks).filter("payload_sha256 is null")
+    assert none.count() == 2 and blocks.filter("blocks is null").count() == 2  # also the null id
+    torn = flac.pcm(flac.media(odd)).filter("doc_id = 6").withColumn("blocks", F.slice("blocks", 2, 3))
+    with pytest.raises(Exception, match="gap"):
+        flac.read_back(torn).collect()
 
 
 # ---------------------------------------------------------------- pages

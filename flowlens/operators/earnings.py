@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from flowlens.functions.core import sessions
 from flowlens.functions.stats import p_of_correlation, p_value, welch, welch_columns
 from flowlens.operators.panel import daily_change, forward_return, realised_vol
+from flowlens.operators.relation import quantile_pick, ranked_within
 from flowlens.operators.streaks import paths
 
 #: Regular trading hours, US/Eastern.
@@ -117,16 +118,21 @@ def with_p(df: DataFrame) -> DataFrame:
 
 
 def horizon_rollup(events: DataFrame, x: str = "dpi10", least: int = 5) -> DataFrame:
-    """Per horizon: pairs, correlation and its p-value."""
+    """Per horizon: pairs and correlation."""
     ev = long_horizons(events).filter(F.col(x).isNotNull() & F.col("ret").isNotNull())
     out = ev.groupBy("horizon").agg(F.count("*").alias("n"), F.corr(x, "ret").alias("r")).filter(F.col("n") >= least)
-    return out.withColumn("p", p_of_correlation(F.col("r"), F.col("n")))
+    return out
+
+
+def correlation_p(rollup: DataFrame) -> DataFrame:
+    """Adds ``p`` for columns ``r`` and ``n``."""
+    return rollup.withColumn("p", p_of_correlation(F.col("r"), F.col("n")))
 
 
 def quintiles(events: DataFrame, x: str, y: str) -> DataFrame:
     """Means of y in five bins of x, cut at linear quantiles, closed on the right."""
-    own = events.filter(F.col(x).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
-    cuts = own.agg(F.percentile("x", F.array(*(F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)))).alias("c")).scalar()  # one value per event
+    own = ranked_within(events.filter(F.col(x).isNotNull()).select(F.lit(0).alias("_pool"), "symbol", "report_date", F.col(x).alias("x"), F.col(y).alias("y")), ["_pool"], ["x", "symbol", "report_date"])
+    cuts = own.agg(F.array(*(quantile_pick("x", q) for q in (0.2, 0.4, 0.6, 0.8))).alias("c")).scalar()
     place = F.size(F.filter("_cuts", lambda c: F.round(c, 9) < F.col("x"))) + 1
     return own.withColumn("_cuts", cuts).withColumn("quintile", place).groupBy("quintile").agg(F.count("*").alias("n"), F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean"))
 
@@ -187,7 +193,8 @@ def anchor_to_reaction(events: DataFrame, panel: DataFrame, before: int = 2, aft
 def summary(events: DataFrame) -> DataFrame:
     """The study as rows: (section, item, metric, value)."""
     ev = long_horizons(events)
-    base = ev.groupBy("horizon").agg(F.avg("ret").alias("mean"), F.median("ret").alias("median"), F.stddev_samp("ret").alias("std"), F.avg((F.col("ret") > 0).cast("double")).alias("positive"), F.corr("dpi10", "ret").alias("r_dpi10"), F.corr("dpi5", "ret").alias("r_dpi5"))
+    med = ranked_within(ev.filter("ret is not null").select("horizon", "symbol", "report_date", "ret"), ["horizon"], ["ret", "symbol", "report_date"]).groupBy("horizon").agg(quantile_pick("ret", 0.5).alias("median"))
+    base = ev.groupBy("horizon").agg(F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("std"), F.avg((F.col("ret") > 0).cast("double")).alias("positive"), F.corr("dpi10", "ret").alias("r_dpi10"), F.corr("dpi5", "ret").alias("r_dpi5")).join(F.broadcast(med), "horizon", "left")
     names = ("mean", "median", "std", "positive", "r_dpi10", "r_dpi5")
     rows = F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names))
     horizons = base.select(F.lit("horizon").alias("section"), F.col("horizon").alias("item"), F.explode(rows).alias("m")).select("section", "item", "m.metric", "m.value")

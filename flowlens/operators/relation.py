@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-RANGES = 64
+from flowlens.functions.store import cut
 
 
 def points(panel: DataFrame, x: str, y: str) -> DataFrame:
@@ -14,17 +14,21 @@ def points(panel: DataFrame, x: str, y: str) -> DataFrame:
     return panel.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select("symbol", "t", F.col(x).alias("x"), F.col(y).alias("y"))
 
 
-def ranked(df: DataFrame, order: list[str], out: str = "rank", parts: int = RANGES) -> DataFrame:
+def ranked(df: DataFrame, order: list[str], out: str = "rank", parts: int | None = None) -> DataFrame:
     """Adds the 0-based place of each row in the order of unique ``order``, and the number of rows ``n``.
 
-    A pool is never put into one task: rows are dealt out by range, counted per
-    range, and numbered inside their range.
+    A pool is never put into one task: rows are dealt out by range once and
+    written with their range's number, counted per range, and numbered inside
+    their range.  Counts and places read the same table, so they agree whatever
+    the sampled bounds are.  ``parts``: ranges, ``spark.sql.shuffle.partitions``
+    if not given.  Null keys come first.
     """
-    dealt = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
-    counts = dealt.groupBy("_p").agg(F.count("*").alias("_c"))
+    dealt = df.repartitionByRange(*([parts] if parts else []), *order)
+    dealt = cut(dealt.withColumn("_p", F.spark_partition_id()))
+    counts = dealt.groupBy("_p").agg(F.count("*").alias("_c"))  # a row a range
     before = counts.withColumn("_b", F.sum("_c").over(W.orderBy("_p")) - F.col("_c")).withColumn("n", F.sum("_c").over(W.partitionBy()))
     inside = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1
-    return dealt.withColumn("_i", inside).join(before, "_p").withColumn(out, F.col("_b") + F.col("_i")).drop("_p", "_c", "_b", "_i")
+    return dealt.withColumn("_i", inside).join(F.broadcast(before), "_p").withColumn(out, F.col("_b") + F.col("_i")).drop("_p", "_c", "_b", "_i")
 
 
 def slice_bucket(rank: Column, n: Column, k: int = 10) -> Column:
@@ -34,17 +38,41 @@ def slice_bucket(rank: Column, n: Column, k: int = 10) -> Column:
 
 def deciles(pts: DataFrame, k: int = 10) -> DataFrame:
     """Pooled buckets of x: n, mean x, mean, median and population deviation of y, range of x."""
-    b = ranked(pts, ["x", "symbol", "t"]).withColumn("bucket", slice_bucket(F.col("rank"), F.col("n"), k))
+    b = ranked(pts, ["x", "symbol", "t"]).withColumn("bucket", slice_bucket(F.col("rank"), F.col("n"), k)).drop("rank", "n")
     return bucket_statistics(b, ["bucket"])
 
 
+def ranked_within(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds ``place``, the 0-based place of each row among those with its ``keys``, and ``size``, their number.
+
+    For few keys (buckets, horizons, bands: a row of each is sent to every task)
+    with many rows each: the whole table is ranked once, by key and ``order``,
+    so no key's rows meet in one task.
+    """
+    r = ranked(df, [*keys, *order], "_place")
+    first = r.groupBy(*keys).agg(F.min("_place").alias("_first"), F.count("*").alias("size")).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)), "_first", "size")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    return r.join(F.broadcast(first), same).withColumn("place", F.col("_place") - F.col("_first")).drop("_place", "_first", "n", *(f"_k{i}" for i in range(len(keys))))
+
+
+def quantile_pick(value: str, q: float) -> Column:
+    """Aggregate over rows of :func:`ranked_within` in the order of ``value``: the quantile, between neighbours by straight line."""
+    at = F.lit(q) * (F.col("size") - 1)
+    near = lambda place: F.max(F.when(F.col("place") == place, F.col(value)))
+    low = near(F.floor(at))
+    return low + (near(F.ceil(at)) - low) * F.max(at - F.floor(at))
+
+
 def sampled(pts: DataFrame, order: list[str], most: int = 7000) -> DataFrame:
     """Every k-th point in order, k = ceil(n / most), for plots: systematic, so reruns agree."""
     return ranked(pts, order).filter(F.col("rank") % F.ceil(F.col("n") / most) == 0).drop("rank", "n")
 
 
 def bucket_statistics(b: DataFrame, keys: list[str]) -> DataFrame:
-    return b.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean"), F.median("y").alias("y_median"), F.stddev_pop("y").alias("y_std"), F.min("x").alias("x_lo"), F.max("x").alias("x_hi"))
+    """n, mean and range of x, mean, median and population deviation of y per bucket; medians are picked by rank."""
+    return ranked_within(b, keys, ["y", "symbol", "t"]).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean"), quantile_pick("y", 0.5).alias("y_median"), F.stddev_pop("y").alias("y_std"), F.min("x").alias("x_lo"), F.max("x").alias("x_hi")
+    )
 
 
 def decile_table(pts: DataFrame, latest: DataFrame, least: int = 30, k: int = 10, h: int = 21) -> DataFrame:

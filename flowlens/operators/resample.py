@@ -2,30 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from flowlens.operators.relation import ranked
 
 
-def block_bootstrap(pts: DataFrame, block: int, draws: int | None = None, seed: int = 7, least: int = 30) -> DataFrame:
+def drawn(seed: int, *keys: str) -> Column:
+    """A number from 0 to 2**60 - 1 by md5, which SQL engines share."""
+    text = F.concat_ws("/", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def block_sums(numbered: DataFrame, block: int, chunk: int = 1 << 16) -> DataFrame:
+    """Per place i: sums over the points i to i + block - 1, as far as there are any.
+
+    Places are summed in chunks; a chunk also has the first ``block`` - 1 points of the next one.
+    """
+    at = F.floor(F.col("i") / chunk)
+    chunks = F.when((F.col("i") % chunk < block - 1) & (at > 0), F.array(at - 1, at)).otherwise(F.array(at))
+    dealt = numbered.withColumn("_own", at).withColumn("_chunk", F.explode(chunks))
+    ahead = W.partitionBy("_chunk").orderBy("i").rowsBetween(0, block - 1)
+    sums = {"n": F.lit(1), "x": F.col("x"), "y": F.col("y"), "xy": F.col("x") * F.col("y"), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y")}
+    return dealt.select("i", "_own", "_chunk", *(F.sum(v).over(ahead).alias(k) for k, v in sums.items())).filter("_own = _chunk").drop("_own", "_chunk")
+
+
+def block_bootstrap(pts: DataFrame, block: int, draws: int = 300, seed: int = 7, least: int = 30) -> DataFrame:
     """95 % interval of the pooled correlation by a moving-block bootstrap: one row (n, draws, lo, hi).
 
-    Points lie in order of (symbol, t). Blocks of ``block`` points start at hashed
-    places; each draw has ceil(n / block) blocks. 300 draws, 100 above 40,000 points.
-    Null under 3 blocks of points or ``least`` valid draws.
+    Points lie in order of (symbol, t). Blocks of ``block`` points start at
+    hashed places; each of ``draws`` draws has ceil(n / block) blocks, added up
+    from the sums of every possible block. Null under 3 blocks of points or
+    ``least`` valid draws.
     """
     numbered = ranked(pts, ["symbol", "t"], "i").select("i", "x", "y").withColumn("i", F.col("i").cast("long"))
     n = numbered.count()
-    draws = draws or (100 if n > 40_000 else 300)
-    if n < 3 * block:
-        draws = 0
-    per = -(-n // block) if n else 0
-    cells = numbered.sparkSession.range(draws * per).select((F.col("id") / max(per, 1)).cast("long").alias("b"), "id")
-    starts = cells.select("b", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, n - block + 1))).alias("s"))
-    picks = starts.select("b", F.explode(F.sequence(F.col("s"), F.col("s") + block - 1)).alias("i"))
-    r = picks.join(numbered, "i").groupBy("b").agg(F.corr("x", "y").alias("r")).filter("r is not null and not isnan(r)")
+    per = -(-n // block) if n >= 3 * block else 0
+    cells = numbered.sparkSession.range(draws * per).select(F.floor(F.col("id") / max(per, 1)).alias("b"), "id")
+    starts = cells.select("b", F.pmod(drawn(seed, "id"), F.lit(max(1, n - block + 1))).alias("i"))
+    center = numbered.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))  # about the means, sums of squares keep their digits
+    shifted = numbered.join(F.broadcast(center)).select("i", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
+    s = starts.join(block_sums(shifted, block), "i").groupBy("b").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xy", "xx", "yy")))
+    var = lambda c: F.col(c + c) - F.col(c) * F.col(c) / F.col("n")
+    r = s.select("b", ((F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(var("x") * var("y"))).alias("r")).filter("r is not null and not isnan(r)")
     placed = r.withColumn("k", F.row_number().over(W.orderBy("r")) - 1).withColumn("m", F.count("*").over(W.partitionBy()))  # a row a draw
     at = lambda q: F.max(F.when(F.col("k") == F.least(F.col("m") - 1, F.floor(q * F.col("m"))), F.col("r")))
     out = placed.agg(F.count("*").alias("draws"), at(0.025).alias("lo"), at(0.975).alias("hi"))
@@ -43,7 +63,7 @@ def permutation_test(events: DataFrame, returns: DataFrame, draws: int = 500, se
     own = events.join(ring, ["symbol", "t"]).select("symbol", "pos", "len", "ret")
     real = own.agg(F.count("*").alias("n"), F.avg("ret").alias("mean"))
     moved = own.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    moved = moved.withColumn("at", F.pmod(F.col("pos") + F.pmod(F.xxhash64(F.lit(seed), "symbol", "draw"), F.col("len")), F.col("len")))
+    moved = moved.withColumn("at", F.pmod(F.col("pos") + F.pmod(drawn(seed, "symbol", "draw"), F.col("len")), F.col("len")))
     shifted = moved.select("symbol", "draw", "at").join(ring.select("symbol", F.col("pos").alias("at"), "ret"), ["symbol", "at"])
     means = shifted.groupBy("draw").agg(F.avg("ret").alias("m"))
     both = means.join(F.broadcast(real))  # one row

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from flowlens.functions.core import rows
 from flowlens.operators.panel import forward_return
-from flowlens.operators.relation import ranked
+from flowlens.operators.relation import quantile_pick, ranked, ranked_within
 
 
 def trailing_decile(panel: DataFrame, value: str, width: int = 252, least: int = 120) -> DataFrame:
@@ -103,8 +103,11 @@ def band_sweep(states: DataFrame, returns: DataFrame, run: int = 5) -> DataFrame
     hits = states.filter("decile is not null").select("symbol", "t", F.explode(bands).alias("b")).select("symbol", "t", "b.lo", "b.hi")
     events = streak_events(hits, run, ["lo", "hi", "symbol"]).join(returns, ["symbol", "t"])
     keys = ["lo", "hi", "h"]
-    med = events.groupBy(*keys).agg(F.median("ret").alias("median"))
-    return events.join(med, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.first("median").alias("median"), F.median(F.abs(F.col("ret") - F.col("median"))).alias("mad"), F.stddev_pop("ret").alias("std"))
+    own = ranked_within(events, keys, ["ret", "symbol", "t"])
+    stats = own.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), quantile_pick("ret", 0.5).alias("median"), F.stddev_pop("ret").alias("std"))
+    far = own.drop("place", "size").join(F.broadcast(stats.select(*keys, "median")), keys).withColumn("far", F.abs(F.col("ret") - F.col("median")))  # a row for each band and horizon
+    mad = ranked_within(far, keys, ["far", "symbol", "t"]).groupBy(*keys).agg(quantile_pick("far", 0.5).alias("mad"))
+    return stats.join(mad, keys).select(*keys, "n", "mean", "median", "mad", "std")
 
 
 def regime_split(events: DataFrame, returns: DataFrame, cal: DataFrame, boundary: str) -> DataFrame:

@@ -226,9 +226,14 @@ def welch_p(spark, d):
     return N.with_p(N.tercile_spread(study(spark, d))).select("horizon", r6("spread").alias("spread"), r6("t_stat").alias("t_stat"), r6("p").alias("p"))
 
 
-@query("horizon_rollup")
+@query("horizon_rollup", EVENT_SQL + LONG_SQL + "SELECT horizon, count(*) AS n, round(corr(dpi10, ret), 6) + 0.0 AS r FROM lg WHERE dpi10 IS NOT NULL AND ret IS NOT NULL GROUP BY horizon HAVING count(*) >= 5")
 def horizon_rollup(spark, d):
-    return N.horizon_rollup(study(spark, d)).select("horizon", "n", r6("r").alias("r"), r6("p").alias("p"))
+    return N.horizon_rollup(study(spark, d)).select("horizon", "n", r6("r").alias("r"))
+
+
+@query("correlation_p")
+def correlation_p(spark, d):
+    return N.correlation_p(N.horizon_rollup(study(spark, d))).select("horizon", "n", r6("r").alias("r"), r6("p").alias("p"))
 
 
 @query(

@@ -536,12 +536,31 @@ def residual_grid(spark, d):
     return own.join(A.weights(spark, d), "symbol", "left").select("symbol", r6("diff").alias("diff"), r6("shown").alias("shown"), "fallback", hot.alias("hot"), r6("weight").alias("weight"))
 
 
-@query("bootstrap_ci")
+@query(
+    "bootstrap_ci",
+    POINTS_SQL
+    + """, nb AS (SELECT row_number() OVER (ORDER BY symbol, t) - 1 AS i, x, y, count(*) OVER () AS n FROM pts), pr AS (SELECT max(n) AS n, CAST(ceil(max(n) / 21) AS BIGINT) AS per FROM nb),
+c0 AS (SELECT unnest(range(0, 300 * per)) AS id, per, n FROM pr WHERE n >= 63), cells AS (SELECT id // per AS b, CAST('0x' || substr(md5('7/' || CAST(id AS VARCHAR)), 1, 15) AS BIGINT) % (n - 20) AS s FROM c0),
+rs AS (SELECT b, corr(x, y) AS r FROM (SELECT b, s + k AS i FROM cells, range(0, 21) k(k)) JOIN nb USING (i) GROUP BY b),
+pl AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS k, count(*) OVER () AS m FROM rs WHERE r IS NOT NULL),
+o AS (SELECT count(*) AS draws, max(CASE WHEN k = least(m - 1, floor(0.025 * m)) THEN r END) AS lo, max(CASE WHEN k = least(m - 1, floor(0.975 * m)) THEN r END) AS hi FROM pl)
+SELECT n, draws, CASE WHEN draws >= 30 THEN round(lo, 6) + 0.0 END AS lo, CASE WHEN draws >= 30 THEN round(hi, 6) + 0.0 END AS hi FROM o, pr""",
+)
 def bootstrap_ci(spark, d):
-    return B.block_bootstrap(points(spark, d), 21)
+    return B.block_bootstrap(points(spark, d), 21).select("n", "draws", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
-@query("perm_test")
+@query(
+    "perm_test",
+    EVENT_SQL
+    + f""", fr AS (SELECT symbol, t, {fwd(21)} AS ret FROM panel),
+ring AS (SELECT symbol, t, ret, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS len FROM fr WHERE ret IS NOT NULL),
+own AS (SELECT symbol, pos, len, ret FROM ev JOIN ring USING (symbol, t)), re AS (SELECT count(*) AS n, avg(ret) AS mean FROM own),
+mv AS (SELECT symbol, draw, (pos + CAST('0x' || substr(md5('11/' || symbol || '/' || CAST(draw AS VARCHAR)), 1, 15) AS BIGINT) % len) % len AS pos FROM own, range(1, 501) r(draw)),
+ms AS (SELECT draw, avg(ret) AS m FROM mv JOIN ring USING (symbol, pos) GROUP BY draw), b AS (SELECT m, avg(m) OVER () AS center, n, mean FROM ms, re)
+SELECT n, round(mean, 6) + 0.0 AS mean, round(center, 6) + 0.0 AS placebo, round((count(*) FILTER (abs(m - center) >= abs(mean - center)) + 1) / (count(*) + 1), 6) + 0.0 AS p, round(avg(CAST(m < mean AS DOUBLE)), 6) + 0.0 AS percentile
+FROM b WHERE n >= 3 GROUP BY n, mean, center""",
+)
 def perm_test(spark, d):
     returns = P.forward_return(A.panel(spark, d), 21, "ret").filter("ret is not null").select("symbol", "t", "ret")
-    return B.permutation_test(events(spark, d), returns)
+    return B.permutation_test(events(spark, d), returns).select("n", *(r6(c).alias(c) for c in ("mean", "placebo", "p", "percentile")))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.functions.store import cut, shared_dir
+
+__all__ = ["BLANKS", "cut", "shared_dir", "table", "words"]
+
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -21,32 +21,3 @@ def words(text: Column | str) -> Column:
     """Words of a text, split at ASCII white space only; null gives none."""
     text = F.col(text) if isinstance(text, str) else text
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only on one machine (a local master: tests, a laptop) is one made below the
-    temporary folder where the session names none; on a cluster that is an
-    error, since executors would write to disks of their own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="flowlens-checkpoints-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
-
-    A Parquet table rather than ``checkpoint()``: later reads prune columns and
-    see row counts, and a lost executor costs nothing that is already written.
-    """
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"cut-{uuid.uuid4().hex}")
-    (df.write.option("compression", codec) if codec else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -1,33 +1,41 @@
 """HTML extraction by the maximum-scoring subsequence.
 
-A page becomes a row of words and tags.  Words and tags have weights by where
-they stand (in the page's core, in a menu, a footer, an advert, ...), learned
-from labelled pages: log-odds of standing inside the marked main region.  Words
-of the core score positive, tags negative.  One linear scan finds the best
-contiguous region; its blocks, without the boilerplate nested in it, are the
-main text.
-
-The core is the kind of container that holds most words of a page, those in an
-inner kind not counted: article elements, main, or containers whose class or id
-says content; without any of them it is the body.
+A page becomes blocks of words with the tags between them.  A logistic
+regression, fitted to pages labelled by hand (``labelled.py``), gives each
+block the log-odds that it is content, from where it stands (article, main,
+content-like containers; menus, adverts, comments and the like, told by element,
+role, class and id), its link density, length, punctuation, tag and neighbours.
+Every word scores the log-odds of its block, so words of content score
+positive; every tag has a negative weight, by how much rarer it is among the
+labelled content.  One linear scan finds the contiguous region with the largest
+sum; the text is that region's blocks of positive score.
+
+Words of recognised boilerplate score 0 in the scan: an advert between two
+halves of an article is left out of the text but does not end the region.
+All words of a block have one weight, so the scan goes block by block.
+
+Parsing takes time in proportion to the page, whatever is left open in it.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 MARK = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true)|display\s*:\s*none""", re.I)
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+CUE = re.compile(r"©|\(c\)\s|copyright|rights reserved|cookies?\b|subscribe|sign (?:up|in)|log ?in\b|privacy policy|terms of (?:use|service)", re.I)
 
 #: HTML's element kinds.
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "math", "canvas", "object"}
@@ -37,10 +45,15 @@ BLOCK_TAGS = {
     "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "select", "summary",
     "table", "tbody", "tfoot", "thead", "title", "tr", "ul",
 }
-SPACING = {"br", "td", "th", "img", "wbr"}
+SPACING = {"br", "td", "th", "img"}
+#: An open one of these ends where the next one begins.
+CLOSED_BY_SAME = {"p", "li", "option", "tr", "dt", "dd"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+ROLES = ("menu", "header", "footer", "sidebar", "form", "notice", "advert", "comments", "hidden")
+LEVELS = ("article", "main", "content")
 ROLE_OF_TAG = {
     "nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "sidebar", "form": "form", "button": "form", "select": "form", "label": "form", "fieldset": "form",
-    "dialog": "notice", "head": "head", "title": "head", "article": "article", "main": "main",
+    "dialog": "notice", "head": "hidden", "title": "hidden",
 }
 ROLE_OF_WORD = {
     **dict.fromkeys("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion banner".split(), "advert"),
@@ -51,228 +64,358 @@ ROLE_OF_WORD = {
     **dict.fromkeys("footer copyright contentinfo".split(), "footer"),
     **dict.fromkeys("header masthead topbar".split(), "header"),
     **dict.fromkeys("form search login signup signin".split(), "form"),
-    **dict.fromkeys("content article post entry story main".split(), "content"),
 }
-LEVELS = ("article", "main", "content")
-BOILERPLATE = {"menu", "header", "footer", "sidebar", "form", "notice", "head", "advert", "comments", "hidden"}
-
-#: Labelled pages to begin with: plain templates, their main region between ``<!--main-->`` and ``<!--/main-->``.
-LABELLED = (
-    '<body><header><h1>Site</h1><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav></header><!--main--><article><h1>Title of the piece</h1><p>One sentence of the story follows another here.</p><ul><li>A point that matters</li></ul><blockquote>Words that were said</blockquote></article><!--/main--><aside class="related"><a href="/a">More</a></aside><footer>All rights reserved</footer></body>',
-    '<body><div id="menu"><a href="/">Start</a> <a href="/b">Blog</a></div><!--main--><div class="post-content"><h2>Heading of it</h2><p>Plain words in a long line of text that goes on.</p><p>And some more of them with a <a href="/x">link</a> inside.</p></div><!--/main--><div id="comments"><p>Great post, thanks!</p></div><form><label>Name</label><button>Send</button></form></body>',
-    '<body><div class="cookie-notice"><p>We use cookies on this site.</p></div><!--main--><main><p>The body of this page is long enough to read for a while.</p><table><tr><td>cell</td><td>other</td></tr></table></main><!--/main--><div class="ad">Buy this now</div></body>',
-    '<body><table><tr><td><a href="/1">one</a></td><td><a href="/2">two</a></td><td><a href="/3">three</a></td></tr></table><!--main--><p>Old pages keep their text in bare paragraphs without any container.</p><p>It is still the densest run of words on them.</p><!--/main--><ul><li><a href="/4">four</a></li><li><a href="/5">five</a></li></ul></body>',
-)
+CONTENT_WORDS = frozenset("content article post entry story main".split())
+#: Words of class names that tell of layout only: the word before them counts.
+LAYOUT_WORDS = frozenset("area bar block body bottom box button buttons column container inner item items left link links list panel posts articles stories right row section slot text title top unit wrap wrapper zone".split())
+NEGATIONS = frozenset("has no non not with without is hide".split())
 
 
-class Event(NamedTuple):
-    """A tag, or a stretch of text in one block."""
+class Role(NamedTuple):
+    """What an element says of what it holds: boilerplate, boilerplate perhaps, a level of content."""
 
-    kind: str  # "word" or the tag's name
-    role: str
-    n: int  # words, or 1
-    block: int
-    text: str
-    at: int  # where it begins in the page
-    inside: frozenset[str]  # the kinds of core containers around it, also around boilerplate
+    strong: str | None
+    weak: bool
+    level: str | None
 
 
-def role_of(name: str, attributes: str) -> str | None:
-    """Role by element, role, class and id.
+def class_role(token: str) -> tuple[str | None, bool, bool]:
+    """(boilerplate role, boilerplate perhaps, content) of one class or id.
 
-    An article or main element, and one whose classes name content, is
-    boilerplate only by a class that is a boilerplate word as a whole, and not
-    if another class names content: has-sidebar tells of the page.
+    The last word but for words of layout counts, as in comment-list and
+    post-footer; share-price and related-work only hold such a word, and
+    has-sidebar tells of the page.
+    """
+    words = [w.lower() for w in PART.findall(token)]
+    roles = [w for w in words if w in ROLE_OF_WORD]
+    if not roles:
+        core = [w for w in words if w not in LAYOUT_WORDS]
+        return None, False, bool(core) and core[-1] in CONTENT_WORDS and words[0] not in NEGATIONS
+    head = next((w for w in reversed(words) if w not in LAYOUT_WORDS), "")
+    if head in ROLE_OF_WORD and words[0] not in NEGATIONS:
+        return ROLE_OF_WORD[head], True, False
+    return None, True, False
+
+
+@cache
+def role_of(name: str, attributes: str) -> Role:
+    """Role of an element by its name, role, class and id.
+
+    An article or main element, or one that a class of its own calls content,
+    is boilerplate only by a class that is one boilerplate word.
     """
     if HIDDEN.search(attributes):
-        return "hidden"
-    own, found, whole, titled = ROLE_OF_TAG.get(name), [], set(), False
+        return Role("hidden", True, None)
+    strong, weak, level, found = ROLE_OF_TAG.get(name), False, name if name in ("article", "main") else None, []
     if name not in ("body", "html"):
         for m in MARK.finditer(attributes):
             value = m[2] or m[3] or m[4] or ""
             if m[1].lower() == "role" and value.strip().lower() in ("article", "main"):
-                own = value.strip().lower()
+                level = value.strip().lower()
                 continue
             for token in value.split():
-                words = PART.findall(token)
-                roles = [r for r in (ROLE_OF_WORD.get(w.lower()) for w in words) if r]
-                found += roles
-                if len(words) == 1 and roles:
-                    whole.add(roles[0])
-    if "content" in whole or own in ("article", "main"):
-        found = [] if "content" in whole else [r for r in found if r in whole]
-        titled = "content" in whole
-    for role in found:
-        if role != "content" and not (role in ("header", "form") and name in ("h1", "h2", "h3", "h4", "h5", "h6")):
-            return role
-    return own or ("content" if titled else found[0] if found else None)
-
-
-def events(page: str) -> list[Event]:
-    """Words and tags of a page with their roles; character references are decoded."""
-    out: list[Event] = []
-    stack: list[tuple[str, str | None]] = []
-    role, inside, block, at = "body", frozenset(), 0, 0
-
-    def current() -> tuple[str, frozenset[str]]:
-        inside, best = [], None
-        for _, r in stack:
-            if r in BOILERPLATE and not (r == "header" and best in ("article", "main")):
-                return r, frozenset(inside)
-            if r in LEVELS:
-                inside.append(r)
-                best = min(inside, key=LEVELS.index)
-        return best or "body", frozenset(inside)
-
-    def say(upto: int) -> None:
-        text = html.unescape(page[at:upto])
-        if text:
-            out.append(Event("word", role, len(text.split()), block, text, at, inside))
-
-    for m in TAG.finditer(page):
-        if m.start() < at:
+                role, perhaps, content = class_role(token)
+                weak |= perhaps
+                if role and not (role in ("header", "form") and name in HEADINGS):
+                    found.append((role, token.isalpha() and len(PART.findall(token)) == 1))
+                if content and level is None:
+                    level = "content"
+    if level is not None:
+        found = [x for x in found if x[1]]
+    return Role(found[0][0] if found else strong, weak, level)
+
+
+class State(NamedTuple):
+    """What holds at a place: boilerplate roles and levels around it, the innermost level, and the innermost element with a role."""
+
+    roles: frozenset[str] = frozenset()
+    weak: bool = False
+    levels: frozenset[str] = frozenset()
+    level: str | None = None
+    owner: int = -1
+
+
+@dataclass
+class Block:
+    """A run of text without block tags in it."""
+
+    state: State
+    tag: str
+    at: int  # where its text begins in the page
+    parts: list[str] = field(default_factory=list)
+    words: int = 0
+    linked: int = 0
+    text: str = ""
+
+
+class Page(NamedTuple):
+    blocks: list[Block]
+    tags: list[list[str]]  # before each block, and after the last one
+    owners: list[tuple[str, int]]  # role and parent of each element that has a role
+
+
+def end_of_tag(page: str, at: int, gone: set[str]) -> int:
+    """Place of the ``>`` that ends a tag, outside of quoted values; -1 if there is none.
+
+    ``gone`` holds the quotes that do not come any more.  Every search goes on
+    where the last one for the same character ended, so none is done twice.
+    """
+    end, next_of = page.find(">", at), dict.fromkeys("\"'", -1)
+    while end >= 0:
+        for q in next_of:
+            if next_of[q] < at and q not in gone:
+                found = page.find(q, at)
+                if found < 0:
+                    gone.add(q)
+                next_of[q] = found
+        first = min((x for q, x in next_of.items() if q not in gone), default=end)
+        if first >= end:
+            return end
+        at = first + 1
+        if page[max(0, first - 8) : first].rstrip()[-1:] == "=":  # a value begins
+            close = page.find(page[first], at)
+            if close < 0:
+                gone.add(page[first])
+                continue
+            at = close + 1
+        if at > end:
+            end = page.find(">", at)
+    return -1
+
+
+def parse(page: str) -> Page:
+    """Blocks of a page with the tags between them; character references are decoded."""
+    blocks: list[Block] = []
+    tags: list[list[str]] = [[]]
+    owners: list[tuple[str, int]] = []
+    stack: list[tuple[str, State]] = []
+    open_names: list[dict[str, int]] = [{}]  # of the elements since each article or main that is open
+    state, linked, current, gone, at, end = State(), False, None, set(), 0, len(page)
+
+    def say(text: str, place: int) -> None:
+        nonlocal current
+        if not text:
+            return
+        if current is None:
+            current = Block(state, stack[-1][0] if stack else "body", place)
+        current.parts.append(text)
+        n = len(text.split())
+        current.words += n
+        current.linked += n if linked else 0
+
+    def finish() -> None:
+        nonlocal current
+        if current is not None and current.words:
+            current.text = " ".join("".join(current.parts).split())
+            blocks.append(current)
+            tags.append([])
+        current = None
+
+    def pop() -> None:
+        name, _ = stack.pop()
+        if len(open_names) > 1 and name in ("article", "main"):
+            open_names.pop()
+        open_names[-1][name] -= 1
+
+    while at < end:
+        start = page.find("<", at)
+        if start < 0:
+            say(html.unescape(page[at:]), at)
+            break
+        if start > at:
+            say(html.unescape(page[at:start]), at)
+        if page.startswith("<!--", start):
+            close = page.find("-->", start + 4)
+            at = end if close < 0 else close + 3
             continue
-        say(m.start())
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        m = NAME.match(page, start + 1)
+        if m is None:
+            if page[start + 1 : start + 2] in ("!", "?", "/"):
+                close = page.find(">", start)
+                at = end if close < 0 else close + 1
+            else:
+                say("<", start)
+                at = start + 1
             continue
-        name, closing, attributes = name.lower(), bool(m[1] or m[4]), (m[3] or m[6] or "")
+        close = end_of_tag(page, m.end(), gone)
+        if close < 0:
+            close = page.find(">", m.end())  # a quote that never ends
+            if close < 0:
+                break
+        name, closing, attributes = m[1].lower(), page[start + 1] == "/", page[m.end() : close]
+        at = close + 1
         if name in RAW:
             if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+                close = page.find(">", stop.end()) if stop else -1
+                at = end if close < 0 else close + 1
             continue
         if name in BLOCK_TAGS:
-            block += 1
+            finish()
         elif name in SPACING:
-            out.append(Event("space", role, 0, block, " ", m.start(), inside))
-        if not closing and name not in VOID:
-            own = role_of(name, attributes)
-            if name in BLOCK_TAGS or own:
-                if name in ("p", "li", "option", "tr", "dt", "dd") and stack and stack[-1][0] == name:
-                    stack.pop()
-                stack.append((name, own))
-                role, inside = current()
-        out.append(Event(name, role, 1, block, "", m.start(), inside))
+            say(" ", start)
+        tags[-1].append(name)
+        if name == "a":
+            linked = not closing
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][1] in ("article", "main") and name not in ("body", "html", "article", "main"):
-                    break  # a stray end tag does not close the article around it
-            role, inside = current()
-    say(len(page))
-    return out
+            wide = name in ("body", "html", "article", "main")
+            if any(x.get(name) for x in (open_names if wide else open_names[-1:])):
+                while stack[-1][0] != name:
+                    pop()
+                pop()
+                state = stack[-1][1] if stack else State()
+        elif name not in VOID:
+            own = role_of(name, attributes) if len(attributes) < 1000 else role_of.__wrapped__(name, attributes)
+            if name in BLOCK_TAGS or own.strong or own.level:
+                if name in CLOSED_BY_SAME and stack and stack[-1][0] == name:
+                    pop()
+                    state = stack[-1][1] if stack else State()
+                strong = own.strong if not (own.strong == "header" and state.levels) else None  # a header of the article's own
+                if strong or own.weak or own.level:
+                    if strong:
+                        owners.append((strong, state.owner))
+                    state = State(
+                        state.roles | {strong} if strong else state.roles, state.weak or (own.weak and not strong),
+                        state.levels | {own.level} if own.level and not strong else state.levels, own.level if own.level and not strong else state.level, len(owners) - 1 if strong else state.owner,
+                    )
+                stack.append((name, state))
+                open_names[-1][name] = open_names[-1].get(name, 0) + 1
+                if name in ("article", "main"):
+                    open_names.append({})
+    finish()
+    return Page(blocks, tags, owners)
+
+
+def whole_page_roles(page: Page) -> set[int]:
+    """Elements with a form's, header's or notice's role that hold nearly all of a page's text: they only wrap it."""
+    held = [0] * len(page.owners)
+    for b in page.blocks:
+        if b.state.owner >= 0 and b.state.roles <= {page.owners[b.state.owner][0]}:
+            held[b.state.owner] += b.words - b.linked
+    every = sum(b.words - b.linked for b in page.blocks)
+    return {k for k, (role, _) in enumerate(page.owners) if role in ("form", "header", "notice") and held[k] >= 20 and held[k] > 0.7 * every}
+
+
+FEATURES = (
+    "always", *ROLES, "weak", "in core element", "in core class", "beside core", "link density", "mostly links", "log words", "three words", "ten words", "sentence", "ends a sentence",
+    "p", "li", "heading", "cell", "link density before", "log words before", "link density after", "log words after", "cue",
+)
+SENTENCE, ENDS = re.compile("[.!?。！？]"), ".!?:…\"”»。！？"
+CELLS = {"td", "th", "tr", "table", "tbody", "dt", "dd"}
+
+
+def features(page: Page) -> np.ndarray:
+    """(blocks, FEATURES).
+
+    The core is the kind of container, article, main or content-like, that holds
+    most words outside of boilerplate, those in an inner kind not counted; of
+    equal ones the first.
+    """
+    blocks, wraps = page.blocks, whole_page_roles(page)
+    roles = [frozenset() if b.state.owner in wraps else b.state.roles for b in blocks]
+    held = {x: sum(b.words for b, r in zip(blocks, roles) if x == b.state.level and not r) for x in LEVELS}
+    core = max(LEVELS, key=held.get) if any(held.values()) else None
+    density = [0.0, *(b.linked / b.words for b in blocks), 0.0]
+    size = [0.0, *np.log1p([b.words for b in blocks]).tolist(), 0.0]
+    rows = []
+    for k, b in enumerate(blocks, 1):
+        own, levels, text, tag = roles[k - 1], b.state.levels, b.text, b.tag
+        rows.append((
+            *marks(own, b.state.weak), core in levels and core != "content" and not own, core in levels and core == "content" and not own, core is not None and core not in levels, density[k], density[k] > 0.5, size[k], b.words <= 3, b.words < 10,
+            SENTENCE.search(text) is not None, text[-1] in ENDS, tag == "p", tag == "li", tag in HEADINGS, tag in CELLS, density[k - 1], size[k - 1], density[k + 1], size[k + 1], CUE.search(text) is not None,
+        ))
+    return np.array(rows, float).reshape(-1, len(FEATURES))
+
+
+@cache
+def marks(roles: frozenset[str], weak: bool) -> tuple[float, ...]:
+    return (1.0, *(float(r in roles) for r in ROLES), float(weak))
+
 
+class Weights(NamedTuple):
+    """Weights of ``FEATURES`` and of tags."""
 
-def places(found: list[Event]) -> list[str]:
-    """Each event's place: core (open, if only a class or nothing marks it), nested (boilerplate) or rest."""
-    held = {x: 0 for x in LEVELS}
-    for e in found:
-        if e.role in held and e.kind == "word":
-            held[e.role] += e.n
-    level = max(LEVELS, key=held.get) if any(held.values()) else "body"  # of equal ones the first
-    core = "core" if level in ("article", "main") else "open"
-    return ["nested" if e.role in BOILERPLATE else core if level in e.inside or e.role == level else "rest" for e in found]
+    block: np.ndarray
+    tag: dict[str, float]
 
 
-def feature(e: Event, place: str) -> str:
-    name = e.kind if e.kind in ("word", "space") or e.kind in BLOCK_TAGS or e.kind in ("a", "b", "i", "em", "strong", "span", "td", "th", "br", "img") else "other"
-    return f"{name}@{place}"
+MOST = 2.0  # log-odds that a word scores at most, either way
+MOST_TAG = 0.3
+RIDGE = 0.1
 
 
-def count_features(page: str, counts: dict[str, list[int]]) -> None:
-    """Add a labelled page's features, inside and outside its main region; unlabelled pages add nothing.
+def fit(pages: list[str]) -> Weights:
+    """Weights from labelled pages, whose content stands between ``<!--+-->`` and ``<!--/-->``.
 
-    A page is labelled by a ``<!--main-->`` comment, or else by its one article or main element.
+    Blocks: a logistic regression with a small ridge penalty, by Newton's
+    method.  Tags: log-odds of standing within rather than outside of content,
+    a word's being those of all words; between -MOST_TAG and -0.05.
     """
-    a, b = page.find("<!--main-->"), page.find("<!--/main-->")
-    found = events(page)
-    spots = places(found)
-    if a < 0 or b < 0:
-        if "core" not in spots:
-            return
-    for e, place in zip(found, spots):
-        inside = a < e.at < b if a >= 0 and b >= 0 else place == "core"
-        counts.setdefault(feature(e, place), [0, 0])[0 if inside else 1] += e.n
-
-
-def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """Log-odds of each feature, words of the core and of open pages positive, tags and the rest negative."""
-    out = {}
-    for name, (inside, outside) in counts.items():
-        odds = math.log((inside + 0.5) / (outside + 0.5))
-        if name in ("word@core", "word@open"):
-            out[name] = min(2.0, max(0.5, odds))
-        elif name.startswith("word@"):
-            out[name] = min(-0.5, max(-2.0, odds))
-        else:
-            out[name] = min(-0.05, max(-2.0, odds))
-    return out
-
-
-def weight(weights: dict[str, float], name: str) -> float:
-    kind, place = name.split("@")
-    if place == "nested":
-        return 0.0  # left out of the text, and no reason to end the region
-    if name in weights:
-        return weights[name]
-    if kind == "space":
-        return 0.0
-    if kind == "word":
-        return 1.0 if place in ("core", "open") else -1.0
-    return -0.05 if place in ("core", "open") else -1.0
-
-
-def extract_one(page: str | None, weights: dict[str, float]) -> str:
-    """Main text of a page: blocks of the best region, joined by an empty line."""
-    if not page:
-        return ""
-    found = events(page)
-    spots = places(found)
-    best, best_at, run, start = 0.0, (0, 0), 0.0, 0
-    for k, (e, place) in enumerate(zip(found, spots)):
-        run += e.n * weight(weights, feature(e, place))
+    rows, marks, inside, outside, words = [], [], {}, {}, [0, 0]
+    for text in pages:
+        page = parse(text)
+        spans = [(m.start(), e if (e := text.find("<!--/-->", m.start())) >= 0 else len(text)) for m in re.finditer(re.escape("<!--+-->"), text)]
+        labels = [any(a < b.at < e for a, e in spans) for b in page.blocks]
+        rows.append(features(page))
+        marks += labels
+        for b, yes, names in zip(page.blocks, labels, page.tags):
+            words[yes] += b.words
+            for name in names:
+                (inside if yes else outside)[name] = (inside if yes else outside).get(name, 0) + 1
+    x, y = np.concatenate(rows), np.array(marks, float)
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w)), x.T @ (y - p) - RIDGE * w)
+    odds = np.log((words[1] + 1) / (words[0] + 1))
+    tag = {name: float(min(-0.05, max(-MOST_TAG, np.log((inside.get(name, 0) + 0.5) / (outside.get(name, 0) + 0.5)) - odds))) for name in {*inside, *outside}}
+    return Weights(w, tag)
+
+
+def best_region(scores: np.ndarray) -> tuple[int, int]:
+    """(first, end) of the contiguous run with the largest sum, of equal sums the shortest that ends first; empty if none is positive."""
+    best, found, run, start = 0.0, (0, 0), 0.0, 0
+    for k, x in enumerate(scores.tolist()):
+        run += x
         if run <= 0:
             run, start = 0.0, k + 1
-        elif run >= best:
-            best, best_at = run, (start, k + 1)
-    blocks: dict[int, list[str]] = {}
-    for e, place in zip(found[slice(*best_at)], spots[slice(*best_at)]):
-        if e.text and place in ("core", "open"):
-            blocks.setdefault(e.block, []).append(e.text)
-    joined = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
-    return "\n\n".join(b for b in joined if b)
+        elif run > best:
+            best, found = run, (start, k + 1)
+    return found
 
 
-def learn(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
-    """Weights from all pages of the table that label themselves, and from ``LABELLED``; features are a fixed set."""
+def extract_one(page: str | None, weights: Weights) -> str:
+    """Main text of a page: the content blocks of the best region, joined by an empty line."""
+    if not page:
+        return ""
+    found = parse(page)
+    if not found.blocks:
+        return ""
+    x = features(found)
+    odds = np.clip(x @ weights.block, -MOST, MOST)
+    known = x[:, 1 : 1 + len(ROLES)].any(axis=1)
+    words = np.array([b.words for b in found.blocks]) * np.where(known & (odds < 0), 0.0, odds)
+    scores = np.zeros(2 * len(words))
+    scores[0::2] = [sum(weights.tag.get(name, -0.05) for name in names) for names in found.tags[:-1]]
+    scores[1::2] = words
+    first, end = best_region(scores)
+    return "\n\n".join(b.text for k, b in enumerate(found.blocks) if first <= 2 * k + 1 < end and odds[k] > 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, list[int]] = {}
-        for b in batches:
-            for value in b.column(0):
-                if value.is_valid:
-                    count_features(value.as_py(), counts)
-        yield pa.RecordBatch.from_pydict({"feature": list(counts), "inside": [c[0] for c in counts.values()], "outside": [c[1] for c in counts.values()]}, pa.schema([("feature", pa.string()), ("inside", pa.int64()), ("outside", pa.int64())]))
-
-    sums = pages.select(html_col).mapInArrow(run, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside"), F.sum("outside"))
-    counts: dict[str, list[int]] = {}
-    for page in LABELLED:
-        count_features(page, counts)
-    for name, inside, outside in sums.collect():  # at most a few hundred features
-        had = counts.setdefault(name, [0, 0])
-        had[0] += inside
-        had[1] += outside
-    return weights_of({k: tuple(v) for k, v in counts.items()})
-
-
-def extract(pages: DataFrame, weights: dict[str, float], keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
+
+@cache
+def learn() -> Weights:
+    """Weights from the pages labelled by hand."""
+    from flowlens.llm.labelled import pages
+
+    return fit(pages())
+
+
+def extract(pages: DataFrame, weights: Weights, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
     """``keep``, ``text`` and ``n_chars`` of every row; null, empty and text-free pages give an empty text.
 
-    Rows may repeat, other columns may be null and are not read.
+    Rows may repeat, other columns may be null and are not read.  Of regions
+    with equal scores the first to end is taken.  Pages of any length are read
+    whole, in time and memory in proportion to them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

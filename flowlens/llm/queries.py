@@ -20,7 +20,7 @@ def tokenizer(name: str) -> str:
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return html.extract(pages, html.learn(pages))
+    return html.extract(pages, html.learn())
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import hashlib
 import os
+import random
 import re
+import time
 import zlib
 from html import unescape
 
@@ -10,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.llm import flac, html, licences, queries
+from flowlens.llm import flac, html, labelled, licences, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -138,10 +140,7 @@ def test_extraction_query(spark):
 
 @pytest.fixture(scope="module")
 def weights():
-    counts = {}
-    for page in html.LABELLED:
-        html.count_features(page, counts)
-    return html.weights_of({k: tuple(v) for k, v in counts.items()})
+    return html.learn()
 
 
 @pytest.mark.parametrize(
@@ -184,11 +183,66 @@ def test_extraction_finds_the_core_by_its_words(weights, page, want):
     assert html.extract_one(page, weights) == want
 
 
+LINKS = "<a href=/>Some link</a> " * 10
+
+
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        (f"<article><p>{STORY}</p><div class='share-price'>{STORY}</div><div class='content-ad-free'>{STORY}</div><section class='related-work'>{STORY}</section></article>", 4),
+        (f"<article><p>{STORY}</p></article><aside>{LINKS}</aside><article><p>{STORY}</p></article>", 2),
+        (f"<div><div>Contact us</div><div><a href=/>Home</a></div></div><div>{STORY}</div><div>{STORY} {STORY}</div><div>Copyright 2020 All rights reserved</div>", 2),
+        (f"<form action=/><div>{LINKS}</div><div class=content><p>{STORY}</p><p>{STORY}</p><p>{STORY}</p></div></form>", 3),
+        (f"<p>{STORY}</p><p>{STORY}</p><p>{STORY}</p>" + "<div><a href=/>Another link of the page</a></div>" * 12 + f"<p>{STORY}</p>", 3),  # the scan leaves the last one out
+    ],
+)
+def test_extraction_is_not_a_matter_of_words_in_classes(weights, page, blocks):
+    assert html.extract_one(page, weights).count(STORY) == html.extract_one(page, weights).count("\n\n") + 1 + ("{0} {0}".format(STORY) in page)
+    assert html.extract_one(page, weights).count("\n\n") + 1 == blocks
+
+
+def test_weights_and_scan_decide(weights):
+    page = f"<p>{STORY}</p><p>{STORY}</p>" + "<div><a href=/>Another link of the page</a></div>" * 12 + f"<p>{STORY}</p>"
+    assert html.extract_one(page, html.Weights(np.zeros_like(weights.block), {})) == ""
+    odds = html.features(html.parse(page)) @ weights.block
+    assert (odds > 0).sum() == 3 and html.extract_one(page, weights).count(STORY) == 2
+
+
+def test_best_region_equals_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        x = rng.integers(-5, 6, rng.integers(0, 14)).astype(float)
+        first, end = html.best_region(x)
+        sums = {(a, b): x[a:b].sum() for a in range(len(x)) for b in range(a + 1, len(x) + 1)}
+        assert x[first:end].sum() == max([0.0, *sums.values()])
+
+
+def test_labelled_pages_are_learned(weights):
+    rng, right = random.Random(77), 0
+    pages = [labelled.filled(t, rng) for t in labelled.TEMPLATES for _ in range(5)]  # words and lengths that were not learned
+    for text in pages:
+        spans = [(m.start(), text.find("<!--/-->", m.start())) for m in re.finditer(re.escape("<!--+-->"), text)]
+        want = "\n\n".join(b.text for b in html.parse(text).blocks if any(a < b.at < (z if z >= 0 else len(text)) for a, z in spans))
+        right += html.extract_one(text, weights) == want
+    assert right >= 0.9 * len(pages)
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<a x='", "<a ", "</svg", "<", "</div>", "<article>", "<a x=\">", "<p><article><div></p>", "<a '\""])
+def test_long_pages_take_linear_time(weights, unit):
+    took = []
+    for size in (1 << 18, 1 << 20):
+        page = "<svg>" * (unit == "</svg") + unit * (size // len(unit)) + " words"
+        began = time.process_time()
+        html.extract_one(page, weights)
+        took.append(time.process_time() - began)
+    assert took[1] < 9 * took[0] + 0.5  # four times as long
+
+
 def test_pages_null_and_empty(spark, weights):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "", "x"), (2, "u", "<p>a b</p>", "x"), (2, "u", "<p>a b</p>", "x")], "page_id long, url string, html string, text string")
     got = sorted((r["text"], r["n_chars"]) for r in html.extract(df, weights).collect())
     assert got == [("", 0), ("", 0), ("a b", 3), ("a b", 3)]
-    assert html.extract(df.limit(0), html.learn(df.limit(0))).count() == 0
+    assert html.extract(df.limit(0), weights).count() == 0
 
 
 # ---------------------------------------------------------------- licences

@@ -38,6 +38,16 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert quality.quality(odd.select("doc_id", "text"), labels.limit(0)).filter("kept").count() == 3
     kept = quality.kept_documents(odd, labels)
     assert kept.columns == odd.columns and kept.count() == sum(r["kept"] for r in rows)
+    assert all(r["score"] == 0.5 and r["fp"] == 3 for r in kept.collect())  # the caller's own columns
+    clash = quality.quality(odd, labels).collect()
+    assert sorted(r["score"] for r in clash) == sorted(r["score"] for r in rows) and all(r["rank"] == 1 for r in clash)
+
+
+def test_trusted_ids_meet_texts_either_way(spark, docs):
+    trusted = docs.select(F.col("doc_id").alias("_label_id")).filter("doc_id % 3 = 0")
+    a, b = (quality.marked(docs.select("doc_id", "text"), trusted, most) for most in (10**6, 0))
+    assert "BroadcastHashJoin" in a._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.filter("_trusted").count() == trusted.count()
 
 
 def test_ratios_grow_with_the_corpus(spark, docs, texts, labels):

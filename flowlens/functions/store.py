@@ -27,15 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
+def cut(df: DataFrame, codec: str | None = None, parts: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there; the table is deleted when the application ends.
 
+    ``parts``: files of a small table, which later jobs then need not open by the dozen.
+
     A Parquet table rather than ``checkpoint()``: later reads prune columns and
     see row counts, and a lost executor costs nothing that is already written.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"cut-{uuid.uuid4().hex}")
-    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    out = (df.repartition(parts) if parts else df).write
+    (out.option("compression", codec) if codec else out).parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

@@ -38,7 +38,7 @@ def op4_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = licences.scan(table(spark, sf_dir, "documents"), ["doc_id"])
     family = F.transform("licences", lambda x: x["family"])
     return found.select("doc_id", "n_windows", F.size("licences").cast("long").alias("n_licences"), F.array_join(F.array_sort(F.array_distinct(family)), ",").alias("families"))
 

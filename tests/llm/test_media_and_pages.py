@@ -8,8 +8,10 @@ import time
 import zlib
 from html import unescape
 
+import brute
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from flowlens.llm import flac, html, labelled, licences, queries
@@ -262,6 +264,66 @@ def test_licences_of_odd_rows(spark, docs, none):
     got = {r["doc_id"]: [x["family"] for x in r["licences"]] for r in licences.scan(odd).filter("doc_id < 0").collect()}
     assert got == {-1: ["MIT"], -2: [], -3: [], -4: []}
     assert licences.scan(none.select("doc_id", "text")).count() == 0
+    clash = licences.scan(docs.select("doc_id", "text", F.lit(1).alias("n_windows"), F.lit(2).alias("p"), F.lit(3).alias("_likely")).limit(5))
+    assert clash.columns == ["doc_id", "text", "p", "_likely", "n_windows", "licences"] and clash.count() == 5
+
+
+WRAPPED = """/*
+ * Copyright (c) 2020 Somebody
+ *
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ */
+int main() {}"""
+HEADER = """# This library is free software; you can redistribute it and/or
+# modify it under the terms of the GNU Lesser General Public
+# License as published by the Free Software Foundation; either
+# version 2.1 of the License, or (at your option) any later version."""
+BOTH = "Released under the MIT License, or, as you wish, licensed under the Apache License, Version 2.0."
+
+
+@pytest.fixture(scope="module")
+def licensed(spark, docs):
+    rows = [(-1, WRAPPED), (-2, HEADER), (-3, BOTH), (-4, "// SPDX-License-Identifier: Zlib"), (-5, "They studied at MIT, and the Apache license plate was new."), (-6, "Redistribution and use in source and binary\nforms, with or without modification, are\npermitted provided that the following\nconditions are met:"), (-7, "This is free and unencumbered software released into the public domain. " + "word and " * 300)]
+    return spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+
+
+def test_wrapped_and_rarer_notices(licensed):
+    got = {r["doc_id"]: sorted({x["family"] for x in r["licences"]}) for r in licences.scan(licensed, ["doc_id"]).filter("doc_id < 0").collect()}
+    assert got == {-1: ["MIT"], -2: ["LGPL"], -3: ["Apache-2.0", "MIT"], -4: ["Zlib"], -5: [], -6: ["BSD"], -7: ["Unlicense"]}
+
+
+def test_licence_scores_equal_brute_force(spark, licensed):
+    """Windows, n-grams, softmax, template shares and calibration, in plain Python."""
+    work = licensed.filter("doc_id < 60").select(F.struct("doc_id").alias("_row"), F.col("text").alias("_text"))
+    notices = licences.notice_grams(spark)
+    model = licences.learn(work, notices)
+    found = licences.likely(work, model, notices, ["_row"]).collect()
+    texts = {r["_row"]["doc_id"]: r["_text"] for r in work.collect()}
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    ones = lambda ws: [brute.signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in ws]
+
+    def hashes(ws):
+        o = ones(ws)
+        return set(o) | {brute.signed(brute.spark_xx(b, brute.spark_xx(a, 42))) for a, b in zip(o, o[1:])}
+
+    assert {f: [set(x) for x in xs] for f, xs in notices.items()} == {f: [hashes(words(t)) for t in ts] for f, ts in licences.templates().items()}
+    for r in found:
+        text = texts[r["_row"]["doc_id"]]
+        ws = [p[s : s + 64] for p in map(words, re.split(r"\n[\W_]*?\n", text or "")) if p for s in range(0, max(len(p) - 32, 1), 32)]
+        assert r["n_windows"] == len(ws)
+        seen = {x["window"]: x for x in r["_likely"]}
+        for k, w in enumerate(ws):
+            gs = hashes(w)
+            active = [model.row[b] for b in {g % licences.BUCKETS for g in gs} if model.row[b]]
+            e = np.exp([sum(own[x] for x in active) + bias for own, bias in zip(model.weights, model.intercepts)])
+            p = e / e.sum()
+            if k in seen:
+                assert np.allclose(seen[k]["p"], p, atol=1e-6)
+                assert np.allclose(seen[k]["held"], [max(len(gs & set(n)) / len(n) for n in notices[f]) for f in licences.FAMILIES])
+            else:
+                assert p[:-1].max() < p[-1] + 1e-6
 
 
 def test_files_are_not_in_the_repository():

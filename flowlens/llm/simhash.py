@@ -1,14 +1,19 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Fingerprints are 64 bits wide.  The anchors are the code words of a product of
-two binary Golay codes (23, 12) that covers bits 0-22 and 23-45: every
-fingerprint lies within radius 3 of exactly one code word in either block, so
-within R = 6 of one anchor, its home.  If two fingerprints differ in at most t
-bits, each lies within R + t of the other's home.  So every distinct
-fingerprint goes home once and is replicated to every anchor within R + t (no
-more than 3 + t in either block, which the home's radius already implies), and
-only fingerprints that meet at an anchor are compared, on all 64 bits.  With
-2**24 anchors a fingerprint has about 78 replicas, however many rows there are.
+Fingerprints are 64 bits wide.  The anchors are the code words of a product
+code over all of them: two binary Golay codes (23, 12) on bits 0-22 and 23-45,
+and six repetition codes (3, 1) on bits 46-63.  Every fingerprint lies within
+radius 3 of exactly one code word in a Golay block and within radius 1 of
+exactly one in a group of three bits; together these are its home.  If two
+fingerprints differ in at most t bits, a block in which they differ in d holds
+the other's home within its radius + d.  So every distinct fingerprint goes
+home once and is replicated to every anchor that it reaches with t bits shared
+out among the blocks, and only fingerprints that meet at an anchor are
+compared, on all 64 bits.
+
+With t = 2 a fingerprint has about 130 replicas, however many rows there are.
+There are 2**30 anchors, so N random fingerprints make about
+N * N * 130 / 2**30 comparisons: fewer than replicas up to a billion of them.
 
 Exact copies share a fingerprint and are folded before any of this; what joins
 and iterates is distinct fingerprints only.
@@ -29,7 +34,9 @@ from flowlens.llm.common import cut
 
 #: Golay code (23, 12, 7), its generator and its covering radius.
 GENERATOR, LENGTH, CHECKS, RADIUS = 0b110001110101, 23, 11, 3
-BLOCKS = 2
+GROUPS = 6
+#: Fingerprints of more than one row in so many are hot; there are no more hot ones than this.
+HOT = 1000
 CHUNK = 1 << 16
 
 
@@ -95,16 +102,34 @@ def patterns(most: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def flips(threshold: int) -> list[int]:
+    """Sets of groups that ``threshold`` bits can turn to their other code word, one bit a group at least."""
+    return [m for m in range(1 << GROUPS) if m.bit_count() <= threshold]
+
+
+def thirds(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits 46-63 by groups of three: the nearest code words, and which groups are none themselves, as bit sets."""
+    home, mixed = np.zeros(len(bits), np.int64), np.zeros(len(bits), np.int64)
+    for g in range(GROUPS):
+        ones = np.bitwise_count(bits >> np.uint64(2 * LENGTH + 3 * g) & np.uint64(7))
+        home |= (ones >= 2).astype(np.int64) << g
+        mixed |= ((ones == 1) | (ones == 2)).astype(np.int64) << g
+    return home, mixed
+
+
 def anchors_of(fps: np.ndarray, threshold: int, home: bool, tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """(row, anchor) for every anchor within reach of each fingerprint, or for its home only."""
-    most, total = (RADIUS, BLOCKS * RADIUS) if home else (RADIUS + threshold, BLOCKS * RADIUS + threshold)
+    reach = 0 if home else threshold
     bits = fps.view(np.uint64)
     low = (bits & np.uint64((1 << LENGTH) - 1)).astype(np.int64)
     high = (bits >> np.uint64(LENGTH) & np.uint64((1 << LENGTH) - 1)).astype(np.int64)
     s_low, s_high = remainders(low), remainders(high)
-    rows, anchors = [], []
-    for a in range(most + 1):
-        for b in range(min(most, total - a) + 1):
+    rows, anchors, left = [], [], []
+    for a in range(RADIUS + reach + 1):
+        for b in range(RADIUS + reach + 1):
+            spare = reach - max(0, a - RADIUS) - max(0, b - RADIUS)
+            if spare < 0:
+                continue
             (pa_, na), (pb_, nb) = tables[a], tables[b]
             for i in range(pa_.shape[1]):
                 here = np.flatnonzero(na[s_low] > i)
@@ -116,7 +141,15 @@ def anchors_of(fps: np.ndarray, threshold: int, home: bool, tables: list[tuple[n
                     at = here[both]
                     rows.append(at)
                     anchors.append(first[both] << (LENGTH - CHECKS) | (high[at] ^ pb_[s_high[at], j]) >> CHECKS)
-    return np.concatenate(rows), np.concatenate(anchors)
+                    left.append(np.full(len(at), spare))
+    rows, anchors, left = (np.concatenate(x) for x in (rows, anchors, left))
+    nearest, mixed = thirds(bits)
+    out = []
+    for m in flips(reach):  # a group that is no code word is one bit from turning, another one two bits
+        cost = np.bitwise_count(mixed & m).astype(np.int64) + 2 * np.bitwise_count(~mixed & m)
+        at = np.flatnonzero(cost[rows] <= left)
+        out.append((rows[at], anchors[at] << GROUPS | nearest[rows[at]] ^ m))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
 def anchored(fps: DataFrame, threshold: int, home: bool) -> DataFrame:
@@ -180,14 +213,20 @@ def clusters(docs: DataFrame, threshold: int = 2, width: int = 3, id_col: str =
     columns are not read.
     """
     rows = cut(fingerprints(docs, id_col, text_col, width, carry))
-    fps = cut(rows.groupBy("fp").agg(F.min(id_col).alias("_first")))
+    fps = cut(rows.groupBy("fp").agg(F.min(id_col).alias("_first"), F.count("*").alias("_rows")))
     stars = components(links(fps, threshold))
     linked = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp")
     linked = fps.join(linked, "fp")
     ids = linked.groupBy("root").agg(F.min("_first").alias("_least"))
     linked = linked.join(ids, "root").select("fp", "root", "_least")
     classes = fps.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root_fp"), F.when(F.col("root").isNull(), F.col("_first")).otherwise(F.col("_least")).alias("component_id"))
-    return rows.join(classes, "fp", "left").select(id_col, *(carry or []), "fp", "root_fp", "component_id")
+    # rows of a hot fingerprint don't go to one task to meet its class; no more than HOT fingerprints have over 1 / HOT of all rows
+    every = rows.count()
+    classes = cut(classes.join(fps.select("fp", "_rows"), "fp"))
+    hot = F.col("_rows") * HOT > every
+    at_home = rows.join(F.broadcast(classes.filter(hot)), "fp")
+    others = rows.join(F.broadcast(classes.filter(hot).select("fp")), "fp", "left_anti").join(classes.filter(~hot), "fp")
+    return at_home.unionByName(others).select(id_col, *(carry or []), "fp", "root_fp", "component_id")
 
 
 def keep_one(docs: DataFrame, threshold: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

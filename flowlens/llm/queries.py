@@ -45,7 +45,7 @@ def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 OP6_SQL = r"""
@@ -61,14 +61,22 @@ levels AS (
          / CAST(sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level
   FROM weighed),
 fixed AS (SELECT arg_min(level, {'a': cap / w, 'r': r}) AS level FROM levels WHERE level * w <= cap),
-aims AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), fixed.level * w) AS target FROM levels, fixed),
+aims AS (SELECT source, source_size, r, least(CAST(cap AS DOUBLE), fixed.level * w) AS target FROM levels, fixed),
 placed AS (
-  SELECT rows.*, source_size, target,
-         CAST(sum(size) OVER (PARTITION BY rows.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS place
-  FROM rows JOIN aims ON rows.source IS NOT DISTINCT FROM aims.source)
-SELECT doc_id, size, source_size, target,
-       CAST(list_sum(list_transform([0, 1, 2], lambda e: greatest(0, least(place + size + e * source_size, CAST(floor(target) AS BIGINT)) - (place + e * source_size)))) AS BIGINT) AS taken
-FROM placed
+  SELECT rows.*, source_size, target, r, CAST(floor(target) AS BIGINT) AS aim,
+         CAST(sum(size) OVER (PARTITION BY rows.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS place, row_number() OVER () AS id
+  FROM rows JOIN aims ON rows.source IS NOT DISTINCT FROM aims.source),
+total AS (SELECT CAST(sum(source_size) AS BIGINT) AS n, CAST(ceil(sum(source_size) / 1024) AS BIGINT) AS slots FROM aims),
+shares AS (SELECT r, target, sum(target / n) OVER (ORDER BY r) AS hi FROM aims, total WHERE n > 0),
+ends AS (SELECT r, coalesce(lag(hi) OVER (ORDER BY r), 0.0) AS lo, CASE WHEN r = max(CASE WHEN target > 0 THEN r END) OVER () THEN 2.0 ELSE hi END AS hi FROM shares),
+points AS (SELECT i AS slot, (i + 1) * 0.6180339887498949::DOUBLE - floor((i + 1) * 0.6180339887498949::DOUBLE) AS u FROM (SELECT unnest(range(0, slots)) AS i FROM total)),
+drawn AS (SELECT r, slot, row_number() OVER (PARTITION BY r ORDER BY slot) - 1 AS number FROM points JOIN ends ON u >= lo AND u < hi),
+needs AS (SELECT r, unnest(range(0, CAST(ceil(floor(target) / 1024) AS BIGINT))) AS number FROM aims),
+slotted AS (SELECT r, number, coalesce(slot, slots) AS slot FROM needs LEFT JOIN drawn USING (r, number), total),
+spans AS (SELECT id, r, place + e * source_size AS a, least(place + e * source_size + size, aim) AS z FROM placed, range(0, 3) t(e) WHERE size > 0),
+cuts AS (SELECT id, r, a, z, unnest(range(a // 1024, (z - 1) // 1024 + 1)) AS number FROM spans WHERE a < z),
+took AS (SELECT id, CAST(sum(least(z, (number + 1) * 1024) - greatest(a, number * 1024)) AS BIGINT) AS taken, min(slot) AS first_slot, count(*) AS n_slots FROM cuts JOIN slotted USING (r, number) GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot, coalesce(n_slots, 0) AS n_slots FROM placed LEFT JOIN took USING (id)
 """
 
 

@@ -20,10 +20,9 @@ from pyspark.sql import types as T
 
 BITS = 15
 BUCKETS = 1 << BITS
-#: The model is languages * BUCKETS numbers; with more languages than this it is refused.
-MOST_LANGUAGES = 500
 SMOOTH = 0.5
-ROUNDS = 12
+#: Expectation-maximisation ends when no proportion moves by more than this, or after so many rounds.
+SETTLED, ROUNDS = 1e-4, 100
 #: A further language must raise the log-likelihood by so many times log(number of trigrams).
 PENALTY = 6.0
 CHUNK = 1 << 20
@@ -75,9 +74,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     sums = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    if rows.select("_lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    got = sums.toArrow()  # languages * BUCKETS rows at most
+    got = sums.toArrow()  # languages * BUCKETS rows at most: the model, which grows with the languages only
     langs = sorted(set(got.column("lang").to_pylist()))
     table = np.full((len(langs), BUCKETS), SMOOTH)
     place = {name: k for k, name in enumerate(langs)}
@@ -90,7 +87,10 @@ def proportions(likelihoods: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray
     """Mixture proportions by expectation-maximisation, and the log-likelihood reached."""
     share, total = np.full(len(likelihoods), 1 / len(likelihoods)), counts.sum()
     for _ in range(ROUNDS if len(share) > 1 else 0):
-        share *= likelihoods @ (counts / (share @ likelihoods)) / total
+        before = share
+        share = share * (likelihoods @ (counts / (share @ likelihoods))) / total
+        if np.abs(share - before).max() <= SETTLED:
+            break
     return share, float(counts @ np.log(share @ likelihoods))
 
 
@@ -121,8 +121,9 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, id_col: str =
     """Per row: ``id_col``, ``lang_pred``, ``score`` and ``languages`` (the chosen set).
 
     Null texts, texts without a letter, and all texts if nothing was learned,
-    are ``und`` with score 0.  Rows may repeat; ids may be null; only the text
-    is an input of the prediction.
+    are ``und`` with score 0.  Languages that tie go by their order as text.
+    Rows may repeat; ids may be null; only the text is an input of the
+    prediction.
     """
     shared = docs.sparkSession.sparkContext.broadcast((langs, model))
 

@@ -1,8 +1,10 @@
 """Secret scans: base patterns and dictionary-primed zstandard novelty.
 
 A candidate is a long run of key characters next to a sensitive word.  It is
-compressed twice with a raw zstandard dictionary made of common identifiers
-and of the code that surrounds it, copies of itself taken out: the surroundings
+compressed twice with a raw zstandard dictionary made of common identifiers,
+some fixed and ``MOST`` learned from the corpus (letters only, from ``FEWEST``
+documents or more, so no key is among them), and of the code that surrounds
+it, copies of itself taken out: the surroundings
 alone, and with the candidate put back.  The difference is its marginal size.  Words, paths and repeated
 names cost a few bytes; what can't be predicted from the identifiers or
 the surroundings costs nearly its own length in bytes, and is reported; of a
@@ -47,6 +49,21 @@ LAST = re.compile(r"\s+([A-Za-z0-9+/=]{1,15})(?=\s*(?:-----END|\Z))")
 REACH = 48
 AROUND = 256
 NOVELTY = 0.75
+#: Identifiers learned, and documents that must hold one.
+MOST, FEWEST = 500, 3
+#: Names of several words of letters, joined or in camel case.
+IDENTIFIER = r"(?<![A-Za-z0-9])(?:[A-Za-z]{2,20}(?:[_.-][A-Za-z]{2,20}){1,4}|[a-z]{2,20}(?:[A-Z][a-z]{2,20}){1,4})(?![A-Za-z0-9])"
+
+
+def learn(docs: DataFrame, text_col: str = "text", most: int = MOST, fewest: int = FEWEST) -> str:
+    """The dictionary: fixed identifiers, then those of most documents, the commonest last.
+
+    Every document counts, a name once in each; ties go by name.
+    """
+    names = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(IDENTIFIER), F.lit(0)))
+    counts = docs.select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= fewest)
+    top = counts.orderBy(F.desc("n"), "name").limit(most).collect()  # ``most`` names
+    return " ".join([IDENTIFIERS, *(r["name"] for r in reversed(top))])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -61,10 +78,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def marginal_bytes(candidate: str, before: str, after: str) -> int:
-    """Compressed bytes that ``candidate`` adds to its surroundings, given them and the identifiers as dictionary."""
+def marginal_bytes(candidate: str, before: str, after: str, known: str = IDENTIFIERS) -> int:
+    """Compressed bytes that ``candidate`` adds to its surroundings, given them and the identifiers ``known`` as dictionary."""
     around = f"{before} {after}".encode("utf-8", "replace")
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode() + b" " + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed = zstandard.ZstdCompressionDict(known.encode() + b" " + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     pack = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_dict_id=False).compress
     return len(pack(around + candidate.encode())) - len(pack(around))
 
@@ -101,7 +118,7 @@ def keylike(value: str) -> bool:
     return 20 * sum(x.isupper() != y.isupper() for x, y in zip(letters, body)) >= 7 * len(body)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: float = NOVELTY) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: float = NOVELTY, known: str = IDENTIFIERS) -> list[tuple[int, int, int]]:
     """Candidates near a sensitive word, outside ``taken``, whose marginal bytes reach ``novelty`` of their length.
 
     A sensitive word may end up to ``REACH`` characters before the candidate or
@@ -123,7 +140,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: float = N
             continue
         value = m[0]
         inside = any(s <= a < e for s, e in blocks)
-        if (inside or keylike(value)) and marginal_bytes(value, *without(value, text, a, b)) >= novelty * alphabet_share(value) * len(value):
+        if (inside or keylike(value)) and marginal_bytes(value, *without(value, text, a, b), known) >= novelty * alphabet_share(value) * len(value):
             out.append((a, 3, b))
             last = LAST.match(text, b) if inside else None
             if last:
@@ -131,10 +148,10 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: float = N
     return out
 
 
-def find(text: str | None, novelty: float = NOVELTY) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def find(text: str | None, novelty: float = NOVELTY, known: str = IDENTIFIERS) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans of a text as (start, kind, end), sorted; null has none."""
     base = sorted(base_spans(text or ""))
-    return base, sorted(base + novel_spans(text or "", base, novelty))
+    return base, sorted(base + novel_spans(text or "", base, novelty, known))
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -153,17 +170,18 @@ def redacted(text: str | None, spans: list[tuple[int, int, int]], mark: str) ->
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelty: float = NOVELTY) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelty: float = NOVELTY, known: str | None = None) -> DataFrame:
     """Per row: ``id_col``, counts of the base kinds and of ``novel``, ``base_sha256`` and ``spans``.
 
     Null and empty texts have no spans; rows may repeat, ids may be null, other
     columns are not read.  Offsets are code points, ends are exclusive.
+    ``known``: the dictionary, learned from ``docs`` if not given.
     """
-    kept = docs.select(id_col).schema
+    kept, known = docs.select(id_col).schema, learn(docs, text_col) if known is None else known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            both = [find(t.as_py(), novelty) for t in b.column(1)]
+            both = [find(t.as_py(), novelty, known) for t in b.column(1)]
             counts = [pa.array([sum(k == kind for _, k, _ in every) for _, every in both], pa.int64()) for kind in range(len(KINDS))]
             digest = pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in both], pa.string())
             spans = pa.array([listed(every) for _, every in both], pa.string())
@@ -175,14 +193,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelt
     return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, schema.add("base_sha256", "string").add("spans", "string"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", novelty: float = NOVELTY) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", novelty: float = NOVELTY, known: str | None = None) -> DataFrame:
     """``docs`` with each reported span of the text replaced by ``mark``; ``n_chars``, if there, follows."""
-    place = docs.columns.index(text_col)
+    place, known = docs.columns.index(text_col), learn(docs, text_col) if known is None else known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = (t.as_py() for t in b.column(place))
-            clean = pa.array([redacted(t, find(t, novelty)[1], mark) for t in texts], pa.string())
+            clean = pa.array([redacted(t, find(t, novelty, known)[1], mark) for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([clean if k == place else c for k, c in enumerate(b.columns)], b.schema.names)
 
     out = docs.mapInArrow(run, docs.schema)

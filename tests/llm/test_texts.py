@@ -1,10 +1,12 @@
 """Token counts, SentencePiece, language identification and secret scans against the libraries and brute force."""
 
+import collections
 import hashlib
 import random
 import zlib
 
 import brute
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -76,6 +78,41 @@ def test_language_of_held_out_documents(spark):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) / len(held) > 0.98 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_mixture_equals_brute_force():
+    """Counts, expectation-maximisation and the penalised choice of languages, in plain Python."""
+    import math
+
+    learned = {"a": ["the cat sat on the mat", "a cat"], "b": ["der hund lief weg", "und der mann"], "c": ["el perro corre mucho"]}
+    counts = {x: sum(langid.trigrams(t) for t in ts) for x, ts in learned.items()}
+    model = np.array([np.log((c + langid.SMOOTH) / (c + langid.SMOOTH).sum()) for c in counts.values()]).astype(np.float32)
+    for text in ("the cat der hund", "el perro corre", "the mat sat on a cat " * 20 + "der mann und der hund lief " * 8, "zzz"):
+        c = collections.Counter({k: int(n) for k, n in enumerate(langid.trigrams(text)) if n})
+        p = lambda x, k: math.exp(float(model[x][k]))
+
+        def settled(langs):
+            share = {x: 1 / len(langs) for x in langs}
+            for _ in range(langid.ROUNDS if len(langs) > 1 else 0):
+                new = {x: sum(n * share[x] * p(x, k) / sum(share[z] * p(z, k) for z in langs) for k, n in c.items()) / c.total() for x in langs}
+                moved = max(abs(new[x] - share[x]) for x in langs)
+                share = new
+                if moved <= langid.SETTLED:
+                    break
+            return share, sum(n * math.log(sum(share[x] * p(x, k) for x in langs)) for k, n in c.items())
+
+        every, _ = settled([0, 1, 2])
+        best = max(range(3), key=lambda x: sum(n * float(model[x][k]) for k, n in c.items()))
+        order = [best, *(x for x in sorted(range(3), key=lambda x: -every[x]) if x != best)]
+        k, (share, reached) = 1, settled(order[:1])
+        while k < 3:
+            wider, more = settled(order[: k + 1])
+            if more - reached <= langid.PENALTY * math.log(c.total() + 1):
+                break
+            share, reached, k = wider, more, k + 1
+        top = max(share, key=share.get)
+        got = langid.predict_one(text, ["a", "b", "c"], model)
+        assert got[0] == "abc"[top] and got[1] == pytest.approx(every[top], abs=1e-6) and got[2] == ["abc"[x] for x in order[:k]]
+
+
 def test_language_mixture_and_odd_rows(docs, odd, none):
     langs, model = langid.learn(docs)
     by = {r["lang"]: r["text"] for r in docs.orderBy("n_chars").collect()}
@@ -129,6 +166,30 @@ def test_novelty_reports_copies_key_blocks_and_small_alphabets():
     assert found("signature of the Geschwindigkeitsbegrenzung and internationalization, AbstractRequestHandlerFactory") == []
 
 
+def test_planted_keys_are_found_and_names_are_not():
+    """Recall and false alarms of the novel spans, on keys and names of many forms in changing surroundings."""
+    rng = random.Random(11)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    words = "the of config value server client request user session default handler timeout cache region bucket policy update remote local index".split()
+    hints = ["Authorization: Bearer {}", "private key {}", "x-signature: '{}'", "credential {}", "<access key>{}</access key>"]
+    around = lambda: " ".join(rng.choices(words, k=12))
+    novel = lambda t: [t[a:b] for a, k, b in secrets.find(t)[1] if k == 3]
+    keys = ["".join(rng.choices(rng.choice(alphabets), k=rng.choice((20, 24, 32, 40, 64)))) for _ in range(300)]
+    names = ["_".join(rng.choices(words, k=rng.randint(3, 5))) for _ in range(150)] + ["/".join(rng.choices(words, k=5)) for _ in range(150)]
+    found = sum(key in novel(f"{around()} {rng.choice(hints).format(key)} {around()}") for key in keys)
+    false = sum(bool(novel(f"{around()} {rng.choice(hints).format(name)} {around()}")) for name in names)
+    assert found >= 0.97 * len(keys) and false <= 0.01 * len(names)
+
+
+def test_dictionary_is_learned_from_names_of_the_corpus(spark, none):
+    key = "q8Zt0LmX2vB7nR4kY9sW1cHd"
+    texts = ["call frobnicate_widget and getUserName. " + key, "frobnicate_widget x", "frobnicate_widget getUserName frobnicate_widget", "getUserName", "only_twice", "only_twice", None]
+    known = secrets.learn(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    assert known.endswith(" getUserName frobnicate_widget") and key not in known and "only_twice" not in known
+    plain, learned = (secrets.marginal_bytes("frobnicate_widget_frobnicate", "the ", " of", x) for x in (secrets.IDENTIFIERS, known))
+    assert learned < plain and secrets.learn(none) == secrets.IDENTIFIERS
+
+
 def test_secrets_of_odd_rows(odd, none):
     rows = {r["doc_id"]: r for r in secrets.scan(odd).collect()}
     assert rows[2]["spans"] == "" and rows[7]["n_assign"] == 1 and rows[7]["n_access"] == 1

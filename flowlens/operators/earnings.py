@@ -174,6 +174,45 @@ def path_rollup(events: DataFrame, panel: DataFrame, steps: int = 21, least: int
     return out.filter(F.col("n") >= least)
 
 
+def path_finals(events: DataFrame, panel: DataFrame, steps: int = 21, least: int = 5, few: int = 3) -> DataFrame:
+    """Per symbol: complete paths, mean and median final move, how many end up, final means of the hi and lo classes (``few`` events or more), mean volatility over the horizon by class.
+
+    A symbol needs ``least`` complete paths.
+    """
+    starts = event_classes(events).select("symbol", F.col("base").alias("t"), "report_date", "cls", "m1_rvol")
+    own = paths(starts, panel, steps).withColumn("bp", F.bround(F.col("move") * 10000).cast("int"))
+    own = own.withColumn("_k", F.count("*").over(W.partitionBy("symbol", "report_date"))).filter((F.col("_k") == steps + 1) & (F.col("k") == steps))
+    of = lambda c, x: F.when(F.col("cls") == c, F.col(x))
+    out = own.groupBy("symbol").agg(
+        F.count("*").alias("n"), F.avg("bp").alias("final_mean"), F.median("bp").alias("final_median"), F.count_if(F.col("bp") > 0).alias("up"),
+        F.when(F.count(of("hi", "bp")) >= few, F.avg(of("hi", "bp"))).alias("hi_mean"), F.when(F.count(of("lo", "bp")) >= few, F.avg(of("lo", "bp"))).alias("lo_mean"),
+        F.avg("m1_rvol").alias("rvol"), F.avg(of("hi", "m1_rvol")).alias("rvol_hi"), F.avg(of("lo", "m1_rvol")).alias("rvol_lo"),
+    )
+    return out.filter(F.col("n") >= least)
+
+
+def unpivoted(df: DataFrame, section: str, item: str, names: tuple[str, ...]) -> DataFrame:
+    """(section, item, metric, value), a row for each of ``names``."""
+    rows = F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names))
+    return df.select(F.lit(section).alias("section"), F.col(item).alias("item"), F.explode(rows).alias("m")).select("section", "item", "m.metric", "m.value")
+
+
+def full_summary(events: DataFrame, cohort: list[str]) -> DataFrame:
+    """:func:`summary` with the terciles and Welch's t, volatility by tercile, and correlations by cut, as rows of one table."""
+    spread = unpivoted(tercile_spread(events), "tercile", "horizon", ("high_n", "low_n", "high_mean", "low_mean", "high_up", "low_up", "spread", "t_stat", "df"))
+    ev = long_horizons(events, "rvol").withColumn("_t", tercile(F.col("dpi10_pct")))
+    vol = ev.groupBy("horizon").agg(F.avg("ret").alias("mean"), F.corr("dpi10", "ret").alias("r"), F.avg(F.when(F.col("_t") == "high", F.col("ret"))).alias("high"), F.avg(F.when(F.col("_t") == "low", F.col("ret"))).alias("low"))
+    cuts = correlation_cuts(events, cohort).withColumn("item", F.concat_ws("=", "cut", "value"))
+    return summary(events).unionByName(spread).unionByName(unpivoted(vol, "volatility", "horizon", ("mean", "r", "high", "low"))).unionByName(unpivoted(cuts, "cut", "item", ("n", "r")))
+
+
+def names_by_correlation(events: DataFrame, x: str = "dpi10", y: str = "m1_ret", least: int = 8) -> DataFrame:
+    """Per name with ``least`` values of x: pairs, correlation and its place, ascending; nulls last, ties by name."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    own = events.groupBy("symbol").agg(F.count(x).alias("_n"), F.count_if(both).alias("n"), F.corr(x, y).alias("r")).filter(F.col("_n") >= least).drop("_n")
+    return own.withColumn("place", F.row_number().over(W.orderBy(F.asc_nulls_last(F.round("r", 9)), "symbol")))  # a row for each name
+
+
 def anchor_to_reaction(events: DataFrame, panel: DataFrame, before: int = 2, after: int = 4, least: float = 0.03, sigmas: float = 2.5, lead: float = 1.3) -> DataFrame:
     """Moves ``base`` to the session before the dominant move within -before..after of the as-of session, if there is one.
 

@@ -115,6 +115,32 @@ def sector_summary(levels: DataFrame, width: int = 252, change: int = 20) -> Dat
     return out
 
 
+def constituents(panel: DataFrame, levels: DataFrame, membership: DataFrame, value: str = "dd", window: int = 25, change: int = 20, top: int = 30) -> DataFrame:
+    """Who receives a fund's flow: each name's share of the members' mean dollar short over the last ``window`` sessions, in percent.
+
+    With the name's latest value, its change over ``change`` valid rows (0 with
+    fewer) and the direction of that. ``levels``: (symbol, t, value) on every
+    session; names without either go. The first ``top`` of each fund by share.
+    """
+    last = levels.agg(F.max("t")).scalar()
+    means = panel.withColumn("_last", last).filter(F.col("t") > F.col("_last") - window).groupBy("symbol").agg(F.avg(F.col("close") * F.col("short")).alias("_s")).filter("_s is not null")
+    back = W.partitionBy("symbol").orderBy(F.desc("t"))
+    valid = levels.filter(F.col(value).isNotNull()).withColumn("_b", F.row_number().over(back))
+    at = lambda k: F.max(F.when(F.col("_b") == k, F.col(value)))
+    own = valid.groupBy("symbol").agg(at(1).alias("latest"), F.when(F.count("*") > change + 1, at(1) - at(change + 1)).otherwise(0.0).alias("change"))
+    fund = W.partitionBy("fund")
+    out = membership.join(means, "symbol").withColumn("_all", F.sum("_s").over(fund)).filter(F.col("_all") != 0).join(own, "symbol")
+    out = out.withColumn("share", F.col("_s") / F.col("_all") * 100).withColumn("rank", F.row_number().over(fund.orderBy(F.desc("share"), "symbol")))
+    return out.filter(F.col("rank") <= top).select("fund", "symbol", "share", "latest", "change", flags(F.lit(0.0), F.col("change"))[1].alias("flow"), "rank")
+
+
+def joint_names(panel: DataFrame, membership: DataFrame) -> DataFrame:
+    """Per fund: members, and members with any session on which short, total and price are all there."""
+    joint = F.col("short").isNotNull() & F.col("total").isNotNull() & F.col("close").isNotNull()
+    have = panel.filter(joint).select("symbol").distinct().withColumn("_have", F.lit(1))
+    return membership.join(have, "symbol", "left").groupBy("fund").agg(F.countDistinct("symbol").alias("names"), F.count("_have").alias("with_data"))
+
+
 def flags(x: Column, change: Column, hot: float = 0.12, drift: float = 0.003) -> tuple[Column, Column]:
     """(hot, drift): the latest divergence is large; the 20-session change is accumulating or distributing."""
     return F.abs(x) >= hot, F.when(change > drift, "accumulating").when(change < -drift, "distributing").otherwise("flat")
@@ -147,6 +173,38 @@ def divergence_order(latest: DataFrame, value: str = "latest") -> DataFrame:
     return latest.withColumn("place", F.row_number().over(W.orderBy(group, F.when(v >= 0, -v).otherwise(v), "symbol")))
 
 
+def raw_order(latest: DataFrame, value: str = "latest") -> DataFrame:
+    """Place of each symbol by value, descending; nulls count -1, ties go by symbol."""
+    return latest.withColumn("raw_place", F.row_number().over(W.orderBy(F.coalesce(F.col(value), F.lit(-1.0)).desc(), "symbol")))  # a row for each name
+
+
+def weight_order(symbols: DataFrame, weights: DataFrame, bench: str) -> DataFrame:
+    """Place of each symbol: the benchmark, then by weight descending, then those without one; ties by symbol."""
+    both = symbols.join(weights, "symbol", "left")
+    group = F.when(F.col("symbol") == bench, 0).when(F.col("weight").isNotNull(), 1).otherwise(2)
+    return both.withColumn("weight_place", F.row_number().over(W.orderBy(group, F.desc_nulls_last("weight"), "symbol")))
+
+
+def ranked_funds(summary: DataFrame) -> DataFrame:
+    """Funds by percentile, descending; nulls last, ties by name."""
+    return summary.withColumn("place", F.row_number().over(W.orderBy(F.desc_nulls_last("percentile"), "fund")))
+
+
+def grid_table(residuals: DataFrame, bench: DataFrame, weights: DataFrame, sectors: DataFrame, bench_name: str) -> DataFrame:
+    """Latest raw level, difference and residual of each symbol and of the benchmark as a symbol of its own, with orders, weights and sectors.
+
+    ``residuals``: (symbol, t, raw, diff, reg); ``bench``: (t, b). The benchmark
+    is no deviation from itself, so its difference and residual are 0.
+    """
+    at = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("t"))).alias(c)
+    own = residuals.groupBy("symbol").agg(at("raw"), at("diff"), at("reg"))
+    line = bench.agg(F.max_by("b", F.when(F.col("b").isNotNull(), F.col("t"))).alias("raw")).select(F.lit(bench_name).alias("symbol"), "raw", F.lit(0.0).alias("diff"), F.lit(0.0).alias("reg"))
+    both = own.unionByName(line)
+    out = weight_order(raw_order(both, "raw"), weights, bench_name).join(sectors, "symbol", "left")
+    out = divergence_order(out.withColumn("_v", F.round("diff", 6)), "_v").withColumnRenamed("place", "diff_place")
+    return divergence_order(out.withColumn("_v", F.round("reg", 6)), "_v").drop("_v")
+
+
 def index_table(series: DataFrame, value: str, price: str, horizons: tuple[int, ...] = (21, 42, 63)) -> DataFrame:
     """Index level against forward returns; horizons count valid rows of the level, so they are numbered anew first."""
     valid = series.filter(F.col(value).isNotNull()).withColumn("_u", F.lit(0))

@@ -76,6 +76,16 @@ def last_sessions(panel: DataFrame, n: int, part: str | None = None) -> DataFram
     return panel.withColumn("_last", last).filter(F.col("t") > F.col("_last") - n).drop("_last")
 
 
+def since(panel: DataFrame, start: str, day: str = "d") -> DataFrame:
+    """Rows from a day on."""
+    return panel.filter(F.col(day) >= F.lit(start).cast("date"))
+
+
+def universe(panel: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of the members only. ``members`` has ``symbol``."""
+    return panel.join(members.select("symbol").distinct(), "symbol", "left_semi")
+
+
 def latest(panel: DataFrame, value: str, out: str = "latest", part: str = "symbol") -> DataFrame:
     """Last valid value per symbol."""
     return panel.groupBy(part).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("t"))).alias(out))
@@ -95,8 +105,8 @@ def drop_empty(panel: DataFrame, value: str, part: str = "symbol") -> DataFrame:
 
 
 def search(panel: DataFrame, query: str) -> DataFrame:
-    """Symbols that contain the query, upper-cased and trimmed."""
-    return panel.filter(F.col("symbol").contains(query.strip().upper()))
+    """Symbols that contain the query, both in upper case and the query trimmed."""
+    return panel.filter(F.upper("symbol").contains(query.strip().upper()))
 
 
 def normal_symbol(x: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from flowlens.functions.store import cut
+from flowlens.operators.panel import drop_empty, forward_return, since, thin_weekly
 
 
 def points(panel: DataFrame, x: str, y: str) -> DataFrame:
@@ -138,6 +139,21 @@ def histogram(df: DataFrame, value: str, base: float = 0.0, bins: int = 26) -> D
     return binned.groupBy("bin").agg(F.count("*").alias("n"))
 
 
+def name_relation(panel: DataFrame, value: str, start: str, pair: tuple[str, str], horizons: tuple[int, ...] = (21, 42, 63), price: str = "adjclose", over: int = 378) -> DataFrame:
+    """Each name's value with its forward returns since a day, thinned to weeks if there are more than ``over`` sessions.
+
+    ``pair``: (primary, secondary) share classes, averaged into the primary.
+    Names without a value in the window go. Columns: symbol, t, value, r{h}.
+    """
+    for h in horizons:
+        panel = forward_return(panel, h, f"r{h}", price)
+    names = [value, *(f"r{h}" for h in horizons)]
+    primary, secondary = pair
+    merged = panel.withColumn("symbol", F.when(F.col("symbol") == secondary, primary).otherwise(F.col("symbol"))).groupBy("symbol", "t", "d").agg(*(F.avg(c).alias(c) for c in names))
+    kept = since(merged, start)
+    return drop_empty(thin_weekly(kept, kept, over=over), value).select("symbol", "t", *names)
+
+
 def cross_section(panel: DataFrame, value: str, forward: str, h: int = 21, k: int = 10, min_names: int = 20, min_history: int = 20, relative: bool = True) -> DataFrame:
     """Per session: names ranked into k slices by the signal: (symbol, t, signal, fwd, bucket).
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from flowlens.functions.core import rows
+from flowlens.functions.store import cut
 from flowlens.operators.panel import forward_return
 from flowlens.operators.relation import quantile_pick, ranked, ranked_within
 
@@ -110,10 +113,40 @@ def band_sweep(states: DataFrame, returns: DataFrame, run: int = 5) -> DataFrame
     return stats.join(mad, keys).select(*keys, "n", "mean", "median", "mad", "std")
 
 
+def sweep_table(states: DataFrame, returns: DataFrame, run: int = 5, horizons: tuple[int, ...] = (21, 42, 63)) -> DataFrame:
+    """The sweep's bands with all their streaks, also those without a return, their mean per horizon, and the places by either.
+
+    Band 0-0 is the baseline: all (name, day) returns. Means that are missing come last; ties go by band.
+    """
+    bands = F.flatten(F.transform(F.sequence(F.lit(1), "decile"), lambda lo: F.transform(F.sequence(F.col("decile"), F.lit(10)), lambda hi: F.struct(lo.alias("lo"), hi.alias("hi")))))
+    hits = states.filter("decile is not null").select("symbol", "t", F.explode(bands).alias("b")).select("symbol", "t", "b.lo", "b.hi")
+    events = streak_events(hits, run, ["lo", "hi", "symbol"])
+    streaks = events.groupBy("lo", "hi").agg(F.count("*").alias("streaks"))
+    means = events.join(returns, ["symbol", "t"]).groupBy("lo", "hi", "h").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"))
+    every = returns.groupBy("h").agg(F.count("*").alias("n"), F.avg("ret").alias("mean")).select(F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(None).cast("long").alias("streaks"), "h", "n", "mean")
+    grid = streaks.withColumn("h", F.explode(F.array(*map(F.lit, horizons)))).join(means, ["lo", "hi", "h"], "left").select("lo", "hi", "streaks", "h", F.coalesce("n", F.lit(0)).alias("n"), "mean")
+    part = W.partitionBy("h")
+    grid = grid.withColumn("by_streaks", F.row_number().over(part.orderBy(F.desc("streaks"), "lo", "hi"))).withColumn("by_mean", F.row_number().over(part.orderBy(F.desc_nulls_last(F.round("mean", 9)), "lo", "hi")))
+    return grid.unionByName(every, allowMissingColumns=True)
+
+
+def current_streaks(status: DataFrame, active: int = 12, building: int = 8) -> DataFrame:
+    """The longest active streaks and those one session short, first ``active`` and ``building`` of them; ties by symbol."""
+    own = status.filter(F.col("status") != "none").withColumn("rank", F.row_number().over(W.partitionBy("status").orderBy(F.desc("length"), "symbol")))
+    return own.filter(F.col("rank") <= F.when(F.col("status") == "active", active).otherwise(building)).select("status", "rank", "symbol", "length")
+
+
 def regime_split(events: DataFrame, returns: DataFrame, cal: DataFrame, boundary: str) -> DataFrame:
-    """Events before and from a boundary day and all together, per horizon, against their matched base."""
+    """Events before and from a boundary day and all together, per horizon, against their matched base.
+
+    A boundary that leaves less than two sessions on its right or none on its
+    left is replaced by the sample's middle session.
+    """
+    first = cal.agg(F.min(F.when(F.col("d") >= F.lit(boundary).cast("date"), F.col("t"))).alias("s"), F.count("*").alias("n"))
+    split = first.select(F.when((F.col("s") > 0) & (F.col("s") < F.col("n") - 1), F.col("s")).otherwise(F.floor(F.col("n") / 2)).cast("int")).scalar()
     own = events.join(returns, ["symbol", "t"]).join(day_means(returns), ["t", "h"]).join(cal, "t")
-    side = F.when(F.col("d") < F.lit(boundary).cast("date"), "before").otherwise("after")
+    own = own.withColumn("_split", split)
+    side = F.when(F.col("t") < F.col("_split"), "before").otherwise("after")
     both = own.withColumn("period", F.explode(F.array(F.lit("full"), side)))
     return both.groupBy("period", "h").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.avg("base").alias("base"), F.avg(F.col("ret") - F.col("base")).alias("edge"))
 
@@ -143,27 +176,61 @@ def matched_drift(events: DataFrame, panel: DataFrame, steps: int = 63, price: s
     return by_day.groupBy("k").agg(F.sum("w").alias("n"), (F.sum(F.col("m") * F.col("w")) / F.sum("w")).alias("mean"))
 
 
-def backtest(events: DataFrame, panel: DataFrame, cal: DataFrame, hold: int = 21, lag: int = 1, cost_bps: float = 5.0, price: str = "adjclose") -> DataFrame:
-    """Daily equity of holding each event's symbol from t + lag for at most ``hold`` sessions.
+def trades(events: DataFrame, px: DataFrame, hold: int, lag: int) -> DataFrame:
+    """(symbol, e, x): entries lag sessions after events, and the last valid price at most ``hold`` sessions on. ``px``: (symbol, t, p)."""
+    entry = events.select("symbol", (F.col("t") + lag).cast("int").alias("e")).distinct().join(px.select("symbol", F.col("t").alias("e")), ["symbol", "e"])
+    days = entry.withColumn("day", F.explode(F.sequence(F.col("e"), F.col("e") + hold)))
+    held = days.join(px.select("symbol", F.col("t").alias("day")), ["symbol", "day"])
+    return held.groupBy("symbol", "e").agg(F.max("day").alias("x")).filter("x > e")
+
+
+def backtest_lags(events: DataFrame, panel: DataFrame, cal: DataFrame, holds: tuple[int, ...] = (21, 42, 63), cost_bps: float = 5.0, price: str = "adjclose", hedge: str | None = None) -> DataFrame:
+    """Per holding period: trades, total when entered a session later, total at the event's own close, and what the lag costs."""
+    events, panel = cut(events), cut(panel.select("symbol", "t", price))  # six backtests read them
+    px = panel.filter(F.col(price).isNotNull()).select("symbol", "t", F.col(price).alias("p"))
+    parts = []
+    for h in holds:
+        for lag in (1, 0):
+            total = backtest(events, panel, cal, h, lag, cost_bps, price, hedge).agg((F.max_by("equity", "t") - 1).alias("v"))
+            parts.append(total.select(F.lit(h).alias("hold"), F.lit(lag).alias("what"), "v"))
+        parts.append(trades(events, px, h, 1).agg(F.count("*").cast("double").alias("v")).select(F.lit(h).alias("hold"), F.lit(2).alias("what"), "v"))
+    of = lambda k: F.max(F.when(F.col("what") == k, F.col("v")))
+    out = reduce(DataFrame.unionByName, parts).groupBy("hold").agg(of(2).cast("long").alias("trades"), of(1).alias("total"), of(0).alias("total_no_lag"))
+    return out.withColumn("lag", F.col("total") - F.col("total_no_lag"))
+
+
+def with_hold(equity: DataFrame, panel: DataFrame, symbol: str, price: str = "adjclose") -> DataFrame:
+    """Adds ``hold``: the symbol's price over its first one, carried over sessions without a price."""
+    px = panel.filter((F.col("symbol") == symbol) & F.col(price).isNotNull()).select("t", F.col(price).alias("_p"))
+    so_far = W.orderBy("t").rowsBetween(W.unboundedPreceding, 0)  # one row a session
+    both = equity.join(px, "t", "left").withColumn("_p", F.last("_p", ignorenulls=True).over(so_far))
+    return both.withColumn("hold", F.col("_p") / F.first("_p", ignorenulls=True).over(so_far)).drop("_p")
+
+
+def backtest(events: DataFrame, panel: DataFrame, cal: DataFrame, hold: int = 21, lag: int = 1, cost_bps: float = 5.0, price: str = "adjclose", hedge: str | None = None) -> DataFrame:
+    """Daily equity of holding each event's symbol from t + lag for at most ``hold`` sessions, hedged with the symbol ``hedge`` if one is given.
 
     Positions have equal weight. A position ends at the last valid price within
     its time; a session without a price, or after one, has no return for it. Both
-    sides cost ``cost_bps``. Columns: t, positions, ret, equity, drawdown.
+    sides cost ``cost_bps``; a session without the hedge's return is not hedged.
+    Columns: t, positions, ret, equity, drawdown.
     """
     px = panel.filter(F.col(price).isNotNull()).select("symbol", "t", F.col(price).alias("p"))
     before = F.first("p").over(W.partitionBy("symbol").orderBy("t").rangeBetween(-1, -1))
     day_ret = px.withColumn("r", F.col("p") / before - 1).select("symbol", F.col("t").alias("day"), "r")
-    entry = events.select("symbol", (F.col("t") + lag).cast("int").alias("e")).distinct().join(px.select("symbol", F.col("t").alias("e")), ["symbol", "e"])
-    days = entry.withColumn("day", F.explode(F.sequence(F.col("e"), F.col("e") + hold)))
-    held = days.join(px.select("symbol", F.col("t").alias("day")), ["symbol", "day"])
-    spans = held.groupBy("symbol", "e").agg(F.max("day").alias("x")).filter("x > e")
+    if hedge is not None:
+        base = day_ret.filter(F.col("symbol") == hedge).select("day", F.col("r").alias("_b"))
+        day_ret = day_ret.join(base, "day", "left").select("symbol", "day", (F.col("r") - F.coalesce("_b", F.lit(0.0))).alias("r"))
+    spans = trades(events, px, hold, lag)
     live = spans.withColumn("day", F.explode(F.sequence(F.col("e") + 1, F.col("x")))).join(day_ret, ["symbol", "day"]).filter("r is not null")
     cost = cost_bps / 10000
     own = F.col("r") - F.when(F.col("day") == F.col("e") + 1, cost).otherwise(0.0) - F.when(F.col("day") == F.col("x"), cost).otherwise(0.0)
     daily = live.groupBy("day").agg(F.count("*").alias("positions"), F.avg(own).alias("ret"))
     every = cal.select("t").join(daily, F.col("t") == F.col("day"), "left").select("t", F.coalesce("positions", F.lit(0)).alias("positions"), F.coalesce("ret", F.lit(0.0)).alias("ret"))
     so_far = W.orderBy("t").rowsBetween(W.unboundedPreceding, 0)  # one row a session
-    every = every.withColumn("equity", F.exp(F.sum(F.log1p("ret")).over(so_far)))
+    # the product of 1 + ret: a hedge can lose more than everything, so signs and zeros count
+    size, sign = F.exp(F.sum(F.log(F.abs(1 + F.col("ret")))).over(so_far)), F.when(F.count_if(F.col("ret") < -1).over(so_far) % 2 == 1, -1.0).otherwise(1.0)
+    every = every.withColumn("equity", F.when(F.count_if(F.col("ret") == -1).over(so_far) > 0, 0.0).otherwise(sign * size))
     peak = F.greatest(F.lit(1.0), F.max("equity").over(so_far))
     return every.withColumn("drawdown", F.col("equity") / peak - 1)
 

@@ -90,15 +90,18 @@ def split_adjust(spark, d):
 @query(
     "upsert_keep_last",
     SQL
-    + """, a AS (SELECT symbol, t, short, total FROM panel WHERE d < DATE '2000-01-01'), b AS (SELECT symbol, t, CASE WHEN t % 2 = 0 THEN short * 2 END AS short, total FROM panel WHERE d >= DATE '1999-01-01')
+    + """, a AS (SELECT symbol, t, short, total FROM panel WHERE d < DATE '2000-01-01'),
+deliveries AS (SELECT symbol, t, CASE WHEN (t + v) % 2 = 0 THEN short * v END AS short, total + v AS total, v FROM panel, (VALUES (1), (2), (3)) x(v) WHERE d >= DATE '1999-01-01' AND (t + v) % 3 <> 0),
+b AS (SELECT symbol, t, short, total FROM deliveries QUALIFY row_number() OVER (PARTITION BY symbol, t ORDER BY v DESC) = 1)
 SELECT symbol, t, coalesce(b.short, a.short) AS short, coalesce(b.total, a.total) AS total FROM a FULL JOIN b USING (symbol, t)""",
 )
 def upsert_keep_last(spark, d):
     df = A.panel(spark, d)
     stored = df.filter("d < date'2000-01-01'")
-    fresh = df.filter("d >= date'1999-01-01'").withColumn("short", F.when(F.col("t") % 2 == 0, F.col("short") * 2))
-    both = D.upsert(stored, fresh, ["symbol", "t"], ["short", "total"])
-    return D.keep_last(both, ["symbol", "t"], ["total"])
+    v = F.col("v")
+    fresh = df.filter("d >= date'1999-01-01'").withColumn("v", F.explode(F.array(*map(F.lit, (1, 2, 3))))).filter((F.col("t") + v) % 3 != 0)  # a day is delivered twice
+    fresh = fresh.withColumn("short", F.when((F.col("t") + v) % 2 == 0, F.col("short") * v)).withColumn("total", F.col("total") + v)
+    return D.upsert(stored, D.keep_last(fresh, ["symbol", "t"], ["v"]), ["symbol", "t"], ["short", "total"])
 
 
 @query(

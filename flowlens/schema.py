@@ -16,3 +16,7 @@ FILING_ARRAYS = "form array<string>, filingDate array<string>, items array<strin
 FILING_FILE = "filings struct<recent:struct<form:array<string>, filingDate:array<string>, items:array<string>, acceptanceDateTime:array<string>>>"
 EVENTS = "ticker string, report_date string, timing string"
 SNAPSHOTS = "fund string, snapshot_date date, symbol string, weight double"
+EVENT_TABLE = (
+    "symbol string, report_date date, timing string, base int, dpi5 double, dpi10 double, next_day_ret double, w1_ret double, w2_ret double, m1_ret double, "
+    "next_day_rvol double, w1_rvol double, w2_rvol double, m1_rvol double, looks_reaction int, dpi5_pct double, dpi10_pct double"
+)

@@ -133,6 +133,11 @@ def holdings_xml(spark: SparkSession, path: str, merge: dict[str, str] | None =
     return lines.groupBy("fund", "symbol").agg(F.sum("weight").alias("weight"))
 
 
+def event_table(spark: SparkSession, path: str) -> DataFrame:
+    """The event table as :func:`flowlens.sources.sinks.write_events` wrote it, read again for reports."""
+    return spark.read.csv(path, header=True, schema=Z.EVENT_TABLE, enforceSchema=False)
+
+
 def ticker_list(spark: SparkSession, path: str) -> DataFrame:
     """Distinct symbols of a plain list, separated by blanks or commas."""
     return spark.read.text(path).select(F.explode(F.split(F.upper("value"), r"[\s,]+")).alias("symbol")).filter(F.col("symbol").rlike(SYMBOL)).distinct()

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.schema import EVENT_TABLE
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with header: residual panels, event tables, earnings dates."""
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def write_events(events: DataFrame, path: str) -> None:
+    """The event table as CSV, with the columns of ``schema.EVENT_TABLE``."""
+    names = [part.split()[0] for part in EVENT_TABLE.split(",")]
+    write_csv(events.select(*names), path)
+
+
 def pack(panel: DataFrame, value: str, digits: int = 4) -> DataFrame:
     """(symbol, vals): a symbol's values in session order, rounded; symbols without any go. A row holds one symbol's sessions."""
     entry = F.struct("t", F.round(value, digits).alias("v"))

@@ -47,7 +47,8 @@ def merge_batch(lines: DataFrame, path: str, today: str, recheck: int = 6) -> No
     rows = parse_volumes(lines).drop("at")
     day = F.to_date(F.regexp_extract("path", r"(\d{8})\.[A-Za-z]+$", 1), "yyyyMMdd")
     days = lines.select(day.alias("d")).filter("d is not null").distinct()
-    ok = accept(days, stored(spark, path), today, recheck)
+    named = [r["d"] for r in days.collect()]  # a day a file, so ``files_per_batch`` at most; only these partitions are looked up
+    ok = accept(days, stored(spark, path).filter(F.col("d").isin(named)), today, recheck)
     out = ok.join(rows, "d", "left").select("symbol", "short", "total", "d")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("d").parquet(path)
 

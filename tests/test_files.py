@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from flowlens import schema
 from flowlens.sources import files as R
 from flowlens.sources import sinks as K
 from flowlens.streaming import ingest as M
@@ -55,6 +56,21 @@ def test_earnings_dates_default_timing(spark, tmp_path):
     assert [tuple(r) for r in R.earnings_dates(spark, str(tmp_path / "e.csv")).collect()] == [("AA", dt.date(2024, 1, 10), "amc")]
 
 
+def test_event_table_is_read_again(spark, tmp_path):
+    names = [x.split() for x in schema.EVENT_TABLE.split(",")]
+    row = {"symbol": "AA", "report_date": dt.date(2024, 1, 10), "timing": "amc"}
+    rows = [tuple(row.get(n, None if k == 1 else {"int": 7, "double": 0.25}.get(kind)) for n, kind in names) for k in (0, 1)]
+    df = spark.createDataFrame(rows, schema.EVENT_TABLE).withColumn("more", F.lit(1))
+    K.write_events(df, str(tmp_path / "events"))
+    got = R.event_table(spark, str(tmp_path / "events"))
+    assert got.dtypes == df.drop("more").dtypes and sorted(map(str, got.collect())) == sorted(map(str, df.drop("more").collect()))
+
+
+def test_dimensions(spark, tmp_path):
+    put(tmp_path / "d/w.csv", "symbol,weight\nAA,1.5\nBB,x\n")
+    assert [tuple(r) for r in R.dimension(spark, str(tmp_path / "d"), "symbol string, weight double").collect()] == [("AA", 1.5), ("BB", None)]
+
+
 def test_holdings(spark, tmp_path):
     put(tmp_path / "h/IWM.csv", 'Fund\nAs of\n\nTicker,Name,Asset Class\nAA,"A, Inc",Equity\nUSD,Cash,Cash\nbad ticker,B,Equity\nAA,A,Equity\nBB,B,Equity\n')
     got = R.holdings_csv(spark, str(tmp_path / "h")).orderBy("place").collect()

@@ -294,7 +294,7 @@ def reaction_anchor(spark, d):
     EVENT_SQL
     + LONG_SQL
     + """, hz AS (SELECT horizon, avg(ret) AS mean, median(ret) AS median, stddev_samp(ret) AS std, avg(CAST(ret > 0 AS DOUBLE)) AS positive, corr(dpi10, ret) AS r_dpi10, corr(dpi5, ret) AS r_dpi5 FROM lg GROUP BY horizon),
-al AS (SELECT 'horizon' AS section, horizon AS item, metric, value FROM (UNPIVOT hz ON mean, median, std, positive, r_dpi10, r_dpi5 INTO NAME metric VALUE value)
+al AS (SELECT 'horizon' AS section, horizon AS item, metric, value FROM hz UNPIVOT INCLUDE NULLS (value FOR metric IN (mean, median, std, positive, r_dpi10, r_dpi5))
   UNION ALL SELECT 'sample', 'all', 'events', CAST(count(*) AS DOUBLE) FROM ev UNION ALL SELECT 'sample', 'all', 'names', CAST(count(DISTINCT symbol) AS DOUBLE) FROM ev
   UNION ALL SELECT 'sample', 'all', 'with_data', CAST(count(dpi10) AS DOUBLE) FROM ev UNION ALL SELECT 'timing', timing, 'events', CAST(count(*) AS DOUBLE) FROM ev GROUP BY timing)
 SELECT section, item, metric, round(value, 6) + 0.0 AS value FROM al""",

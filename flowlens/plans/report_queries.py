@@ -273,7 +273,7 @@ rv AS ("""
 o AS (SELECT *, year(report_date) AS y FROM ev WHERE dpi10 IS NOT NULL AND m1_ret IS NOT NULL), m AS (SELECT floor(quantile_cont(y, 0.5)) AS mid FROM o),
 cx AS (SELECT dpi10, m1_ret, unnest(['year=' || y, 'timing=' || timing, 'name=' || symbol, 'cohort=' || CASE WHEN symbol IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') THEN 'in' ELSE 'out' END, 'half=' || CASE WHEN y <= mid THEN 'early' ELSE 'late' END]) AS item FROM o, m),
 cu AS (SELECT item, CAST(count(*) AS DOUBLE) AS n, corr(dpi10, m1_ret) AS r FROM cx GROUP BY item HAVING count(*) >= 8),
-al AS (SELECT 'horizon' AS section, horizon AS item, metric, value FROM (UNPIVOT hz ON mean, median, std, positive, r_dpi10, r_dpi5 INTO NAME metric VALUE value)
+al AS (SELECT 'horizon' AS section, horizon AS item, metric, value FROM hz UNPIVOT INCLUDE NULLS (value FOR metric IN (mean, median, std, positive, r_dpi10, r_dpi5))
   UNION ALL SELECT 'sample', 'all', 'events', CAST(count(*) AS DOUBLE) FROM ev UNION ALL SELECT 'sample', 'all', 'names', CAST(count(DISTINCT symbol) AS DOUBLE) FROM ev
   UNION ALL SELECT 'sample', 'all', 'with_data', CAST(count(dpi10) AS DOUBLE) FROM ev UNION ALL SELECT 'timing', timing, 'events', CAST(count(*) AS DOUBLE) FROM ev GROUP BY timing
   UNION ALL SELECT 'tercile', horizon, metric, value FROM wd UNPIVOT INCLUDE NULLS (value FOR metric IN (high_n, low_n, high_mean, low_mean, high_up, low_up, spread, t_stat, df))

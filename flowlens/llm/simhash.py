@@ -176,7 +176,8 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     home = anchored(fps, threshold, True).withColumnRenamed("fp", "u")
     away = anchored(fps, threshold, False).withColumnRenamed("fp", "v")
     near: Column = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= threshold
-    both = home.join(away, (home.anchor == away.anchor) & (F.col("u") < F.col("v")) & near)
+    # replicas are over a hundred times the rows that a planner expects of them, so neither side may be taken for small
+    both = home.hint("merge").join(away, (home.anchor == away.anchor) & (F.col("u") < F.col("v")) & near)
     return both.select("u", "v")
 
 

@@ -131,7 +131,9 @@ def correlation_p(rollup: DataFrame) -> DataFrame:
 
 def quintiles(events: DataFrame, x: str, y: str) -> DataFrame:
     """Means of y in five bins of x, cut at linear quantiles, closed on the right."""
-    own = ranked_within(events.filter(F.col(x).isNotNull()).select(F.lit(0).alias("_pool"), "symbol", "report_date", F.col(x).alias("x"), F.col(y).alias("y")), ["_pool"], ["x", "symbol", "report_date"])
+    more = [c for c in ("symbol", "report_date") if c in events.columns]  # so that many equal values of x are dealt out, too
+    rows = events.filter(F.col(x).isNotNull()).select(F.lit(0).alias("_pool"), *(F.col(c).alias(f"_{c}") for c in more), F.col(x).alias("x"), F.col(y).alias("y"))
+    own = ranked_within(rows, ["_pool"], ["x", *(f"_{c}" for c in more)])
     cuts = own.agg(F.array(*(quantile_pick("x", q) for q in (0.2, 0.4, 0.6, 0.8))).alias("c")).scalar()
     place = F.size(F.filter("_cuts", lambda c: F.round(c, 9) < F.col("x"))) + 1
     return own.withColumn("_cuts", cuts).withColumn("quintile", place).groupBy("quintile").agg(F.count("*").alias("n"), F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean"))

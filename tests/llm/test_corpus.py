@@ -45,7 +45,7 @@ def test_quality_of_odd_rows(spark, odd, none):
 
 def test_trusted_ids_meet_texts_either_way(spark, docs):
     trusted = docs.select(F.col("doc_id").alias("_label_id")).filter("doc_id % 3 = 0")
-    a, b = (quality.marked(docs.select("doc_id", "text"), trusted, most) for most in (10**6, 0))
+    a, b = (quality.marked(docs.select(F.col("doc_id").alias("_id"), "text"), trusted, most) for most in (10**6, 0))
     assert "BroadcastHashJoin" in a._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.filter("_trusted").count() == trusted.count()
 

@@ -145,3 +145,28 @@ def test_empty_tables_give_empty_results(frame):
     assert I.dollar_dix(panel, cal).count() == 0
     assert S.trailing_decile(panel, "dpi").count() == 0
     assert S.pooled_decile(panel, "dpi").count() == 0
+
+
+def test_regime_boundary_outside_the_sample(frame):
+    cal = frame("t int, d date", [(k, dt.date(2020, 1, 1 + k)) for k in range(6)])
+    events = frame("symbol string, t int", [("a", k) for k in (0, 2, 3, 5)])
+    returns = frame("symbol string, t int, h int, ret double", [("a", k, 21, float(k)) for k in range(6)])
+    for boundary, want in (("2030-01-01", {"full": 4, "before": 2, "after": 2}), ("2020-01-02", {"full": 4, "before": 1, "after": 3}), ("2020-01-06", {"full": 4, "before": 2, "after": 2})):
+        assert {r["period"]: r["n"] for r in S.regime_split(events, returns, cal, boundary).collect()} == want
+
+
+def test_hedged_equity_can_change_sign(frame):
+    cal = frame("t int", [(k,) for k in range(4)])
+    panel = frame("symbol string, t int, adjclose double", [("a", 0, 1.0), ("a", 1, 1.0), ("a", 2, 1.0), ("a", 3, 2.0), ("b", 0, 1.0), ("b", 1, 1.0), ("b", 2, 4.0), ("b", 3, 4.0)])
+    got = S.backtest(frame("symbol string, t int", [("a", 0)]), panel, cal, hold=2, cost_bps=0.0, hedge="b").orderBy("t").collect()
+    assert [round(r["equity"], 9) for r in got] == [1.0, 1.0, -2.0, -4.0] and [r["positions"] for r in got] == [0, 0, 1, 1]
+
+
+def test_constituents_and_orders(frame):
+    panel = frame("symbol string, t int, close double, short double", [("a", 9, 2.0, 3.0), ("b", 9, 1.0, 2.0), ("c", 9, 1.0, None)])
+    levels = frame("symbol string, t int, dd double", [("a", k, k / 100) for k in range(30)] + [("b", 29, 0.5)])
+    members = frame("fund string, symbol string", [("f", "a"), ("f", "b"), ("f", "c")])
+    got = [(r["symbol"], r["share"], round(r["change"], 6), r["flow"], r["rank"]) for r in I.constituents(panel, levels, members).orderBy("rank").collect()]
+    assert got == [("a", 75.0, 0.2, "accumulating", 1), ("b", 25.0, 0.0, "flat", 2)]
+    order = I.weight_order(frame("symbol string", [("x",), ("y",), ("z",), ("~",)]), frame("symbol string, weight double", [("y", 1.0), ("z", 2.0)]), "~")
+    assert [r["symbol"] for r in order.orderBy("weight_place").collect()] == ["~", "z", "y", "x"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, flac, html, langid, licences, mixing, pieces, quality, secrets, simhash
+from flowlens.llm import bpe, flac, html, langid, licences, manifest, mixing, pieces, quality, secrets, simhash
 from flowlens.llm.common import cut, table
 
 
@@ -98,6 +98,36 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(table(spark, sf_dir, "documents")).drop("source", "path")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE rows AS (SELECT row_number() OVER () AS id, *, list_reduce(list_prepend(4294967295::BIGINT, range(0, 8 * strlen(CAST(doc_id AS VARCHAR)))),
+    lambda a, i: xor(xor(a, CASE WHEN i % 8 = 0 THEN ascii(substr(CAST(doc_id AS VARCHAR), i // 8 + 1, 1)) ELSE 0 END) // 2,
+      CASE WHEN xor(a, CASE WHEN i % 8 = 0 THEN ascii(substr(CAST(doc_id AS VARCHAR), i // 8 + 1, 1)) ELSE 0 END) % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END)) AS crc FROM documents),
+parts AS (SELECT id, doc_id, source, crc, text, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM rows),
+hashed AS (SELECT id, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295::BIGINT) % 2 = 0 THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS tampered FROM parts),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS idx, coalesce('1' || source, '0') AS tree FROM hashed),
+lists AS (SELECT tree, 0 AS level, list(leaf ORDER BY idx) AS l FROM placed GROUP BY tree
+  UNION ALL SELECT tree, level + 1, list_transform(range(0, (len(l) + 2) // 3), lambda i: sha256(array_to_string(l[3 * i + 1:3 * i + 3], ''))) FROM lists WHERE len(l) > 1),
+subs AS (SELECT tree, l[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM lists WHERE len(l) = 1),
+tops AS (SELECT 0 AS level, list(subroot ORDER BY place) AS l FROM subs
+  UNION ALL SELECT level + 1, list_transform(range(0, (len(l) + 2) // 3), lambda i: sha256(array_to_string(l[3 * i + 1:3 * i + 3], ''))) FROM tops WHERE len(l) > 1),
+roots AS (SELECT l[1] AS root FROM tops WHERE len(l) = 1),
+steps AS (SELECT id, 0 AS part, level, l, CAST(floor(idx / pow(3, level)) AS BIGINT) AS j FROM placed JOIN lists USING (tree) WHERE len(l) > 1
+  UNION ALL SELECT id, 1, level, l, CAST(floor(place / pow(3, level)) AS BIGINT) FROM placed JOIN subs USING (tree), tops WHERE len(l) > 1),
+sides AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY part, level) AS step, array_to_string(l[j - j % 3 + 1:j], '') AS a, array_to_string(l[j + 2:j - j % 3 + 3], '') AS b FROM steps),
+proofs AS (SELECT id, sha256(string_agg(a || b, '' ORDER BY step)) AS proof FROM sides GROUP BY id),
+folded AS (SELECT id, 0 AS step, coalesce(tampered, leaf) AS h FROM placed UNION ALL SELECT f.id, f.step + 1, sha256(a || h || b) FROM folded f JOIN sides s ON s.id = f.id AND s.step = f.step + 1),
+ends AS (SELECT id, arg_max(h, step) AS h FROM folded GROUP BY id)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM placed JOIN subs USING (tree) LEFT JOIN proofs USING (id) JOIN ends USING (id), roots
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_token_counts": op2_token_counts,
@@ -109,5 +139,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
     "op10_flac": op10_flac,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op12_merkle_manifest": OP12_SQL}

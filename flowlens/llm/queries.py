@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, flac, html, langid, licences, manifest, mixing, pieces, quality, secrets, simhash
+from flowlens.llm import bpe, flac, html, langid, licences, manifest, mixing, pieces, quality, secrets, simhash, whitening
 from flowlens.llm.common import cut, table
 
 
@@ -98,6 +98,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audit(table(spark, sf_dir, "documents")).drop("source", "path")
 
@@ -139,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
     "op10_flac": op10_flac,
+    "op11_whitening": op11_whitening,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op12_merkle_manifest": OP12_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, flac, html, langid, licences, manifest, mixing, pieces, quality, secrets, simhash, whitening
+from flowlens.llm import bpe, flac, html, langid, licences, lines, manifest, mixing, pieces, quality, secrets, simhash, whitening
 from flowlens.llm.common import cut, table
 
 
@@ -132,6 +132,12 @@ FROM placed JOIN subs USING (tree) LEFT JOIN proofs USING (id) JOIN ends USING (
 """
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lines.score(docs, lines.learn(docs, table(spark, sf_dir, "labels"))).select("doc_id", lines.held_out().alias("held_out"), F.col("judged.score").alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_token_counts": op2_token_counts,
@@ -145,5 +151,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_flac": op10_flac,
     "op11_whitening": op11_whitening,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op12_merkle_manifest": OP12_SQL}

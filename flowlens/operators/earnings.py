@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from flowlens.functions.core import sessions
+from flowlens.functions.selection import linear, picked
 from flowlens.functions.stats import p_of_correlation, p_value, welch, welch_columns
+from flowlens.functions.store import cut
 from flowlens.operators.panel import daily_change, forward_return, realised_vol
-from flowlens.operators.relation import quantile_pick, ranked_within
+from flowlens.operators.relation import average_rank
 from flowlens.operators.streaks import paths
 
 #: Regular trading hours, US/Eastern.
@@ -58,12 +60,15 @@ def base_session(t: Column, exact: Column, timing: Column) -> Column:
     return F.when((timing == "amc") & exact, t).otherwise(t - 1)
 
 
-def event_table(events: DataFrame, grid: DataFrame, cal: DataFrame) -> DataFrame:
-    """A row per report: base session, mean DPI before it, forward returns and volatility, a reaction flag, percentile ranks.
+def event_table(events: DataFrame, grid: DataFrame, cal: DataFrame, anchor: bool = False) -> DataFrame:
+    """A row per report: base session and its day, mean DPI before it, forward returns and volatility, a reaction flag, percentile ranks.
 
-    ``events``: (symbol, report_date, timing). DPI windows of 5 and 10 sessions end
-    before the as-of session and need max(3, w - 2) values; the reaction flag
-    compares the next day's move with max(2 %, 2 sigma of sessions -65..-4).
+    ``events``: (symbol, report_date, timing). Reports of symbols without any price go, and those
+    whose as-of or base session is the calendar's first or before it. DPI windows of 5 and 10 sessions end
+    before the as-of session and need max(3, w - 2) values. The reaction flag is 1 if
+    the next day's move reaches max(2 %, 2 sigma of sessions -65..-4); without a move or a sigma it is 0.
+    ``has_data`` tells that there is a next day's return. With ``anchor`` the base is first moved by
+    :func:`anchor_to_reaction`, and all that follows the base is taken from there.
     """
     px = daily_change(grid)
     for name, h in HORIZONS:
@@ -74,12 +79,15 @@ def event_table(events: DataFrame, grid: DataFrame, cal: DataFrame) -> DataFrame
         px = px.withColumn(f"dpi{w}", F.when(F.count("dpi").over(over) >= max(3, w - 2), F.avg("dpi").over(over)))
     over = sessions("symbol", -65, -4)
     px = px.withColumn("sigma", F.when(F.count("chg").over(over) > 10, F.stddev_samp("chg").over(over)))
-    at = as_of_forward(events, cal, "report_date").filter("t is not null")
-    at = at.withColumn("base", base_session(F.col("t"), F.col("exact"), F.col("timing")).cast("int"))
-    before = px.select("symbol", "t", "dpi5", "dpi10", "sigma")
+    priced = grid.filter("adjclose is not null").select("symbol").distinct()
+    at = as_of_forward(events, cal, "report_date").join(priced, "symbol", "left_semi")
+    at = at.withColumn("base", base_session(F.col("t"), F.col("exact"), F.col("timing")).cast("int")).filter("t >= 1 and base >= 1")
+    at = at.join(px.select("symbol", "t", "dpi5", "dpi10", "sigma"), ["symbol", "t"], "left")
+    at = anchor_to_reaction(at, px, cal) if anchor else at.withColumn("anchored", F.lit(0))
     after = px.select("symbol", F.col("t").alias("base"), *(f"{n}_{k}" for n, _ in HORIZONS for k in ("ret", "rvol")))
-    out = at.join(before, ["symbol", "t"], "left").join(after, ["symbol", "base"], "left")
-    out = out.withColumn("looks_reaction", F.coalesce((F.abs("next_day_ret") > F.greatest(F.lit(0.02), 2 * F.col("sigma"))).cast("int"), F.lit(0)))
+    out = at.join(after, ["symbol", "base"], "left").join(cal.select(F.col("t").alias("base"), F.col("d").alias("base_date")), "base", "left")
+    move = F.abs("next_day_ret") >= F.greatest(F.lit(0.02), 2 * F.col("sigma"))
+    out = out.withColumn("looks_reaction", F.coalesce((F.col("sigma").isNotNull() & move).cast("int"), F.lit(0))).withColumn("has_data", F.col("next_day_ret").isNotNull().cast("int"))
     out = out.withColumn("dpi5", F.round("dpi5", 9)).withColumn("dpi10", F.round("dpi10", 9))
     for w in (5, 10):
         out = percent_rank(out, f"dpi{w}", f"dpi{w}_pct")
@@ -124,6 +132,20 @@ def horizon_rollup(events: DataFrame, x: str = "dpi10", least: int = 5) -> DataF
     return out
 
 
+def relations(events: DataFrame, kind: str = "ret", least: int = 5) -> DataFrame:
+    """Per DPI window and horizon: pairs, Pearson's and Spearman's correlation, that with the rank within the name, and their p-values.
+
+    Null under ``least`` pairs or without variance. ``kind``: returns or volatility (``rvol``).
+    """
+    windows = F.array(*(F.struct(F.lit(w).alias("window"), F.col(w).alias("x"), F.col(f"{w}_pct").alias("pct")) for w in ("dpi5", "dpi10")))
+    ev = long_horizons(events, kind).select("horizon", F.col("ret").alias("y"), F.explode(windows).alias("w")).select("w.window", "horizon", "w.x", "w.pct", "y").filter("x is not null and y is not null")
+    part = ["window", "horizon"]
+    ev = ev.withColumn("rx", average_rank("x", part)).withColumn("ry", average_rank("y", part))
+    real = lambda a, b: F.when((F.count("*") >= least) & (F.stddev_pop(a) > 1e-12) & (F.stddev_pop(b) > 1e-12), F.corr(a, b))
+    out = ev.groupBy(*part).agg(F.count("*").alias("n"), real("x", "y").alias("pearson"), real("rx", "ry").alias("spearman"), real("pct", "y").alias("within"))
+    return out.withColumns({f"{c}_p": p_of_correlation(F.col(c), F.col("n")) for c in ("pearson", "spearman", "within")})
+
+
 def correlation_p(rollup: DataFrame) -> DataFrame:
     """Adds ``p`` for columns ``r`` and ``n``."""
     return rollup.withColumn("p", p_of_correlation(F.col("r"), F.col("n")))
@@ -131,26 +153,25 @@ def correlation_p(rollup: DataFrame) -> DataFrame:
 
 def quintiles(events: DataFrame, x: str, y: str) -> DataFrame:
     """Means of y in five bins of x, cut at linear quantiles, closed on the right."""
-    more = [c for c in ("symbol", "report_date") if c in events.columns]  # so that many equal values of x are dealt out, too
-    rows = events.filter(F.col(x).isNotNull()).select(F.lit(0).alias("_pool"), *(F.col(c).alias(f"_{c}") for c in more), F.col(x).alias("x"), F.col(y).alias("y"))
-    own = ranked_within(rows, ["_pool"], ["x", *(f"_{c}" for c in more)])
-    cuts = own.agg(F.array(*(quantile_pick("x", q) for q in (0.2, 0.4, 0.6, 0.8))).alias("c")).scalar()
-    place = F.size(F.filter("_cuts", lambda c: F.round(c, 9) < F.col("x"))) + 1
+    own = events.filter(F.col(x).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    cuts = picked(own, [], "x", {f"c{j}": linear(j / 5) for j in range(1, 5)}).select(F.array(*(F.round(f"c{j}", 9) for j in range(1, 5))).alias("c")).scalar()
+    place = F.size(F.filter("_cuts", lambda c: c < F.col("x"))) + 1
     return own.withColumn("_cuts", cuts).withColumn("quintile", place).groupBy("quintile").agg(F.count("*").alias("n"), F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean"))
 
 
 def correlation_cuts(events: DataFrame, cohort: list[str], x: str = "dpi10", y: str = "m1_ret", least: int = 8) -> DataFrame:
-    """Correlations by year, cohort, timing, name and early or late half, in one pass: (cut, value, n, r)."""
-    ev = events.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_year", F.year("report_date"))
-    middle = ev.agg(F.floor(F.percentile("_year", F.lit(0.5)))).scalar()
-    ev = ev.withColumn("_middle", middle)
-    cut = lambda name, c: F.struct(F.lit(name).alias("cut"), c.cast("string").alias("value"))
-    cuts = F.array(
-        cut("year", F.col("_year")), cut("timing", F.col("timing")), cut("name", F.col("symbol")),
-        cut("cohort", F.when(F.col("symbol").isin(cohort), "in").otherwise("out")), cut("half", F.when(F.col("_year") <= F.col("_middle"), "early").otherwise("late")),
+    """Correlations by year, cohort, timing, name and early or late half, as grouping sets of one aggregation: (cut, value, n, r)."""
+    ev = events.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("year", F.year("report_date"))
+    middle = picked(ev, [], "year", {"m": linear(0.5)}).select(F.floor("m")).scalar()
+    ev = ev.withColumn("_middle", middle).select(
+        F.col("year").cast("string").alias("year"), "timing", F.col("symbol").alias("name"), F.when(F.col("symbol").isin(cohort), "in").otherwise("out").alias("cohort"),
+        F.when(F.col("year") <= F.col("_middle"), "early").otherwise("late").alias("half"), F.col(x).alias("_x"), F.col(y).alias("_y"),
     )
-    rows = ev.withColumn("_c", F.explode(cuts))
-    return rows.groupBy(F.col("_c.cut").alias("cut"), F.col("_c.value").alias("value")).agg(F.count("*").alias("n"), F.corr(x, y).alias("r")).filter(F.col("n") >= least)
+    cuts = ["year", "timing", "name", "cohort", "half"]
+    own = lambda c: F.grouping(c) == 0
+    which, value = F.coalesce(*(F.when(own(c), F.lit(c)) for c in cuts)), F.coalesce(*(F.when(own(c), F.col(c)) for c in cuts))
+    out = ev.groupingSets([[c] for c in cuts], *cuts).agg(which.alias("cut"), value.alias("value"), F.count("*").alias("n"), F.corr("_x", "_y").alias("r"))
+    return out.filter(F.col("n") >= least).select("cut", "value", "n", "r")
 
 
 def event_classes(events: DataFrame, x: str = "dpi10", least: int = 6) -> DataFrame:
@@ -163,7 +184,7 @@ def event_classes(events: DataFrame, x: str = "dpi10", least: int = 6) -> DataFr
 
 
 def path_rollup(events: DataFrame, panel: DataFrame, steps: int = 21, least: int = 5) -> DataFrame:
-    """Per symbol and offset: mean and median path after events in basis points (half-even), and of the hi class (3 events or more).
+    """Per symbol and offset: mean and median path after events in basis points (half-even), and mean paths of the hi and the lo class (3 events or more).
 
     Only events whose path is complete count; a symbol needs ``least`` of them.
     """
@@ -171,8 +192,8 @@ def path_rollup(events: DataFrame, panel: DataFrame, steps: int = 21, least: int
     own = paths(starts, panel, steps).withColumn("bp", F.bround(F.col("move") * 10000).cast("int"))
     full = W.partitionBy("symbol", "report_date")
     own = own.withColumn("_k", F.count("*").over(full)).filter(F.col("_k") == steps + 1)
-    hi = F.when(F.col("cls") == "hi", F.col("bp"))
-    out = own.groupBy("symbol", "k").agg(F.count("*").alias("n"), F.avg("bp").alias("mean_bp"), F.median("bp").alias("median_bp"), F.when(F.count(hi) >= 3, F.avg(hi)).alias("hi_bp"), F.count_if(F.col("bp") > 0).alias("up"))
+    hi, lo = (F.when(F.col("cls") == c, F.col("bp")) for c in ("hi", "lo"))
+    out = own.groupBy("symbol", "k").agg(F.count("*").alias("n"), F.avg("bp").alias("mean_bp"), F.median("bp").alias("median_bp"), F.when(F.count(hi) >= 3, F.avg(hi)).alias("hi_bp"), F.when(F.count(lo) >= 3, F.avg(lo)).alias("lo_bp"), F.count_if(F.col("bp") > 0).alias("up"))
     return out.filter(F.col("n") >= least)
 
 
@@ -201,6 +222,7 @@ def unpivoted(df: DataFrame, section: str, item: str, names: tuple[str, ...]) ->
 
 def full_summary(events: DataFrame, cohort: list[str]) -> DataFrame:
     """:func:`summary` with the terciles and Welch's t, volatility by tercile, and correlations by cut, as rows of one table."""
+    events = cut(events)  # a row a report, read for each section
     spread = unpivoted(tercile_spread(events), "tercile", "horizon", ("high_n", "low_n", "high_mean", "low_mean", "high_up", "low_up", "spread", "t_stat", "df"))
     ev = long_horizons(events, "rvol").withColumn("_t", tercile(F.col("dpi10_pct")))
     vol = ev.groupBy("horizon").agg(F.avg("ret").alias("mean"), F.corr("dpi10", "ret").alias("r"), F.avg(F.when(F.col("_t") == "high", F.col("ret"))).alias("high"), F.avg(F.when(F.col("_t") == "low", F.col("ret"))).alias("low"))
@@ -215,26 +237,31 @@ def names_by_correlation(events: DataFrame, x: str = "dpi10", y: str = "m1_ret",
     return own.withColumn("place", F.row_number().over(W.orderBy(F.asc_nulls_last(F.round("r", 9)), "symbol")))  # a row for each name
 
 
-def anchor_to_reaction(events: DataFrame, panel: DataFrame, before: int = 2, after: int = 4, least: float = 0.03, sigmas: float = 2.5, lead: float = 1.3) -> DataFrame:
-    """Moves ``base`` to the session before the dominant move within -before..after of the as-of session, if there is one.
+def anchor_to_reaction(events: DataFrame, changes: DataFrame, cal: DataFrame, before: int = 1, after: int = 5, least: float = 0.03, sigmas: float = 2.5, lead: float = 1.3) -> DataFrame:
+    """Moves ``base`` to the session before the dominant move on the sessions -before..after of it, if there is one; ``anchored`` (1 or 0) tells.
 
-    The largest absolute daily change must reach ``least``, ``sigmas`` deviations and ``lead`` times the
-    second; a missing change in the window disables it. ``anchored`` tells.
+    The largest absolute daily change must reach ``least``, ``sigmas`` deviations and
+    ``lead`` times the second. The window ends at the calendar's ends, and never holds its
+    first session; a window of one session, a missing change in it, or no deviation above zero forbids moving.
+    ``events``: (symbol, report_date, base, sigma, ..), ``changes``: (symbol, t, chg).
     """
-    chg = daily_change(panel).select("symbol", F.col("t").alias("_t"), "chg")
-    slots = events.withColumn("_o", F.explode(F.sequence(F.lit(-before), F.lit(after)))).withColumn("_t", (F.col("t") + F.col("_o")).cast("int")).join(chg, ["symbol", "_t"], "left")
-    keys = ["symbol", "report_date"]
-    moves = slots.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.abs("chg").alias("a"), F.col("_t").alias("at"))), asc=False).alias("m"), F.count("chg").alias("c"))
-    big = F.get("m", 0)["a"]
-    both = events.join(moves, keys, "left")
-    good = (F.col("c") == before + after + 1) & (big >= least) & (big >= sigmas * F.coalesce("sigma", F.lit(0.0))) & (big >= lead * F.get("m", 1)["a"])
-    return both.withColumn("anchored", F.coalesce(good, F.lit(False)).cast("int")).withColumn("base", F.when(F.col("anchored") == 1, F.get("m", 0)["at"] - 1).otherwise(F.col("base")).cast("int")).drop("m", "c")
+    last = cal.agg(F.max("t")).scalar()
+    own = events.withColumn("_last", last)
+    own = own.withColumn("_lo", F.greatest(F.lit(1), F.col("base") - before)).withColumn("_hi", F.least(F.col("_last"), F.col("base") + after))
+    slots = own.filter("_lo < _hi").select("symbol", "report_date", "base", (F.col("_hi") - F.col("_lo") + 1).alias("_size"), F.explode(F.sequence("_lo", "_hi")).alias("t")).distinct()
+    slots = slots.join(changes.select("symbol", "t", F.abs("chg").alias("a")), ["symbol", "t"])
+    keys = ["symbol", "report_date", "base"]
+    moves = slots.groupBy(*keys, "_size").agg(F.sort_array(F.collect_list(F.struct("a", F.col("t").alias("at"))), asc=False).alias("m"), F.count("a").alias("c"))
+    big, second = F.get("m", 0), F.get("m", 1)
+    good = (F.col("c") == F.col("_size")) & (big["a"] >= least) & (F.col("sigma") > 0) & (big["a"] >= sigmas * F.col("sigma")) & (big["a"] >= lead * F.greatest(second["a"], F.lit(1e-9)))
+    both = events.join(moves, keys, "left").withColumn("anchored", F.coalesce(good, F.lit(False)).cast("int"))
+    return both.withColumn("base", F.when(F.col("anchored") == 1, big["at"] - 1).otherwise(F.col("base")).cast("int")).drop("m", "c", "_size")
 
 
 def summary(events: DataFrame) -> DataFrame:
     """The study as rows: (section, item, metric, value)."""
     ev = long_horizons(events)
-    med = ranked_within(ev.filter("ret is not null").select("horizon", "symbol", "report_date", "ret"), ["horizon"], ["ret", "symbol", "report_date"]).groupBy("horizon").agg(quantile_pick("ret", 0.5).alias("median"))
+    med = picked(ev, ["horizon"], "ret", {"median": linear(0.5)}).drop("n")
     base = ev.groupBy("horizon").agg(F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("std"), F.avg((F.col("ret") > 0).cast("double")).alias("positive"), F.corr("dpi10", "ret").alias("r_dpi10"), F.corr("dpi5", "ret").alias("r_dpi5")).join(F.broadcast(med), "horizon", "left")
     names = ("mean", "median", "std", "positive", "r_dpi10", "r_dpi5")
     rows = F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names))

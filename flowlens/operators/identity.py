@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from flowlens.functions.core import rows
+from flowlens.functions.rolling import trailing
+from flowlens.functions.store import cut
 
 
 def resolve_aliases(panel: DataFrame, spans: DataFrame) -> DataFrame:
@@ -43,33 +44,46 @@ def merge_classes(panel: DataFrame, classes: DataFrame, sums: list[str], means:
     return both.groupBy(F.col("_to").alias("symbol"), "t").agg(*aggs)
 
 
-def detect_splits(series: DataFrame, width: int = 12, gap: int = 6, threshold: float = 2.2, tolerance: float = 0.22, highest: int = 20) -> DataFrame:
-    """Jumps of a ratio that stay: (symbol, t, factor).
+#: Ratios at which stocks are split.
+SPLIT_RATIOS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20)
 
-    ``series``: (symbol, t, ratio). On valid rows, the median of the next ``width`` log
-    ratios less that of the previous ``width`` exceeds ln(threshold) in a run; at
-    its peak the factor is the quotient of clean medians (31 rows back and
-    forward, ``gap`` rows apart), taken to the nearest whole ratio 2.. (or its
-    inverse) within ``tolerance``. The split takes effect at the first of two rows beyond the
-    geometric midpoint.
+
+def detect_splits(series: DataFrame, width: int = 12, gap: int = 6, reach: int = 31, threshold: float = 2.2, tolerance: float = 0.22) -> DataFrame:
+    """Upward steps of a ratio that stay and are those of a split: (symbol, t, factor).
+
+    ``series``: (symbol, t, ratio), read as its valid rows; ratios below 1e-9 count as
+    that, and symbols with fewer than 3 ``width`` rows are not judged. Where the median of the next ``width``
+    log ratios exceeds that of the previous ``width`` by more than ln(threshold), a run of such rows has
+    one peak. Its size is the quotient of the medians of rows ``gap`` to ``reach`` - 1 after it and
+    ``gap`` + 1 to ``reach`` before it; it is a split if the nearest of ``SPLIT_RATIOS`` is less than ``tolerance`` off,
+    which lets falls and shifts of other sizes be. The split takes effect at the first of two
+    rows in a row, within ``width`` of the peak, that reach the geometric mean of the two medians, else at
+    the peak. Two peaks dated alike are one split, of the later one's factor.
     """
-    own = series.filter(F.col("ratio") > 0).withColumn("lr", F.log("ratio"))
-    own = own.withColumn("i", F.row_number().over(W.partitionBy("symbol").orderBy("t"))).withColumn("n", F.count("*").over(W.partitionBy("symbol")))
-    med = lambda lo, hi: F.percentile("lr", F.lit(0.5)).over(rows("symbol", lo, hi))
-    own = own.withColumn("jump", F.round(F.abs(med(0, width - 1) - med(-width, -1)), 9)).withColumn("old", med(-31, -gap)).withColumn("new", med(gap, 31))
-    over = own.filter((F.col("i") > width) & (F.col("i") <= F.col("n") - width + 1) & (F.col("jump") > F.log(F.lit(threshold))))
+    ln = F.log("c")
+    own = series.filter(F.col("ratio").isNotNull() & ~F.isnan("ratio")).select("symbol", "t", F.greatest(F.col("ratio"), F.lit(1e-9)).alias("c"))
+    own = trailing(own.withColumn("lr", ln), ["symbol"], "lr", width, {"_m": 0.5})
+    by_t = W.partitionBy("symbol").orderBy("t")
+    own = own.withColumn("i", F.row_number().over(by_t) - 1).withColumn("n", F.count("*").over(W.partitionBy("symbol")))
+    own = own.withColumn("jump", F.round(F.lead("_m", width - 1).over(by_t) - F.lag("_m", 1).over(by_t), 9)).withColumn("next", F.lead("c").over(by_t))
+    own = cut(own.select("symbol", "t", "i", "n", "c", "next", "jump"))  # read for the peaks and for their surroundings
+    over = own.filter((F.col("n") >= 3 * width) & (F.col("i") >= width) & (F.col("i") < F.col("n") - width) & (F.col("jump") > F.log(F.lit(threshold))))
     over = over.withColumn("run", F.col("i") - F.row_number().over(W.partitionBy("symbol").orderBy("i")))
-    best = F.row_number().over(W.partitionBy("symbol", "run").orderBy(F.desc("jump"), "i"))
-    peaks = over.withColumn("_r", best).filter("_r = 1").select("symbol", F.col("i").alias("peak"), "old", "new")
-    quotient = F.exp(F.col("new") - F.col("old"))
-    size = F.when(quotient >= 1, quotient).otherwise(1 / quotient)
-    whole = F.least(F.greatest(F.round(size), F.lit(2.0)), F.lit(float(highest)))
-    peaks = peaks.withColumn("size", size).withColumn("whole", whole).filter(F.abs(F.col("size") / F.col("whole") - 1) <= tolerance)
-    peaks = peaks.withColumn("up", quotient >= 1).withColumn("mid", (F.col("old") + F.col("new")) / 2)
-    near = own.select("symbol", "t", "i", "lr", F.lead("lr").over(W.partitionBy("symbol").orderBy("i")).alias("next"))
-    past = lambda c: F.when(F.col("up"), F.col(c) > F.col("mid")).otherwise(F.col(c) < F.col("mid"))
-    at = peaks.join(near, "symbol").filter((F.abs(F.col("i") - F.col("peak")) <= width) & past("lr") & past("next"))
-    return at.groupBy("symbol", "peak").agg(F.min("t").alias("t"), F.first(F.when(F.col("up"), F.col("whole")).otherwise(1 / F.col("whole"))).alias("factor")).select("symbol", "t", "factor")
+    peaks = over.groupBy("symbol", "run").agg(F.max_by("i", F.struct("jump", -F.col("i"))).alias("peak"))
+    near = peaks.select("symbol", "peak", F.explode(F.sequence(F.col("peak") - reach, F.col("peak") + reach - 1)).alias("i")).join(own.select("symbol", "i", "t", "c", "next"), ["symbol", "i"])
+    off = F.col("i") - F.col("peak")
+    steps = near.groupBy("symbol", "peak").agg(
+        F.median(F.when(off < -gap, F.col("c"))).alias("old"), F.median(F.when(off >= gap, F.col("c"))).alias("new"),
+        F.collect_list(F.when(off.between(-width, width - 1) & F.col("next").isNotNull(), F.struct("t", F.least("c", "next").alias("both")))).alias("rows"), F.max(F.when(off == 0, F.col("t"))).alias("at"),
+    )
+    size = F.col("new") / F.col("old")
+    ratios = F.array(*map(F.lit, SPLIT_RATIOS))
+    nearest = F.array_min(F.transform(ratios, lambda r: F.struct(F.abs(r - F.col("size")).alias("far"), r.alias("ratio"))))["ratio"]
+    steps = steps.withColumn("size", size).withColumn("factor", nearest.cast("double")).filter(F.abs(F.col("factor") - F.col("size")) / F.col("factor") < tolerance)
+    middle = F.sqrt(F.greatest("old", F.lit(1e-12)) * F.greatest("new", F.lit(1e-12)))
+    reached = F.array_min(F.transform(F.filter("rows", lambda r: r["both"] >= F.col("mid")), lambda r: r["t"]))
+    dated = steps.withColumn("mid", middle).withColumn("t", F.coalesce(reached, "at"))
+    return dated.groupBy("symbol", "t").agg(F.max_by("factor", "peak").alias("factor"))
 
 
 def apply_splits(panel: DataFrame, splits: DataFrame, values: list[str]) -> DataFrame:

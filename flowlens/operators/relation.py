@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from flowlens.functions.selection import linear, picked
 from flowlens.functions.store import cut
 from flowlens.operators.panel import drop_empty, forward_return, since, thin_weekly
 
@@ -43,50 +44,32 @@ def deciles(pts: DataFrame, k: int = 10) -> DataFrame:
     return bucket_statistics(b, ["bucket"])
 
 
-def ranked_within(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Adds ``place``, the 0-based place of each row among those with its ``keys``, and ``size``, their number.
-
-    For few keys (buckets, horizons, bands: a row of each is sent to every task)
-    with many rows each: the whole table is ranked once, by key and ``order``,
-    so no key's rows meet in one task.
-    """
-    r = ranked(df, [*keys, *order], "_place")
-    first = r.groupBy(*keys).agg(F.min("_place").alias("_first"), F.count("*").alias("size")).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)), "_first", "size")
-    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
-    return r.join(F.broadcast(first), same).withColumn("place", F.col("_place") - F.col("_first")).drop("_place", "_first", "n", *(f"_k{i}" for i in range(len(keys))))
-
-
-def quantile_pick(value: str, q: float) -> Column:
-    """Aggregate over rows of :func:`ranked_within` in the order of ``value``: the quantile, between neighbours by straight line."""
-    at = F.lit(q) * (F.col("size") - 1)
-    near = lambda place: F.max(F.when(F.col("place") == place, F.col(value)))
-    low = near(F.floor(at))
-    return low + (near(F.ceil(at)) - low) * F.max(at - F.floor(at))
-
-
 def sampled(pts: DataFrame, order: list[str], most: int = 7000) -> DataFrame:
     """Every k-th point in order, k = ceil(n / most), for plots: systematic, so reruns agree."""
     return ranked(pts, order).filter(F.col("rank") % F.ceil(F.col("n") / most) == 0).drop("rank", "n")
 
 
 def bucket_statistics(b: DataFrame, keys: list[str]) -> DataFrame:
-    """n, mean and range of x, mean, median and population deviation of y per bucket; medians are picked by rank."""
-    return ranked_within(b, keys, ["y", "symbol", "t"]).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean"), quantile_pick("y", 0.5).alias("y_median"), F.stddev_pop("y").alias("y_std"), F.min("x").alias("x_lo"), F.max("x").alias("x_hi")
-    )
+    """n, mean and range of x, mean, median and population deviation of y per bucket; medians are selected, not sorted for."""
+    b = cut(b.select(*keys, "x", "y"))
+    stats = b.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean"), F.stddev_pop("y").alias("y_std"), F.min("x").alias("x_lo"), F.max("x").alias("x_hi"))
+    return stats.join(picked(b, keys, "y", {"y_median": linear(0.5)}, written=True).drop("n"), keys, "left")
 
 
 def decile_table(pts: DataFrame, latest: DataFrame, least: int = 30, k: int = 10, h: int = 21) -> DataFrame:
     """Per symbol and bucket: mean of y, overlap-adjusted error, and whether the symbol's latest x is in it.
 
-    ``latest``: (symbol, latest). The current bucket is the first whose upper edge reaches the latest value, else the last.
+    ``latest``: (symbol, latest). The current bucket is the first whose range of x holds
+    the latest value; a value in none is in the last one if it is beyond it, else in the first.
     """
     own = W.partitionBy("symbol")
     b = pts.withColumn("n", F.count("*").over(own)).filter(F.col("n") >= least)
     b = b.withColumn("bucket", slice_bucket(F.row_number().over(own.orderBy("x", "t")) - 1, F.col("n"), k))
-    stats = b.groupBy("symbol", "bucket").agg(F.count("*").alias("n"), F.avg("y").alias("y_mean"), F.stddev_pop("y").alias("std"), F.max("x").alias("x_hi"))
+    stats = b.groupBy("symbol", "bucket").agg(F.count("*").alias("n"), F.avg("y").alias("y_mean"), F.stddev_pop("y").alias("std"), F.min("x").alias("x_lo"), F.max("x").alias("x_hi"))
     stats = stats.withColumn("se", overlap_error(F.col("std"), F.col("n"), h)).join(latest, "symbol", "left")
-    now = F.coalesce(F.min(F.when(F.col("latest") <= F.col("x_hi"), F.col("bucket"))).over(own), F.when(F.col("latest").isNotNull(), F.lit(k)))
+    holds = F.min(F.when(F.col("latest").between(F.col("x_lo"), F.col("x_hi")), F.col("bucket"))).over(own)
+    beyond = F.max(F.when(F.col("bucket") == k, F.col("latest") > F.col("x_hi"))).over(own)
+    now = F.coalesce(holds, F.when(F.col("latest").isNotNull(), F.when(beyond, k).otherwise(1)))
     return stats.withColumn("now", now).select("symbol", "bucket", "n", "y_mean", "se", F.coalesce(F.col("now") == F.col("bucket"), F.lit(False)).alias("current"))
 
 
@@ -114,27 +97,26 @@ def trend(pts: DataFrame, part: list[str]) -> DataFrame:
 
 
 def spread_statistics(df: DataFrame, part: list[str], value: str) -> DataFrame:
-    """Mean, median, population and sample deviation, median absolute deviation, share above zero, mean over MAD."""
-    med = df.filter(F.col(value).isNotNull()).groupBy(*part).agg(F.median(value).alias("_med"))
-    both = df.filter(F.col(value).isNotNull()).join(med, part)
-    out = both.groupBy(*part).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean"), F.first("_med").alias("median"), F.stddev_pop(value).alias("std_pop"), F.stddev_samp(value).alias("std_samp"),
-        F.median(F.abs(F.col(value) - F.col("_med"))).alias("mad"), F.avg((F.col(value) > 0).cast("double")).alias("hit"),
-    )
+    """Mean, median, population and sample deviation, median absolute deviation, share above zero, mean over MAD; medians are selected."""
+    own = cut(df.filter(F.col(value).isNotNull()).select(*part, F.col(value).alias("_v")))
+    out = own.groupBy(*part).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std_pop"), F.stddev_samp("_v").alias("std_samp"), F.avg((F.col("_v") > 0).cast("double")).alias("hit"))
+    median = picked(own, part, "_v", {"median": linear(0.5)}, written=True).drop("n")
+    far = own.join(median, part).withColumn("_far", F.abs(F.col("_v") - F.col("median")))
+    mad = picked(far, part, "_far", {"mad": linear(0.5)}, written=True).drop("n")
+    out = out.join(median, part).join(mad, part)
     return out.withColumn("mean_over_mad", F.col("mean") / F.when(F.col("mad") > 0, F.col("mad")))
 
 
 def histogram(df: DataFrame, value: str, base: float = 0.0, bins: int = 26) -> DataFrame:
     """Counts in equal bins over [p1, p99] widened to hold 0, the mean and ``base``; what lies outside is clamped.
 
-    Percentiles are picked by index floor(p * (n - 1)) of the sorted values.
+    Percentiles are the values at place floor(p * (n - 1)) of the sorted ones. A range without width is widened by 1.
     """
-    own = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("v"))
-    numbered = ranked(own.withColumn("_id", F.monotonically_increasing_id()), ["v", "_id"])
-    pick = lambda p: F.max(F.when(F.col("rank") == F.floor((F.col("n") - 1) * p), F.col("v")))
-    ends = numbered.agg(pick(0.01).alias("p1"), pick(0.99).alias("p99"), F.avg("v").alias("m"))
+    own = cut(df.filter(F.col(value).isNotNull()).select(F.col(value).alias("v")))
+    ends = picked(own, [], "v", {"p1": lambda n: F.floor((n - 1) * 0.01), "p99": lambda n: F.floor((n - 1) * 0.99)}, written=True)
+    ends = ends.withColumn("m", own.agg(F.avg("v")).scalar())
     lo, hi = F.least("p1", "m", F.lit(0.0), F.lit(base)), F.greatest("p99", "m", F.lit(0.0), F.lit(base))
-    ends = ends.select(F.struct(lo.alias("lo"), hi.alias("hi")).alias("e")).scalar()
+    ends = ends.select(F.struct(lo.alias("lo"), F.when(hi > lo, hi).otherwise(lo + 1).alias("hi")).alias("e")).scalar()
     binned = own.withColumn("e", ends).withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("e.lo")) / ((F.col("e.hi") - F.col("e.lo")) / bins)))).cast("int"))
     return binned.groupBy("bin").agg(F.count("*").alias("n"))
 
@@ -154,11 +136,17 @@ def name_relation(panel: DataFrame, value: str, start: str, pair: tuple[str, str
     return drop_empty(thin_weekly(kept, kept, over=over), value).select("symbol", "t", *names)
 
 
-def cross_section(panel: DataFrame, value: str, forward: str, h: int = 21, k: int = 10, min_names: int = 20, min_history: int = 20, relative: bool = True) -> DataFrame:
+def cross_section(panel: DataFrame, value: str, forward: str, bench: str | None = None, k: int = 10, min_names: int = 20, min_history: int = 20, relative: bool = True) -> DataFrame:
     """Per session: names ranked into k slices by the signal: (symbol, t, signal, fwd, bucket).
 
-    The relative signal is the value less its own expanding mean, with ``min_history`` values.
+    The relative signal is the value less its own expanding mean, with
+    ``min_history`` values. With ``bench``, returns are in excess of that symbol's over the same sessions; it is not ranked,
+    and sessions on which it has no return go.
     """
+    if bench is not None:
+        # the signal needs the symbol's whole history, also sessions on which the benchmark has no return
+        base = panel.filter((F.col("symbol") == bench) & F.col(forward).isNotNull()).select("t", F.col(forward).alias("_base"))
+        panel = panel.filter(F.col("symbol") != bench).join(base, "t", "left").withColumn(forward, F.col(forward) - F.col("_base")).drop("_base")
     with_signal = expanding(panel, value)
     signal = F.when(F.col("seen") >= min_history, F.col(value) - F.col("expanding_mean")) if relative else F.col(value)
     own = with_signal.withColumn("signal", F.round(signal, 9)).filter(F.col("signal").isNotNull() & F.col(value).isNotNull() & F.col(forward).isNotNull())

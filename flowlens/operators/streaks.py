@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from flowlens.functions.core import rows
+from flowlens.functions.core import ratio
+from flowlens.functions.rolling import trailing
+from flowlens.functions.selection import linear, picked
 from flowlens.functions.store import cut
 from flowlens.operators.panel import forward_return
-from flowlens.operators.relation import quantile_pick, ranked, ranked_within
 
 
 def trailing_decile(panel: DataFrame, value: str, width: int = 252, least: int = 120) -> DataFrame:
     """(symbol, t, decile): place of the value among the ``width`` valid observations before it; no look-ahead."""
     own = panel.filter(F.col(value).isNotNull()).select("symbol", "t", F.col(value).alias("v"))
-    own = own.withColumn("_past", F.collect_list("v").over(rows("symbol", -width, -1)))
-    share = F.ceil(10 * F.size(F.filter("_past", lambda x: x <= F.col("v"))) / F.size("_past"))
-    return own.withColumn("decile", F.when(F.size("_past") >= least, F.greatest(F.lit(1), share)).cast("int")).select("symbol", "t", "decile")
+    own = trailing(own, ["symbol"], "v", width, seen="_n", up_to="_le", current=False)
+    return own.withColumn("decile", F.when(F.col("_n") >= least, F.greatest(F.lit(1), F.ceil(10 * F.col("_le") / F.col("_n")))).cast("int")).select("symbol", "t", "decile")
 
 
 def sample_decile(panel: DataFrame, value: str, least: int = 20) -> DataFrame:
@@ -34,13 +32,12 @@ def sample_decile(panel: DataFrame, value: str, least: int = 20) -> DataFrame:
 
 
 def pooled_decile(panel: DataFrame, value: str, least: int = 20) -> DataFrame:
-    """As :func:`sample_decile` with cuts of the whole pool, which is never gathered: nine ranks are picked."""
+    """As :func:`sample_decile` with cuts of the whole pool, which is neither gathered nor sorted: nine ranks are selected."""
     own = panel.filter(F.col(value).isNotNull()).select("symbol", "t", F.col(value).alias("v"))
-    numbered = ranked(own, ["v", "symbol", "t"])
-    picks = numbered.agg(*(F.max(F.when((F.col("n") >= least) & (F.col("rank") == F.floor(F.col("n") * j / 10)), F.col("v"))).alias(f"c{j}") for j in range(1, 10)))
+    picks = picked(own, [], "v", {f"c{j}": lambda n, j=j: F.floor(n * j / 10) for j in range(1, 10)}).filter(F.col("n") >= least)
     cuts = picks.select(F.array(*(f"c{j}" for j in range(1, 10))).alias("c")).scalar()
     below = F.size(F.filter("_cuts", lambda c: c < F.col("v")))
-    return own.withColumn("_cuts", cuts).filter(F.get("_cuts", 0).isNotNull()).select("symbol", "t", (below + 1).cast("int").alias("decile"))
+    return own.withColumn("_cuts", cuts).filter(F.col("_cuts").isNotNull()).select("symbol", "t", (below + 1).cast("int").alias("decile"))
 
 
 def in_band(states: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -60,14 +57,15 @@ def streak_events(hits: DataFrame, run: int = 5, part: list[str] | None = None)
     return islands(hits, part).filter(F.col("k") == run).select(*part, "t")
 
 
-def streak_status(states: DataFrame, lo: int, hi: int, run: int = 5, fresh: int = 3) -> DataFrame:
+def streak_status(states: DataFrame, cal: DataFrame, lo: int, hi: int, run: int = 5, fresh: int = 3) -> DataFrame:
     """Per symbol: length of the streak that is on, whether it is active (run reached) or building (one short), last event.
 
-    A streak is on if it holds the symbol's last state and that one is among the last ``fresh`` sessions.
+    A streak is on if it holds the symbol's last state and that one is among the
+    calendar's last ``fresh`` sessions, whether or not any symbol has a state there.
     """
     marked = islands(in_band(states, lo, hi), ["symbol"])
     newest = states.filter("decile is not null").groupBy("symbol").agg(F.max("t").alias("last_t"))
-    end = newest.agg(F.max("last_t")).scalar()
+    end = cal.agg(F.max("t")).scalar()
     tips = marked.groupBy("symbol").agg(F.max("t").alias("tip"), F.max_by("k", "t").alias("k"), F.max(F.when(F.col("k") == run, F.col("t"))).alias("last_event"))
     out = newest.withColumn("_end", end).join(tips, "symbol", "left")
     on = (F.col("tip") == F.col("last_t")) & (F.col("last_t") > F.col("_end") - fresh)
@@ -80,13 +78,21 @@ def event_returns(events: DataFrame, panel: DataFrame, horizons: tuple[int, ...]
     return events.join(long_returns(panel, horizons, price), ["symbol", "t"])
 
 
-def long_returns(panel: DataFrame, horizons: tuple[int, ...] = (21, 42, 63), price: str = "adjclose") -> DataFrame:
-    """(symbol, t, h, ret) of the whole panel, missing returns left out."""
+def long_returns(panel: DataFrame, horizons: tuple[int, ...] = (21, 42, 63), price: str = "adjclose", bench: str | None = None, excess: bool = False) -> DataFrame:
+    """(symbol, t, h, ret) of the whole panel, missing returns left out, and those of the symbol ``bench``.
+
+    With ``excess`` returns are less the benchmark's over the same sessions; where it has none there is none.
+    """
     wide = panel
     for h in horizons:
         wide = forward_return(wide, h, f"r{h}", price)
     pairs = F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"r{h}").alias("ret")) for h in horizons))
-    return wide.select("symbol", "t", F.explode(pairs).alias("p")).select("symbol", "t", "p.h", "p.ret").filter("ret is not null")
+    long = wide.select("symbol", "t", F.explode(pairs).alias("p")).select("symbol", "t", "p.h", "p.ret").filter("ret is not null")
+    if bench is None:
+        return long
+    base = long.filter(F.col("symbol") == bench).select("t", "h", F.col("ret").alias("_b"))  # a row a session and horizon
+    long = long.filter(F.col("symbol") != bench)
+    return long.join(base, ["t", "h"]).select("symbol", "t", "h", (F.col("ret") - F.col("_b")).alias("ret")) if excess else long
 
 
 def day_means(returns: DataFrame) -> DataFrame:
@@ -100,17 +106,39 @@ def matched_base(events: DataFrame, returns: DataFrame) -> DataFrame:
     return own.groupBy("h").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.avg("base").alias("base"), F.avg(F.col("ret") - F.col("base")).alias("edge"))
 
 
+def band_events(states: DataFrame, run: int = 5) -> DataFrame:
+    """(symbol, t, bands): the bands lo <= hi of which a streak completes ``run`` sessions at t; rows of no event have none.
+
+    One pass over each symbol's states carries twenty running maxima: the last
+    session at which the state was below each lo, and above each hi. A
+    session without a state, or missing from ``states``, is outside every band. A band's streak is then
+    the sessions since the later one of its two, so no row is copied to the bands that hold it.
+    """
+    own = W.partitionBy("symbol").orderBy("t")
+    so_far = own.rowsBetween(W.unboundedPreceding, 0)
+    gap = F.when(F.col("t") - F.lag("t", 1).over(own) == 1, F.when(F.col("decile").isNull(), F.col("t"))).otherwise(F.when(F.col("decile").isNull(), F.col("t")).otherwise(F.col("t") - 1))
+    marks = {"_gap": F.col("_broken")}
+    marks |= {f"_under{k}": F.when(F.col("decile") < k, F.col("t")) for k in range(2, 11)} | {f"_over{k}": F.when(F.col("decile") > k, F.col("t")) for k in range(1, 10)}
+    seen = states.select("symbol", "t", "decile").withColumn("_broken", gap)
+    seen = seen.select("symbol", "t", "decile", *(F.max(v).over(so_far).alias(k) for k, v in marks.items()))
+    under, over = F.array(F.lit(None).cast("int"), *(f"_under{k}" for k in range(2, 11))), F.array(*(f"_over{k}" for k in range(1, 10)), F.lit(None).cast("int"))
+    bands = F.array(*(F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo in range(1, 11) for hi in range(lo, 11)))
+    outside = lambda b: F.greatest("_gap", F.get("_u", b["lo"] - 1), F.get("_o", b["hi"] - 1))
+    held = seen.filter("decile is not null").select("symbol", "t", "decile", "_gap", under.alias("_u"), over.alias("_o"))
+    mine = F.filter(bands, lambda b: F.col("t") - outside(b) == run)
+    return held.select("symbol", "t", mine.alias("bands")).filter(F.size("bands") > 0)
+
+
 def band_sweep(states: DataFrame, returns: DataFrame, run: int = 5) -> DataFrame:
-    """All 55 bands lo <= hi: streak events and their mean, median and MAD per horizon. Each state row goes to the bands that hold it."""
-    bands = F.flatten(F.transform(F.sequence(F.lit(1), "decile"), lambda lo: F.transform(F.sequence(F.col("decile"), F.lit(10)), lambda hi: F.struct(lo.alias("lo"), hi.alias("hi")))))
-    hits = states.filter("decile is not null").select("symbol", "t", F.explode(bands).alias("b")).select("symbol", "t", "b.lo", "b.hi")
-    events = streak_events(hits, run, ["lo", "hi", "symbol"]).join(returns, ["symbol", "t"])
+    """All 55 bands lo <= hi: streak events and their mean, median and MAD per horizon. Only events go to the bands they are of."""
+    events = band_events(states, run).join(returns, ["symbol", "t"]).select(F.explode("bands").alias("b"), "h", "ret").select("b.lo", "b.hi", "h", "ret")
     keys = ["lo", "hi", "h"]
-    own = ranked_within(events, keys, ["ret", "symbol", "t"])
-    stats = own.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), quantile_pick("ret", 0.5).alias("median"), F.stddev_pop("ret").alias("std"))
-    far = own.drop("place", "size").join(F.broadcast(stats.select(*keys, "median")), keys).withColumn("far", F.abs(F.col("ret") - F.col("median")))  # a row for each band and horizon
-    mad = ranked_within(far, keys, ["far", "symbol", "t"]).groupBy(*keys).agg(quantile_pick("far", 0.5).alias("mad"))
-    return stats.join(mad, keys).select(*keys, "n", "mean", "median", "mad", "std")
+    events = cut(events)
+    stats = events.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("std"))
+    median = picked(events, keys, "ret", {"median": linear(0.5)}, written=True).drop("n")
+    far = events.join(F.broadcast(median), keys).withColumn("far", F.abs(F.col("ret") - F.col("median")))  # a row for each band and horizon
+    mad = picked(far, keys, "far", {"mad": linear(0.5)}, written=True).drop("n")
+    return stats.join(median, keys).join(mad, keys).select(*keys, "n", "mean", "median", "mad", "std")
 
 
 def sweep_table(states: DataFrame, returns: DataFrame, run: int = 5, horizons: tuple[int, ...] = (21, 42, 63)) -> DataFrame:
@@ -118,16 +146,15 @@ def sweep_table(states: DataFrame, returns: DataFrame, run: int = 5, horizons: t
 
     Band 0-0 is the baseline: all (name, day) returns. Means that are missing come last; ties go by band.
     """
-    bands = F.flatten(F.transform(F.sequence(F.lit(1), "decile"), lambda lo: F.transform(F.sequence(F.col("decile"), F.lit(10)), lambda hi: F.struct(lo.alias("lo"), hi.alias("hi")))))
-    hits = states.filter("decile is not null").select("symbol", "t", F.explode(bands).alias("b")).select("symbol", "t", "b.lo", "b.hi")
-    events = streak_events(hits, run, ["lo", "hi", "symbol"])
-    streaks = events.groupBy("lo", "hi").agg(F.count("*").alias("streaks"))
-    means = events.join(returns, ["symbol", "t"]).groupBy("lo", "hi", "h").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"))
-    every = returns.groupBy("h").agg(F.count("*").alias("n"), F.avg("ret").alias("mean")).select(F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(None).cast("long").alias("streaks"), "h", "n", "mean")
-    grid = streaks.withColumn("h", F.explode(F.array(*map(F.lit, horizons)))).join(means, ["lo", "hi", "h"], "left").select("lo", "hi", "streaks", "h", F.coalesce("n", F.lit(0)).alias("n"), "mean")
+    by_day = returns.groupBy("symbol", "t").agg(F.collect_list(F.struct("h", "ret")).alias("rets"))  # a row a session, with a return for each horizon
+    events = band_events(states, run).join(by_day, ["symbol", "t"], "left").select(F.explode("bands").alias("b"), "rets")
+    every = F.transform(F.array(*map(F.lit, horizons)), lambda h: F.struct(h.alias("h"), F.get(F.filter("rets", lambda r: r["h"] == h), 0)["ret"].alias("ret")))
+    long = events.select("b.lo", "b.hi", F.explode(every).alias("r"))
+    grid = long.groupBy("lo", "hi", F.col("r.h").alias("h")).agg(F.count("*").alias("streaks"), F.count("r.ret").alias("n"), F.avg("r.ret").alias("mean"))
+    base = returns.groupBy("h").agg(F.count("*").alias("n"), F.avg("ret").alias("mean")).select(F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(None).cast("long").alias("streaks"), "h", "n", "mean")
     part = W.partitionBy("h")
     grid = grid.withColumn("by_streaks", F.row_number().over(part.orderBy(F.desc("streaks"), "lo", "hi"))).withColumn("by_mean", F.row_number().over(part.orderBy(F.desc_nulls_last(F.round("mean", 9)), "lo", "hi")))
-    return grid.unionByName(every, allowMissingColumns=True)
+    return grid.unionByName(base, allowMissingColumns=True)
 
 
 def current_streaks(status: DataFrame, active: int = 12, building: int = 8) -> DataFrame:
@@ -146,56 +173,112 @@ def regime_split(events: DataFrame, returns: DataFrame, cal: DataFrame, boundary
     split = first.select(F.when((F.col("s") > 0) & (F.col("s") < F.col("n") - 1), F.col("s")).otherwise(F.floor(F.col("n") / 2)).cast("int")).scalar()
     own = events.join(returns, ["symbol", "t"]).join(day_means(returns), ["t", "h"]).join(cal, "t")
     own = own.withColumn("_split", split)
-    side = F.when(F.col("t") < F.col("_split"), "before").otherwise("after")
-    both = own.withColumn("period", F.explode(F.array(F.lit("full"), side)))
-    return both.groupBy("period", "h").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.avg("base").alias("base"), F.avg(F.col("ret") - F.col("base")).alias("edge"))
+    own = own.withColumn("side", F.when(F.col("t") < F.col("_split"), "before").otherwise("after"))
+    out = own.groupingSets([["h"], ["h", "side"]], "h", "side").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.avg("base").alias("base"), F.avg(F.col("ret") - F.col("base")).alias("edge"))
+    return out.select(F.coalesce("side", F.lit("full")).alias("period"), "h", "n", "mean", "base", "edge")
 
 
-def paths(starts: DataFrame, panel: DataFrame, steps: int = 63, price: str = "adjclose") -> DataFrame:
-    """(starts' columns, k, move): price moves 0..steps sessions after each start; missing prices are left out."""
-    px = panel.select("symbol", F.col("t").alias("_t"), F.col(price).alias("_p"))
-    first = starts.join(px.withColumnRenamed("_p", "_p0").withColumnRenamed("_t", "t"), ["symbol", "t"]).filter("_p0 is not null")
+def paths(starts: DataFrame, panel: DataFrame, steps: int = 63, price: str = "adjclose", hedge: str | None = None) -> DataFrame:
+    """(starts' columns, k, move): price moves 0..steps sessions after each start; missing prices are left out.
+
+    With ``hedge`` moves are less that symbol's over the same sessions; starts and sessions on which it has no price go.
+    """
+    px = panel.filter(F.col(price).isNotNull()).select("symbol", F.col("t").alias("_t"), F.col(price).alias("_p"))
+    if hedge is not None:
+        px = px.join(px.filter(F.col("symbol") == hedge).select("_t", F.col("_p").alias("_b")), "_t")  # a row a session
+    else:
+        px = px.withColumn("_b", F.lit(None).cast("double"))
+    first = starts.join(px.select("symbol", F.col("_t").alias("t"), F.col("_p").alias("_p0"), F.col("_b").alias("_b0")), ["symbol", "t"])
     at = first.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("_t", (F.col("t") + F.col("k")).cast("int"))
-    return at.join(px, ["symbol", "_t"]).filter("_p is not null").withColumn("move", F.col("_p") / F.when(F.col("_p0") != 0, F.col("_p0")) - 1).drop("_t", "_p", "_p0")
+    move = ratio("_p", "_p0") - 1
+    move = move if hedge is None else move - (ratio("_b", "_b0") - 1)
+    return at.join(px, ["symbol", "_t"]).withColumn("move", move).drop("_t", "_p", "_p0", "_b", "_b0")
 
 
-def event_drift(events: DataFrame, panel: DataFrame, steps: int = 63, price: str = "adjclose") -> DataFrame:
+def event_drift(events: DataFrame, panel: DataFrame, steps: int = 63, price: str = "adjclose", hedge: str | None = None) -> DataFrame:
     """Per offset k: mean move after events, its standard error (population) and number."""
-    moves = paths(events, panel, steps, price).groupBy("k").agg(F.count("*").alias("n"), F.avg("move").alias("mean"), F.stddev_pop("move").alias("_s"))
+    moves = paths(events, panel, steps, price, hedge).groupBy("k").agg(F.count("*").alias("n"), F.avg("move").alias("mean"), F.stddev_pop("move").alias("_s"))
     return moves.select("k", "n", "mean", (F.col("_s") / F.sqrt("n")).alias("se"))
 
 
-def matched_drift(events: DataFrame, panel: DataFrame, steps: int = 63, price: str = "adjclose") -> DataFrame:
-    """Per offset k: the mean path of all names on each event day, averaged with the days' numbers of events.
+def matched_drift(events: DataFrame, panel: DataFrame, steps: int = 63, price: str = "adjclose", bench: str | None = None, excess: bool = False) -> DataFrame:
+    """Per offset k: the mean path of all names but ``bench`` on each event day, averaged with the days' numbers of events.
 
     Names are averaged per (t, k) before events come in, so no name meets every event.
     """
     days = events.groupBy("t").agg(F.count("*").alias("w"))
     every = panel.filter(F.col(price).isNotNull()).select("symbol", "t").join(days, "t")
-    by_day = paths(every, panel, steps, price).groupBy("t", "k").agg(F.avg("move").alias("m"), F.first("w").alias("w"))
+    every = every if bench is None else every.filter(F.col("symbol") != bench)
+    by_day = paths(every, panel, steps, price, bench if excess else None).groupBy("t", "k").agg(F.avg("move").alias("m"), F.first("w").alias("w"))
     return by_day.groupBy("k").agg(F.sum("w").alias("n"), (F.sum(F.col("m") * F.col("w")) / F.sum("w")).alias("mean"))
 
 
-def trades(events: DataFrame, px: DataFrame, hold: int, lag: int) -> DataFrame:
-    """(symbol, e, x): entries lag sessions after events, and the last valid price at most ``hold`` sessions on. ``px``: (symbol, t, p)."""
-    entry = events.select("symbol", (F.col("t") + lag).cast("int").alias("e")).distinct().join(px.select("symbol", F.col("t").alias("e")), ["symbol", "e"])
-    days = entry.withColumn("day", F.explode(F.sequence(F.col("e"), F.col("e") + hold)))
-    held = days.join(px.select("symbol", F.col("t").alias("day")), ["symbol", "day"])
-    return held.groupBy("symbol", "e").agg(F.max("day").alias("x")).filter("x > e")
+def holdings(events: DataFrame, panel: DataFrame, runs: list[tuple[int, int]], price: str = "adjclose", hedge: str | None = None) -> DataFrame:
+    """Days of every trade of every run (hold, lag): (hold, lag, symbol, e, day, p, r, x, p0, and the hedge's b, hp, hp0).
+
+    A trade enters lag sessions after an event, if there is a price, and leaves
+    at the last price within ``hold`` sessions, ``x``, which must be later. ``r`` and ``b`` are the day's
+    returns over exactly one session, null without both prices or on a price of zero. One equi-join for all runs.
+    """
+    px = panel.filter(F.col(price).isNotNull()).select("symbol", F.col("t").alias("day"), F.col(price).alias("p"))
+    before = F.first("p").over(W.partitionBy("symbol").orderBy("day").rangeBetween(-1, -1))
+    px = px.withColumn("r", ratio("p", before) - 1)
+    if hedge is not None:
+        base = px.filter(F.col("symbol") == hedge).select("day", F.col("r").alias("b"), F.col("p").alias("hp"))  # a row a session
+        px = px.join(base, "day", "left")
+    else:
+        px = px.withColumns({"b": F.lit(None).cast("double"), "hp": F.lit(None).cast("double")})
+    variants = F.array(*(F.struct(F.lit(h).alias("hold"), F.lit(k).alias("lag")) for h, k in runs))
+    entries = events.select("symbol", "t").distinct().select("symbol", "t", F.explode(variants).alias("v")).select("symbol", "v.hold", "v.lag", (F.col("t") + F.col("v.lag")).cast("int").alias("e"))
+    days = entries.withColumn("day", F.explode(F.sequence(F.col("e"), F.col("e") + F.col("hold")))).join(px, ["symbol", "day"])
+    trade = W.partitionBy("hold", "lag", "symbol", "e")  # hold + 1 rows
+    first = lambda c: F.max(F.when(F.col("day") == F.col("e"), F.col(c))).over(trade)
+    days = days.withColumn("x", F.max("day").over(trade)).withColumn("entered", first("day")).withColumn("p0", first("p")).withColumn("hp0", first("hp"))
+    return days.filter("entered is not null and x > e").drop("entered")
+
+
+def equities(held: DataFrame, cal: DataFrame, runs: list[tuple[int, int]], cost_bps: float = 5.0) -> DataFrame:
+    """Daily equity of each run: (hold, lag, t, positions, ret, equity, drawdown), a row a session of ``cal``.
+
+    Open positions have equal weight; a position without a return on a day is not
+    open on it. Both sides cost ``cost_bps``; a day without the hedge's return is not hedged.
+    """
+    cost = cost_bps / 10000
+    live = held.filter((F.col("day") > F.col("e")) & F.col("r").isNotNull())
+    own = F.col("r") - F.coalesce("b", F.lit(0.0)) - F.when(F.col("day") == F.col("e") + 1, cost).otherwise(0.0) - F.when(F.col("day") == F.col("x"), cost).otherwise(0.0)
+    daily = live.groupBy("hold", "lag", F.col("day").alias("t")).agg(F.count("*").alias("positions"), F.avg(own).alias("ret"))
+    variants = F.array(*(F.struct(F.lit(h).alias("hold"), F.lit(k).alias("lag")) for h, k in runs))
+    every = cal.select("t", F.explode(variants).alias("v")).select("v.hold", "v.lag", "t").join(daily, ["hold", "lag", "t"], "left")
+    every = every.select("hold", "lag", "t", F.coalesce("positions", F.lit(0)).alias("positions"), F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    so_far = W.partitionBy("hold", "lag").orderBy("t").rowsBetween(W.unboundedPreceding, 0)  # a row a session
+    # the product of 1 + ret: a hedge can lose more than everything, so signs and zeros count
+    size = F.exp(F.sum(F.log(F.when(F.col("ret") != -1, F.abs(1 + F.col("ret"))).otherwise(1.0))).over(so_far))
+    sign = F.when(F.count_if(F.col("ret") < -1).over(so_far) % 2 == 1, -1.0).otherwise(1.0)
+    every = every.withColumn("equity", F.when(F.count_if(F.col("ret") == -1).over(so_far) > 0, 0.0).otherwise(sign * size))
+    peak = F.greatest(F.lit(1.0), F.max("equity").over(so_far))
+    return every.withColumn("drawdown", F.col("equity") / peak - 1)
+
+
+def trade_returns(held: DataFrame, cost_bps: float = 5.0) -> DataFrame:
+    """(hold, lag, symbol, e, x, ret): each trade's return after both costs, less the hedge's over the same sessions where it has both prices."""
+    whole = ratio("p", "p0") - 1 - 2 * cost_bps / 10000 - F.coalesce(ratio("hp", "hp0") - 1, F.lit(0.0))
+    return held.filter(F.col("day") == F.col("x")).select("hold", "lag", "symbol", "e", "x", whole.alias("ret"))
+
+
+def backtest(events: DataFrame, panel: DataFrame, cal: DataFrame, hold: int = 21, lag: int = 1, cost_bps: float = 5.0, price: str = "adjclose", hedge: str | None = None) -> DataFrame:
+    """Daily equity of holding each event's symbol from t + lag for at most ``hold`` sessions, hedged with the symbol ``hedge`` if one is given: (t, positions, ret, equity, drawdown)."""
+    return equities(holdings(events, panel, [(hold, lag)], price, hedge), cal, [(hold, lag)], cost_bps).drop("hold", "lag")
 
 
 def backtest_lags(events: DataFrame, panel: DataFrame, cal: DataFrame, holds: tuple[int, ...] = (21, 42, 63), cost_bps: float = 5.0, price: str = "adjclose", hedge: str | None = None) -> DataFrame:
     """Per holding period: trades, total when entered a session later, total at the event's own close, and what the lag costs."""
-    events, panel = cut(events), cut(panel.select("symbol", "t", price))  # six backtests read them
-    px = panel.filter(F.col(price).isNotNull()).select("symbol", "t", F.col(price).alias("p"))
-    parts = []
-    for h in holds:
-        for lag in (1, 0):
-            total = backtest(events, panel, cal, h, lag, cost_bps, price, hedge).agg((F.max_by("equity", "t") - 1).alias("v"))
-            parts.append(total.select(F.lit(h).alias("hold"), F.lit(lag).alias("what"), "v"))
-        parts.append(trades(events, px, h, 1).agg(F.count("*").cast("double").alias("v")).select(F.lit(h).alias("hold"), F.lit(2).alias("what"), "v"))
-    of = lambda k: F.max(F.when(F.col("what") == k, F.col("v")))
-    out = reduce(DataFrame.unionByName, parts).groupBy("hold").agg(of(2).cast("long").alias("trades"), of(1).alias("total"), of(0).alias("total_no_lag"))
+    runs = [(h, lag) for h in holds for lag in (1, 0)]
+    held = cut(holdings(events, panel, runs, price, hedge))  # read for the equity and for the trades
+    totals = equities(held, cal, runs, cost_bps).groupBy("hold", "lag").agg((F.max_by("equity", "t") - 1).alias("v"))
+    entered = held.filter(F.col("day") == F.col("x")).groupBy("hold", "lag").agg(F.count("*").alias("n"))
+    both = totals.join(entered, ["hold", "lag"], "left")
+    of = lambda lag, c: F.max(F.when(F.col("lag") == lag, F.col(c)))
+    out = both.groupBy("hold").agg(F.coalesce(of(1, "n"), F.lit(0)).alias("trades"), of(1, "v").alias("total"), of(0, "v").alias("total_no_lag"))
     return out.withColumn("lag", F.col("total") - F.col("total_no_lag"))
 
 
@@ -207,40 +290,19 @@ def with_hold(equity: DataFrame, panel: DataFrame, symbol: str, price: str = "ad
     return both.withColumn("hold", F.col("_p") / F.first("_p", ignorenulls=True).over(so_far)).drop("_p")
 
 
-def backtest(events: DataFrame, panel: DataFrame, cal: DataFrame, hold: int = 21, lag: int = 1, cost_bps: float = 5.0, price: str = "adjclose", hedge: str | None = None) -> DataFrame:
-    """Daily equity of holding each event's symbol from t + lag for at most ``hold`` sessions, hedged with the symbol ``hedge`` if one is given.
+def backtest_statistics(events: DataFrame, panel: DataFrame, cal: DataFrame, hold: int = 21, lag: int = 1, cost_bps: float = 5.0, price: str = "adjclose", hedge: str | None = None) -> DataFrame:
+    """Total, yearly growth, Sharpe ratio (population), worst drawdown, share of winning trades, mean positions on invested days, share of days invested.
 
-    Positions have equal weight. A position ends at the last valid price within
-    its time; a session without a price, or after one, has no return for it. Both
-    sides cost ``cost_bps``; a session without the hedge's return is not hedged.
-    Columns: t, positions, ret, equity, drawdown.
+    A trade wins if its return after both costs is above zero; one entered at a price of zero
+    is not judged. Without trades ``win`` is null and ``avg_positions`` 0.
     """
-    px = panel.filter(F.col(price).isNotNull()).select("symbol", "t", F.col(price).alias("p"))
-    before = F.first("p").over(W.partitionBy("symbol").orderBy("t").rangeBetween(-1, -1))
-    day_ret = px.withColumn("r", F.col("p") / before - 1).select("symbol", F.col("t").alias("day"), "r")
-    if hedge is not None:
-        base = day_ret.filter(F.col("symbol") == hedge).select("day", F.col("r").alias("_b"))
-        day_ret = day_ret.join(base, "day", "left").select("symbol", "day", (F.col("r") - F.coalesce("_b", F.lit(0.0))).alias("r"))
-    spans = trades(events, px, hold, lag)
-    live = spans.withColumn("day", F.explode(F.sequence(F.col("e") + 1, F.col("x")))).join(day_ret, ["symbol", "day"]).filter("r is not null")
-    cost = cost_bps / 10000
-    own = F.col("r") - F.when(F.col("day") == F.col("e") + 1, cost).otherwise(0.0) - F.when(F.col("day") == F.col("x"), cost).otherwise(0.0)
-    daily = live.groupBy("day").agg(F.count("*").alias("positions"), F.avg(own).alias("ret"))
-    every = cal.select("t").join(daily, F.col("t") == F.col("day"), "left").select("t", F.coalesce("positions", F.lit(0)).alias("positions"), F.coalesce("ret", F.lit(0.0)).alias("ret"))
-    so_far = W.orderBy("t").rowsBetween(W.unboundedPreceding, 0)  # one row a session
-    # the product of 1 + ret: a hedge can lose more than everything, so signs and zeros count
-    size, sign = F.exp(F.sum(F.log(F.abs(1 + F.col("ret")))).over(so_far)), F.when(F.count_if(F.col("ret") < -1).over(so_far) % 2 == 1, -1.0).otherwise(1.0)
-    every = every.withColumn("equity", F.when(F.count_if(F.col("ret") == -1).over(so_far) > 0, 0.0).otherwise(sign * size))
-    peak = F.greatest(F.lit(1.0), F.max("equity").over(so_far))
-    return every.withColumn("drawdown", F.col("equity") / peak - 1)
-
-
-def backtest_statistics(equity: DataFrame) -> DataFrame:
-    """Total, yearly growth, Sharpe ratio (population), worst drawdown, share of winning days, mean positions, share invested."""
+    held = cut(holdings(events, panel, [(hold, lag)], price, hedge))  # read for the equity and for the trades
     open_day = F.col("positions") > 0
-    out = equity.agg(
-        F.count("*").alias("days"), (F.max_by("equity", "t") - 1).alias("total"), F.avg("ret").alias("_m"), F.stddev_pop("ret").alias("_s"), F.min("drawdown").alias("max_drawdown"),
-        F.avg(F.when(open_day, (F.col("ret") > 0).cast("double"))).alias("win"), F.avg("positions").alias("avg_positions"), F.avg(open_day.cast("double")).alias("invested"),
+    out = equities(held, cal, [(hold, lag)], cost_bps).agg(
+        F.count("*").alias("days"), (F.max_by("equity", "t") - 1).alias("total"), F.avg("ret").alias("_m"), F.stddev_pop("ret").alias("_s"), F.least(F.min("drawdown"), F.lit(0.0)).alias("max_drawdown"),
+        F.coalesce(F.avg(F.when(open_day, F.col("positions"))), F.lit(0.0)).alias("avg_positions"), F.avg(open_day.cast("double")).alias("invested"),
     )
+    won = trade_returns(held, cost_bps).agg(F.count("*").alias("trades"), F.avg((F.col("ret") > 0).cast("double")).alias("win"))
     growth = F.pow(1 + F.col("total"), 252.0 / F.col("days")) - 1
-    return out.withColumn("cagr", growth).withColumn("sharpe", F.col("_m") / F.when(F.col("_s") > 0, F.col("_s")) * F.sqrt(F.lit(252.0))).drop("_m", "_s")
+    both = out.join(F.broadcast(won))  # a row each
+    return both.withColumn("cagr", growth).withColumn("sharpe", F.col("_m") / F.when(F.col("_s") > 0, F.col("_s")) * F.sqrt(F.lit(252.0))).drop("_m", "_s")

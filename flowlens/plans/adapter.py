@@ -6,47 +6,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from flowlens.functions.store import cut
 from flowlens.operators import panel as P
 
 BENCH = "Brand#1"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+class Source:
+    """The session during one query. The panel's facts are written once in it, so its many branches scan the lines once."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.read, self.range, self.facts = spark, spark.read, spark.range, {}
+
+
+def table(spark: Source | SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+def facts(spark: Source | SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, d, short, total, volume, close), a row per brand and day with lines: the volume and price files' part."""
+    kept = getattr(spark, "facts", {})
+    if sf_dir not in kept:
+        kept[sf_dir] = cut(daily(spark, sf_dir))
+    return kept[sf_dir]
+
+
+def days(spark: Source | SparkSession, sf_dir: str) -> DataFrame:
     """Sessions: weekdays on which anything shipped."""
-    d = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("d")).distinct()
-    return P.calendar(d.filter(F.weekday("d") < 5))
+    return P.calendar(facts(spark, sf_dir).select("d").distinct().filter(F.weekday("d") < 5))
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(symbol, t, d, short, total, volume, close, adjclose, dpi), a row per brand and session with lines."""
+def daily(spark: Source | SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", F.to_date("l_shipdate").alias("d"))
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
     q, flag = F.col("l_quantity"), F.col("l_returnflag")
-    facts = li.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("symbol", "d").agg(
+    return li.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("symbol", "d").agg(
         F.sum(F.when(flag == "R", q).otherwise(0.0)).alias("short"),
         F.sum(F.when(flag.isin("R", "A"), q).otherwise(0.0)).alias("total"),
         F.sum(q).alias("volume"),
         (F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.sum(q)).alias("close"),
     )
-    return P.with_sessions(facts, days(spark, sf_dir)).withColumn("adjclose", F.col("close")).withColumn("dpi", P.dpi())
 
 
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel(spark: Source | SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, t, d, short, total, volume, close, adjclose, dpi), a row per brand and session with lines."""
+    return P.with_sessions(facts(spark, sf_dir), days(spark, sf_dir)).withColumn("adjclose", F.col("close")).withColumn("dpi", P.dpi())
+
+
+def grid(spark: Source | SparkSession, sf_dir: str) -> DataFrame:
     """The panel on every session, with ``dd``, the moving average of dpi."""
     return P.moving_average(P.grid(panel(spark, sf_dir), days(spark, sf_dir)), "dpi", "dd")
 
 
-def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weights(spark: Source | SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, weight): share of the retail price, in percent."""
     own = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("symbol")).agg(F.sum(F.col("p_retailprice").cast("decimal(18,2)")).cast("double").alias("w"))
     return own.select("symbol", (F.col("w") / F.sum("w").over(W.partitionBy()) * 100).alias("weight"))
 
 
-def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+def membership(spark: Source | SparkSession, sf_dir: str) -> DataFrame:
     """(fund, level, symbol): per part type the 12 brands with most parts, per size bucket of 10 the first 10."""
     part = table(spark, sf_dir, "part")
     sector = part.groupBy(F.col("p_type").alias("fund"), F.col("p_brand").alias("symbol")).agg(F.count("*").alias("n")).withColumn("level", F.lit("sector")).withColumn("most", F.lit(12))
@@ -57,7 +75,7 @@ def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("_r", first).filter("_r <= most").select("fund", "level", "symbol")
 
 
-def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reports(spark: Source | SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, report_date, timing): first order of each brand in each quarter."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.substring("o_orderpriority", 1, 1).alias("prio"))
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions.core import r6
+from flowlens.functions.stats import P_SQL
 from flowlens.operators import earnings as N
 from flowlens.operators import identity as D
 from flowlens.operators import panel as P
@@ -55,15 +56,15 @@ def share_class_merge(spark, d):
 SPLIT_SQL = (
     SQL
     + """, sv AS (SELECT symbol, t, total * CASE WHEN symbol = 'Brand#8' AND d >= DATE '1998-01-05' THEN 4 ELSE 1 END AS total, volume FROM panel),
-ow AS (SELECT symbol, t, ln(total / volume) AS lr, row_number() OVER (PARTITION BY symbol ORDER BY t) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM sv WHERE total / volume > 0),
-md AS (SELECT *, round(abs(list_aggregate(list(lr) OVER (o ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING), 'quantile_cont', 0.5) - list_aggregate(list(lr) OVER (o ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), 'quantile_cont', 0.5)), 9) AS jump,
-  list_aggregate(list(lr) OVER (o ROWS BETWEEN 31 PRECEDING AND 6 PRECEDING), 'quantile_cont', 0.5) AS old, list_aggregate(list(lr) OVER (o ROWS BETWEEN 6 FOLLOWING AND 31 FOLLOWING), 'quantile_cont', 0.5) AS new,
-  lead(lr) OVER (o) AS next FROM ow WINDOW o AS (PARTITION BY symbol ORDER BY t)),
-ov AS (SELECT *, i - row_number() OVER (PARTITION BY symbol ORDER BY i) AS run FROM md WHERE i > 12 AND i <= n - 11 AND jump > ln(2.2)),
-pk AS (SELECT symbol, i AS peak, old, new, exp(new - old) AS q FROM ov QUALIFY row_number() OVER (PARTITION BY symbol, run ORDER BY jump DESC, i) = 1),
-sz AS (SELECT *, CASE WHEN q >= 1 THEN q ELSE 1 / q END AS size, least(greatest(round(CASE WHEN q >= 1 THEN q ELSE 1 / q END), 2.0), 20.0) AS whole, (old + new) / 2 AS mid FROM pk),
-sp AS (SELECT sz.symbol, peak, CAST(min(md.t) AS INTEGER) AS t, max(CASE WHEN q >= 1 THEN whole ELSE 1 / whole END) AS factor FROM sz JOIN md ON md.symbol = sz.symbol AND abs(md.i - peak) <= 12
-    AND CASE WHEN q >= 1 THEN lr > mid AND next > mid ELSE lr < mid AND next < mid END WHERE abs(size / whole - 1) <= 0.22 GROUP BY ALL)
+ow AS (SELECT symbol, t, greatest(total / volume, 1e-9) AS c, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM sv WHERE total / volume IS NOT NULL),
+md AS (SELECT *, round(list_aggregate(list(ln(c)) OVER (o ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING), 'quantile_cont', 0.5) - list_aggregate(list(ln(c)) OVER (o ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), 'quantile_cont', 0.5), 9) AS jump,
+  list_aggregate(list(c) OVER (o ROWS BETWEEN 31 PRECEDING AND 7 PRECEDING), 'quantile_cont', 0.5) AS before, list_aggregate(list(c) OVER (o ROWS BETWEEN 6 FOLLOWING AND 30 FOLLOWING), 'quantile_cont', 0.5) AS after,
+  lead(c) OVER (o) AS next FROM ow WINDOW o AS (PARTITION BY symbol ORDER BY t)),
+ov AS (SELECT *, i - row_number() OVER (PARTITION BY symbol ORDER BY i) AS run FROM md WHERE n >= 36 AND i >= 12 AND i < n - 12 AND jump > ln(2.2)),
+pk AS (SELECT symbol, t, i AS peak, before, after, after / before AS f FROM ov QUALIFY row_number() OVER (PARTITION BY symbol, run ORDER BY jump DESC, i) = 1),
+sz AS (SELECT *, (SELECT arg_min(r, abs(r - f)) FROM (VALUES (2), (3), (4), (5), (6), (7), (8), (10), (12), (15), (20)) v(r)) AS best FROM pk),
+dt AS (SELECT sz.symbol, peak, best, coalesce((SELECT min(md.t) FROM md WHERE md.symbol = sz.symbol AND md.i >= peak - 12 AND md.i < peak + 12 AND md.c >= sqrt(sz.before * sz.after) AND md.next >= sqrt(sz.before * sz.after)), sz.t) AS t FROM sz WHERE abs(best - f) / best < 0.22),
+sp AS (SELECT symbol, CAST(t AS INTEGER) AS t, CAST(arg_max(best, peak) AS DOUBLE) AS factor FROM dt GROUP BY ALL)
 """
 )
 
@@ -162,7 +163,7 @@ def asof_session(spark, d):
 # ---------------------------------------------------------------- event study
 
 H = N.HORIZONS
-EVENT_SQL = (
+PRICE_SQL = (
     SQL
     + REPORT_SQL
     + """, ch AS (SELECT *, adjclose / nullif(first(adjclose) OVER (PARTITION BY symbol ORDER BY t RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), 0) AS rt FROM grid),
@@ -177,26 +178,50 @@ px AS (SELECT symbol, t, """
   CASE WHEN count(dpi) OVER (o RANGE BETWEEN 10 PRECEDING AND 1 PRECEDING) >= 8 THEN round(avg(dpi) OVER (o RANGE BETWEEN 10 PRECEDING AND 1 PRECEDING), 9) END AS dpi10,
   CASE WHEN count(chg) OVER (o RANGE BETWEEN 65 PRECEDING AND 4 PRECEDING) > 10 THEN stddev_samp(chg) OVER (o RANGE BETWEEN 65 PRECEDING AND 4 PRECEDING) END AS sigma
   FROM cl WINDOW o AS (PARTITION BY symbol ORDER BY t)),
-e1 AS (SELECT r.symbol, report_date, timing, a.t, exact, CAST(CASE WHEN timing = 'amc' AND exact THEN a.t ELSE a.t - 1 END AS INTEGER) AS base FROM reports r JOIN ahead a ON day = report_date WHERE a.t IS NOT NULL),
-e2 AS (SELECT e1.*, b.dpi5, b.dpi10, b.sigma, """
+e1 AS (SELECT r.symbol, report_date, timing, a.t, CAST(CASE WHEN timing = 'amc' AND exact THEN a.t ELSE a.t - 1 END AS INTEGER) AS base FROM reports r JOIN ahead a ON day = report_date
+  WHERE a.t >= 1 AND r.symbol IN (SELECT symbol FROM panel WHERE adjclose IS NOT NULL)),
+eb AS (SELECT e1.*, b.dpi5, b.dpi10, b.sigma FROM e1 LEFT JOIN px b ON b.symbol = e1.symbol AND b.t = e1.t WHERE base >= 1)
+"""
+)
+FIXED_SQL = ", ea AS (SELECT *, 0 AS anchored FROM eb)\n"
+ANCHOR_SQL = """, li AS (SELECT max(t) AS last FROM cal), sl AS (SELECT symbol, report_date, least(last, base + 5) - greatest(1, base - 1) + 1 AS size, unnest(range(greatest(1, base - 1), least(last, base + 5) + 1)) AS pos FROM eb, li),
+mv AS (SELECT s.symbol, report_date, max(size) AS size, count(chg) AS c, max(abs(chg)) AS top, arg_max(pos, abs(chg)) AS place, list_sort(list(abs(chg)), 'DESC')[2] AS second FROM sl s JOIN cl ON cl.symbol = s.symbol AND cl.t = pos GROUP BY ALL),
+ea AS (SELECT eb.* REPLACE (CAST(CASE WHEN good THEN place - 1 ELSE base END AS INTEGER) AS base), CAST(coalesce(good, false) AS INTEGER) AS anchored
+  FROM eb LEFT JOIN (SELECT symbol, report_date, place, size >= 2 AND c = size AND top >= 0.03 AND sigma > 0 AND top >= 2.5 * sigma AND top >= 1.3 * greatest(second, 1e-9) AS good FROM mv JOIN eb USING (symbol, report_date)) g USING (symbol, report_date))
+"""
+BASED_SQL = (
+    """, e2 AS (SELECT ea.*, cal.d AS base_date, """
     + ", ".join(f"f.{n}_ret, f.{n}_rvol" for n, _ in H)
-    + """ FROM e1 LEFT JOIN px b ON b.symbol = e1.symbol AND b.t = e1.t LEFT JOIN px f ON f.symbol = e1.symbol AND f.t = e1.base),
-ev AS (SELECT *, coalesce(CAST(abs(next_day_ret) > greatest(0.02, 2 * sigma) AS INTEGER), 0) AS looks_reaction,
+    + """ FROM ea LEFT JOIN px f ON f.symbol = ea.symbol AND f.t = ea.base LEFT JOIN cal ON cal.t = ea.base),
+ev AS (SELECT *, CASE WHEN sigma IS NOT NULL AND abs(next_day_ret) >= greatest(0.02, 2 * sigma) THEN 1 ELSE 0 END AS looks_reaction, CAST(next_day_ret IS NOT NULL AS INTEGER) AS has_data,
   CASE WHEN dpi5 IS NOT NULL THEN (rank() OVER (PARTITION BY symbol, dpi5 IS NULL ORDER BY dpi5) + (count(*) OVER (PARTITION BY symbol, dpi5) - 1) / 2) / count(dpi5) OVER (PARTITION BY symbol) END AS dpi5_pct,
   CASE WHEN dpi10 IS NOT NULL THEN (rank() OVER (PARTITION BY symbol, dpi10 IS NULL ORDER BY dpi10) + (count(*) OVER (PARTITION BY symbol, dpi10) - 1) / 2) / count(dpi10) OVER (PARTITION BY symbol) END AS dpi10_pct FROM e2)
 """
 )
+EVENT_SQL = PRICE_SQL + FIXED_SQL + BASED_SQL
 LONG_SQL = ", lg AS (" + " UNION ALL ".join(f"SELECT *, '{n}' AS horizon, {n}_ret AS ret FROM ev" for n, _ in H) + ")\n"
 ROUNDED = ("dpi5", "dpi10", "sigma", "dpi5_pct", "dpi10_pct", *(f"{n}_{k}" for n, _ in H for k in ("ret", "rvol")))
 
 
-def study(spark, d):
-    return N.event_table(A.reports(spark, d), A.grid(spark, d), A.days(spark, d))
+TABLE_SQL = "SELECT symbol, report_date, timing, base, base_date, anchored, has_data, looks_reaction, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ROUNDED) + " FROM ev"
+
+
+def study(spark, d, anchor=False):
+    return N.event_table(A.reports(spark, d), A.grid(spark, d), A.days(spark, d), anchor)
 
 
-@query("event_table", EVENT_SQL + "SELECT symbol, report_date, timing, base, looks_reaction, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ROUNDED) + " FROM ev")
+def shown(table):
+    return table.select("symbol", "report_date", "timing", "base", "base_date", "anchored", "has_data", "looks_reaction", *(r6(c).alias(c) for c in ROUNDED))
+
+
+@query("event_table", EVENT_SQL + TABLE_SQL)
 def event_table(spark, d):
-    return study(spark, d).select("symbol", "report_date", "timing", "base", "looks_reaction", *(r6(c).alias(c) for c in ROUNDED))
+    return shown(study(spark, d))
+
+
+@query("reaction_anchor", PRICE_SQL + ANCHOR_SQL + BASED_SQL + TABLE_SQL)
+def reaction_anchor(spark, d):
+    return shown(study(spark, d, True))
 
 
 @query("realised_vol", EVENT_SQL + "SELECT symbol, t, round(w1_rvol, 6) + 0.0 AS w1_rvol, round(m1_rvol, 6) + 0.0 AS m1_rvol FROM px WHERE w1_rvol IS NOT NULL")
@@ -224,9 +249,12 @@ def tercile_spread(spark, d):
     return N.tercile_spread(study(spark, d)).select("horizon", "high_n", "low_n", *(r6(c).alias(c) for c in SPREAD))
 
 
-@query("welch_p")
+WELCH_P_SQL = WELCH_SQL.replace("\nSELECT horizon, high_n", "\n, wl AS (SELECT horizon, high_n", 1) + "), tt AS (SELECT horizon, spread, t_stat AS t, df, spread AS sp, t_stat FROM (SELECT horizon, (m1 - m2) AS spread, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t_stat, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS df FROM a WHERE n1 >= 3 AND n2 >= 3))" + P_SQL + "SELECT horizon, round(spread, 6) + 0.0 AS spread, round(t_stat, 6) + 0.0 AS t_stat, round(p, 6) + 0.0 AS p FROM tp"
+
+
+@query("welch_p", WELCH_P_SQL)
 def welch_p(spark, d):
-    return N.with_p(N.tercile_spread(study(spark, d))).select("horizon", r6("spread").alias("spread"), r6("t_stat").alias("t_stat"), r6("p").alias("p"))
+    return N.with_p(N.tercile_spread(study(spark, d))).filter("t_stat is not null").select("horizon", r6("spread").alias("spread"), r6("t_stat").alias("t_stat"), r6("p").alias("p"))
 
 
 @query("horizon_rollup", EVENT_SQL + LONG_SQL + "SELECT horizon, count(*) AS n, round(corr(dpi10, ret), 6) + 0.0 AS r FROM lg WHERE dpi10 IS NOT NULL AND ret IS NOT NULL GROUP BY horizon HAVING count(*) >= 5")
@@ -234,7 +262,10 @@ def horizon_rollup(spark, d):
     return N.horizon_rollup(study(spark, d)).select("horizon", "n", r6("r").alias("r"))
 
 
-@query("correlation_p")
+@query(
+    "correlation_p",
+    EVENT_SQL + LONG_SQL + ", tt AS (SELECT horizon, n, r, n - 2 AS df, r * sqrt((n - 2) / (1 - r * r)) AS t FROM (SELECT horizon, count(*) AS n, corr(dpi10, ret) AS r FROM lg WHERE dpi10 IS NOT NULL AND ret IS NOT NULL GROUP BY horizon HAVING count(*) >= 5))" + P_SQL + "SELECT horizon, n, round(r, 6) + 0.0 AS r, round(p, 6) + 0.0 AS p FROM tp",
+)
 def correlation_p(spark, d):
     return N.correlation_p(N.horizon_rollup(study(spark, d))).select("horizon", "n", r6("r").alias("r"), r6("p").alias("p"))
 
@@ -270,23 +301,32 @@ p AS (SELECT symbol, t, adjclose AS v FROM panel), w AS (SELECT cs.symbol, repor
   FROM cs JOIN p o ON o.symbol = cs.symbol AND o.t = base, range(0, 4) s(s) JOIN p q ON q.symbol = cs.symbol AND q.t = base + s.s),
 f AS (SELECT *, count(*) OVER (PARTITION BY symbol, report_date) AS c FROM w)
 SELECT symbol, CAST(k AS INTEGER) AS k, count(*) AS n, round(avg(bp), 6) + 0.0 AS mean_bp, round(median(bp), 6) + 0.0 AS median_bp, CASE WHEN count(*) FILTER (cls = 'hi') >= 3 THEN round(avg(bp) FILTER (cls = 'hi'), 6) + 0.0 END AS hi_bp,
+  CASE WHEN count(*) FILTER (cls = 'lo') >= 3 THEN round(avg(bp) FILTER (cls = 'lo'), 6) + 0.0 END AS lo_bp,
   count(*) FILTER (bp > 0) AS up FROM f WHERE c = 4 GROUP BY ALL HAVING count(*) >= 2""",
 )
 def paths(spark, d):
     out = N.path_rollup(study(spark, d), A.panel(spark, d), 3, 2)
-    return out.select("symbol", "k", "n", *(r6(c).alias(c) for c in ("mean_bp", "median_bp", "hi_bp")), "up")
+    return out.select("symbol", "k", "n", *(r6(c).alias(c) for c in ("mean_bp", "median_bp", "hi_bp", "lo_bp")), "up")
+
+
+RELATION_SQL = (
+    ", wx AS ("
+    + " UNION ALL ".join(f"SELECT '{w}' AS \"window\", '{n}' AS horizon, {w} AS x, {w}_pct AS pct, {n}_ret AS y FROM ev WHERE {w} IS NOT NULL AND {n}_ret IS NOT NULL" for w in ("dpi5", "dpi10") for n, _ in H)
+    + """), wr AS (SELECT *, rank() OVER (PARTITION BY "window", horizon ORDER BY x) + (count(*) OVER (PARTITION BY "window", horizon, x) - 1) / 2 AS rx,
+  rank() OVER (PARTITION BY "window", horizon ORDER BY y) + (count(*) OVER (PARTITION BY "window", horizon, y) - 1) / 2 AS ry FROM wx),
+wg AS (SELECT "window", horizon, count(*) AS n, corr(x, y) AS a, corr(rx, ry) AS b, corr(pct, y) AS c FROM wr GROUP BY ALL HAVING count(*) >= 5),
+wc AS (SELECT "window", horizon, n, unnest([{'kind': 'pearson', 'r': a}, {'kind': 'spearman', 'r': b}, {'kind': 'within', 'r': c}]) AS c FROM wg),
+tt AS (SELECT "window", horizon, n, c.kind AS kind, c.r AS r, n - 2 AS df, c.r * sqrt((n - 2) / nullif(1 - c.r * c.r, 0)) AS t FROM wc)"""
+)
 
 
 @query(
-    "reaction_anchor",
-    EVENT_SQL
-    + """, sl AS (SELECT ev.symbol, report_date, abs(chg) AS a, ev.t + o.o AS pos FROM ev, range(-2, 5) o(o) LEFT JOIN cl ON cl.symbol = ev.symbol AND cl.t = ev.t + o.o),
-mv AS (SELECT symbol, report_date, count(a) AS c, list(struct_pack(a := a, pos := pos) ORDER BY a DESC NULLS LAST, pos DESC) AS m FROM sl GROUP BY ALL),
-g AS (SELECT ev.symbol, report_date, base, m, coalesce(c = 7 AND m[1].a >= 0.03 AND m[1].a >= 2.5 * coalesce(sigma, 0) AND m[1].a >= 1.3 * m[2].a, false) AS good FROM ev JOIN mv USING (symbol, report_date))
-SELECT symbol, report_date, CAST(good AS INTEGER) AS anchored, CAST(CASE WHEN good THEN m[1].pos - 1 ELSE base END AS INTEGER) AS base FROM g""",
+    "study_relations",
+    EVENT_SQL + RELATION_SQL + P_SQL + """SELECT "window", horizon, max(n) AS n, """ + ", ".join(f"round(max(r) FILTER (kind = '{k}'), 6) + 0.0 AS {k}, round(max(p) FILTER (kind = '{k}'), 6) + 0.0 AS {k}_p" for k in ("pearson", "spearman", "within")) + """ FROM tp GROUP BY "window", horizon""",
 )
-def reaction_anchor(spark, d):
-    return N.anchor_to_reaction(study(spark, d), A.grid(spark, d)).select("symbol", "report_date", "anchored", "base")
+def study_relations(spark, d):
+    out = N.relations(study(spark, d)).filter("n >= 5")
+    return out.select("window", "horizon", "n", *(r6(c).alias(c) for k in ("pearson", "spearman", "within") for c in (k, f"{k}_p")))
 
 
 @query(

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     """Register a query and its SQL twin."""
 
     def add(f: Callable) -> Callable:
-        QUERIES[name] = f
+        QUERIES[name] = lambda spark, d: f(A.Source(spark), d)
         if sql:
             ORACLES[name] = sql
         return f
@@ -211,7 +211,7 @@ BANDS_SQL = (
     SECTOR_SQL
     + """, va AS (SELECT fund, t, round(level, 9) AS level, CASE WHEN count(*) OVER w >= 63 THEN round(list_aggregate(list(level) OVER w, 'quantile_cont', 0.8), 9) END AS upper,
   CASE WHEN count(*) OVER w >= 63 THEN round(list_aggregate(list(level) OVER w, 'quantile_cont', 0.2), 9) END AS lower FROM lv WHERE level IS NOT NULL WINDOW w AS (PARTITION BY fund ORDER BY t ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)),
-cr AS (SELECT *, coalesce(level > upper AND NOT (lag(level) OVER o > lag(upper) OVER o), false) AS cross_up, coalesce(level < lower AND NOT (lag(level) OVER o < lag(lower) OVER o), false) AS cross_down FROM va WINDOW o AS (PARTITION BY fund ORDER BY t))
+cr AS (SELECT *, coalesce(level >= upper AND NOT (lag(level) OVER o >= lag(upper) OVER o), false) AS cross_up, coalesce(level <= lower AND NOT (lag(level) OVER o <= lag(lower) OVER o), false) AS cross_down FROM va WINDOW o AS (PARTITION BY fund ORDER BY t))
 """
 )
 
@@ -224,7 +224,7 @@ def levels(spark, d):
     "sector_dix",
     SECTOR_SQL
     + """, v AS (SELECT fund, t, round(level, 9) AS level, row_number() OVER (PARTITION BY fund ORDER BY t DESC) AS back, first(round(level, 9)) OVER (PARTITION BY fund ORDER BY t DESC) AS now FROM lv WHERE level IS NOT NULL)
-SELECT fund, max(t) AS t, round(max(now), 6) + 0.0 AS level, round(100 * avg(CASE WHEN back <= 252 THEN CAST(level < now AS DOUBLE) END)) AS percentile, round(max(CASE WHEN back = 21 THEN now - level END), 6) + 0.0 AS change FROM v GROUP BY fund""",
+SELECT fund, max(t) AS t, round(max(now), 6) + 0.0 AS level, round(100 * avg(CASE WHEN back <= 252 THEN CAST(level < now AS DOUBLE) END)) AS percentile, CASE WHEN count(*) > 21 THEN round(max(CASE WHEN back = 21 THEN now - level END), 6) + 0.0 END AS change FROM v GROUP BY fund""",
 )
 def sector_dix(spark, d):
     return I.sector_summary(levels(spark, d)).select("fund", "t", r6("level").alias("level"), "percentile", r6("change").alias("change"))
@@ -240,6 +240,11 @@ def sector_cross(spark, d):
     return I.last_crossing(I.sector_bands(levels(spark, d)))
 
 
+@query("sector_crossings", BANDS_SQL + "SELECT fund, t, CASE WHEN cross_up THEN 'up' ELSE 'down' END AS direction FROM cr WHERE (cross_up OR cross_down) AND t > (SELECT max(t) FROM cal) - 378")
+def sector_crossings(spark, d):
+    return I.crossings(I.sector_bands(levels(spark, d)), P.last_sessions(A.days(spark, d), 378))
+
+
 # ---------------------------------------------------------------- relation
 
 POINTS_SQL = SQL + f", f AS (SELECT symbol, t, dd, {fwd(21, 'grid')} AS y FROM grid), pts AS (SELECT symbol, t, round(dd, 9) AS x, y FROM f WHERE dd IS NOT NULL AND y IS NOT NULL)"
@@ -264,8 +269,8 @@ def deciles_pooled(spark, d):
     + """, c AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM pts),
 b AS (SELECT *, CAST(floor((10 * row_number() OVER (PARTITION BY symbol ORDER BY x, t) - 1) / n) + 1 AS INTEGER) AS bucket FROM c WHERE n >= 30),
 l AS (SELECT symbol, round(arg_max(dd, t) FILTER (dd IS NOT NULL), 9) AS latest FROM grid GROUP BY symbol),
-s AS (SELECT symbol, bucket, count(*) AS n, avg(y) AS y_mean, stddev_pop(y) AS sd, max(x) AS hi FROM b GROUP BY ALL),
-m AS (SELECT s.*, coalesce(min(CASE WHEN latest <= hi THEN bucket END) OVER (PARTITION BY symbol), CASE WHEN latest IS NOT NULL THEN 10 END) AS now FROM s LEFT JOIN l USING (symbol))
+s AS (SELECT symbol, bucket, count(*) AS n, avg(y) AS y_mean, stddev_pop(y) AS sd, min(x) AS lo, max(x) AS hi FROM b GROUP BY ALL),
+m AS (SELECT s.*, coalesce(min(CASE WHEN latest >= lo AND latest <= hi THEN bucket END) OVER (PARTITION BY symbol), CASE WHEN latest > max(CASE WHEN bucket = 10 THEN hi END) OVER (PARTITION BY symbol) THEN 10 WHEN latest IS NOT NULL THEN 1 END) AS now FROM s LEFT JOIN l USING (symbol))
 SELECT symbol, bucket, n, round(y_mean, 6) + 0.0 AS y_mean, round(sd / sqrt(greatest(1.0, n / 21)), 6) + 0.0 AS se, coalesce(now = bucket, false) AS current FROM m""",
 )
 def decile_table(spark, d):
@@ -307,7 +312,7 @@ def dist_stats(spark, d):
     POINTS_SQL
     + """, q AS (SELECT round(y, 9) AS v, row_number() OVER (ORDER BY round(y, 9)) - 1 AS i, count(*) OVER () AS n FROM pts),
 e0 AS (SELECT max(CASE WHEN i = floor((n - 1) * 0.01) THEN v END) AS p1, max(CASE WHEN i = floor((n - 1) * 0.99) THEN v END) AS p99, avg(v) AS m FROM q),
-e AS (SELECT least(p1, m, 0.0) AS lo, greatest(p99, m, 0.0) AS hi FROM e0)
+e1 AS (SELECT least(p1, m, 0.0) AS lo, greatest(p99, m, 0.0) AS hi FROM e0), e AS (SELECT lo, CASE WHEN hi <= lo THEN lo + 1 ELSE hi END AS hi FROM e1)
 SELECT CAST(greatest(0, least(25, floor((v - lo) / ((hi - lo) / 26)))) AS INTEGER) AS bin, count(*) AS n FROM q, e GROUP BY ALL""",
 )
 def histogram(spark, d):
@@ -317,7 +322,7 @@ def histogram(spark, d):
 XS_SQL = (
     SQL
     + f""", f AS (SELECT symbol, t, dd, {fwd(21, 'grid')} AS fwd, avg(dd) OVER w AS em, count(dd) OVER w AS seen FROM grid WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING)),
-s AS (SELECT symbol, t, round(CASE WHEN seen >= 20 THEN dd - em END, 9) AS signal, fwd FROM f WHERE dd IS NOT NULL AND fwd IS NOT NULL AND seen >= 20),
+s AS (SELECT f.symbol, t, round(dd - em, 9) AS signal, f.fwd - b.fwd AS fwd FROM f JOIN (SELECT t, fwd FROM f WHERE symbol = 'Brand#1' AND fwd IS NOT NULL) b USING (t) WHERE symbol <> 'Brand#1' AND dd IS NOT NULL AND f.fwd IS NOT NULL AND seen >= 20),
 n AS (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM s),
 b AS (SELECT *, CAST(floor((5 * row_number() OVER (PARTITION BY t ORDER BY signal, symbol) - 1) / n) + 1 AS INTEGER) AS bucket FROM n WHERE n >= 5)
 """
@@ -325,7 +330,7 @@ b AS (SELECT *, CAST(floor((5 * row_number() OVER (PARTITION BY t ORDER BY signa
 
 
 def slices(spark, d):
-    return R.cross_section(P.forward_return(A.grid(spark, d), 21, "fwd"), "dd", "fwd", k=5, min_names=5)
+    return R.cross_section(P.forward_return(A.grid(spark, d), 21, "fwd"), "dd", "fwd", BENCH, k=5, min_names=5)
 
 
 @query("xs_deciles", XS_SQL + "SELECT bucket, count(*) AS n, round(avg(fwd), 6) + 0.0 AS mean FROM b GROUP BY bucket")
@@ -353,7 +358,7 @@ def expanding_signal(spark, d):
 
 STATE_SQL = (
     SQL
-    + """, ov AS (SELECT symbol, t, round(dd, 9) AS v FROM grid WHERE dd IS NOT NULL),
+    + """, ov AS (SELECT symbol, t, round(dd, 9) AS v FROM grid WHERE dd IS NOT NULL AND symbol <> 'Brand#1'),
 pa AS (SELECT symbol, t, v, list(v) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING) AS past FROM ov),
 state AS (SELECT symbol, t, CASE WHEN len(past) >= 120 THEN CAST(greatest(1, ceil(10 * len(list_filter(past, lambda x: x <= v)) / len(past))) AS INTEGER) END AS decile FROM pa)
 """
@@ -365,13 +370,19 @@ runs AS (SELECT *, row_number() OVER (PARTITION BY symbol, island ORDER BY t) AS
 """
 )
 RET_SQL = f""", rl AS (SELECT symbol, t, h, CASE h WHEN 21 THEN r21 WHEN 42 THEN r42 ELSE r63 END AS ret FROM (SELECT symbol, t, {fwd(21)} AS r21, {fwd(42)} AS r42, {fwd(63)} AS r63 FROM panel), (VALUES (21), (42), (63)) v(h)),
-ret AS (SELECT * FROM rl WHERE ret IS NOT NULL), day AS (SELECT t, h, avg(ret) AS base FROM ret GROUP BY ALL)
+ret AS (SELECT * FROM rl WHERE ret IS NOT NULL AND symbol <> 'Brand#1'), day AS (SELECT t, h, avg(ret) AS base FROM ret GROUP BY ALL)
 """
+#: RET_SQL with returns in excess of the benchmark's on the same sessions.
+EXCESS_SQL = RET_SQL.replace("ret AS (SELECT * FROM rl WHERE ret IS NOT NULL AND symbol <> 'Brand#1')", "ret AS (SELECT a.symbol, a.t, a.h, a.ret - b.ret AS ret FROM rl a JOIN rl b ON b.symbol = 'Brand#1' AND a.t = b.t AND a.h = b.h WHERE a.symbol <> 'Brand#1' AND a.ret IS NOT NULL AND b.ret IS NOT NULL)")
 LO, HI, RUN = 1, 3, 3
 
 
+def returns(spark, d, excess=False):
+    return S.long_returns(A.panel(spark, d), bench=BENCH, excess=excess)
+
+
 def states(spark, d):
-    return S.trailing_decile(A.grid(spark, d).withColumn("dd", F.round("dd", 9)), "dd")
+    return S.trailing_decile(names(spark, d), "dd")
 
 
 def events(spark, d):
@@ -383,7 +394,13 @@ def trailing_decile(spark, d):
     return states(spark, d)
 
 
-FULL_SQL = SQL + ", ov AS (SELECT symbol, t, round(dd, 9) AS v FROM grid WHERE dd IS NOT NULL), "
+FULL_SQL = SQL + ", ov AS (SELECT symbol, t, round(dd, 9) AS v FROM grid WHERE dd IS NOT NULL AND symbol <> 'Brand#1'), "
+
+
+def names(spark, d):
+    """The grid of the names: without the benchmark, which has no states."""
+    return A.grid(spark, d).filter(F.col("symbol") != BENCH).withColumn("dd", F.round("dd", 9))
+
 
 
 @query(
@@ -393,7 +410,7 @@ FULL_SQL = SQL + ", ov AS (SELECT symbol, t, round(dd, 9) AS v FROM grid WHERE d
 SELECT symbol, t, CAST(1 + len(list_filter([1, 2, 3, 4, 5, 6, 7, 8, 9], lambda j: l[CAST(floor(len(l) * j / 10) AS BIGINT) + 1] < v)) AS INTEGER) AS decile FROM ov JOIN s USING (symbol)""",
 )
 def fullsample_decile(spark, d):
-    return S.sample_decile(A.grid(spark, d).withColumn("dd", F.round("dd", 9)), "dd")
+    return S.sample_decile(names(spark, d), "dd")
 
 
 @query(
@@ -403,7 +420,7 @@ def fullsample_decile(spark, d):
 SELECT symbol, t, CAST(1 + len(list_filter([1, 2, 3, 4, 5, 6, 7, 8, 9], lambda j: l[CAST(floor(len(l) * j / 10) AS BIGINT) + 1] < v)) AS INTEGER) AS decile FROM ov, c""",
 )
 def pooled_decile(spark, d):
-    return S.pooled_decile(A.grid(spark, d).withColumn("dd", F.round("dd", 9)), "dd")
+    return S.pooled_decile(names(spark, d), "dd")
 
 
 @query("streak_events", EVENT_SQL + "SELECT symbol, t FROM ev")
@@ -414,13 +431,13 @@ def streak_events(spark, d):
 @query(
     "streak_status",
     EVENT_SQL
-    + """, nw AS (SELECT symbol, max(t) AS last_t FROM state WHERE decile IS NOT NULL GROUP BY symbol), en AS (SELECT max(last_t) AS e FROM nw),
+    + """, nw AS (SELECT symbol, max(t) AS last_t FROM state WHERE decile IS NOT NULL GROUP BY symbol), en AS (SELECT max(t) AS e FROM cal),
 tp AS (SELECT symbol, max(t) AS tip, arg_max(k, t) AS k, max(CASE WHEN k = 3 THEN t END) AS last_event FROM runs GROUP BY symbol),
 z AS (SELECT symbol, CAST(CASE WHEN tip = last_t AND last_t > e - 3 THEN k ELSE 0 END AS INTEGER) AS length, last_event FROM nw LEFT JOIN tp USING (symbol), en)
 SELECT symbol, length, CASE WHEN length >= 3 THEN 'active' WHEN length = 2 THEN 'building' ELSE 'none' END AS status, last_event FROM z""",
 )
 def streak_status(spark, d):
-    return S.streak_status(states(spark, d), LO, HI, RUN)
+    return S.streak_status(states(spark, d), A.days(spark, d), LO, HI, RUN)
 
 
 @query("band_returns", EVENT_SQL + RET_SQL + "SELECT symbol, t, h, round(ret, 6) + 0.0 AS ret FROM ev JOIN ret USING (symbol, t)")
@@ -433,27 +450,31 @@ MEANS = "count(*) AS n, round(avg(ret), 6) + 0.0 AS mean, round(avg(base), 6) +
 
 @query("matched_base", EVENT_SQL + RET_SQL + f"SELECT h, {MEANS} FROM ev JOIN ret USING (symbol, t) JOIN day USING (t, h) GROUP BY h")
 def matched_base(spark, d):
-    return S.matched_base(events(spark, d), S.long_returns(A.panel(spark, d))).select("h", "n", *(r6(c).alias(c) for c in ("mean", "base", "edge")))
+    return S.matched_base(events(spark, d), returns(spark, d)).select("h", "n", *(r6(c).alias(c) for c in ("mean", "base", "edge")))
 
 
 @query("regime_split", EVENT_SQL + RET_SQL + f", x AS (SELECT h, ret, base, unnest(['full', CASE WHEN d < DATE '1998-06-01' THEN 'before' ELSE 'after' END]) AS period FROM ev JOIN ret USING (symbol, t) JOIN day USING (t, h) JOIN cal USING (t)) SELECT period, h, {MEANS} FROM x GROUP BY ALL")
 def regime_split(spark, d):
-    out = S.regime_split(events(spark, d), S.long_returns(A.panel(spark, d)), A.days(spark, d), "1998-06-01")
+    out = S.regime_split(events(spark, d), returns(spark, d), A.days(spark, d), "1998-06-01")
     return out.select("period", "h", "n", *(r6(c).alias(c) for c in ("mean", "base", "edge")))
 
 
-@query(
-    "band_sweep",
-    STATE_SQL
-    + RET_SQL
-    + """, bands AS (SELECT a.i AS lo, b.i AS hi FROM range(1, 11) a(i), range(1, 11) b(i) WHERE a.i <= b.i),
+SWEEP_SQL = """, bands AS (SELECT a.i AS lo, b.i AS hi FROM range(1, 11) a(i), range(1, 11) b(i) WHERE a.i <= b.i),
 hits AS (SELECT lo, hi, symbol, t, t - row_number() OVER (PARTITION BY lo, hi, symbol ORDER BY t) AS island FROM state JOIN bands ON decile BETWEEN lo AND hi),
 ev AS (SELECT lo, hi, symbol, t FROM (SELECT *, row_number() OVER (PARTITION BY lo, hi, symbol, island ORDER BY t) AS k FROM hits) WHERE k = 3),
 m AS (SELECT lo, hi, h, ret, median(ret) OVER (PARTITION BY lo, hi, h) AS med FROM ev JOIN ret USING (symbol, t))
-SELECT CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi, h, count(*) AS n, round(avg(ret), 6) + 0.0 AS mean, round(max(med), 6) + 0.0 AS median, round(median(abs(ret - med)), 6) + 0.0 AS mad, round(stddev_pop(ret), 6) + 0.0 AS std FROM m GROUP BY ALL""",
-)
+SELECT CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi, h, count(*) AS n, round(avg(ret), 6) + 0.0 AS mean, round(max(med), 6) + 0.0 AS median, round(median(abs(ret - med)), 6) + 0.0 AS mad, round(stddev_pop(ret), 6) + 0.0 AS std FROM m GROUP BY ALL"""
+
+
+@query("band_sweep", STATE_SQL + RET_SQL + SWEEP_SQL)
 def band_sweep(spark, d):
-    out = S.band_sweep(states(spark, d), S.long_returns(A.panel(spark, d)), RUN)
+    out = S.band_sweep(states(spark, d), returns(spark, d), RUN)
+    return out.select("lo", "hi", "h", "n", *(r6(c).alias(c) for c in ("mean", "median", "mad", "std")))
+
+
+@query("band_sweep_excess", STATE_SQL + EXCESS_SQL + SWEEP_SQL)
+def band_sweep_excess(spark, d):
+    out = S.band_sweep(states(spark, d), returns(spark, d, True), RUN)
     return out.select("lo", "hi", "h", "n", *(r6(c).alias(c) for c in ("mean", "median", "mad", "std")))
 
 
@@ -466,9 +487,27 @@ def event_drift(spark, d):
     return S.event_drift(events(spark, d), A.panel(spark, d)).select("k", "n", r6("mean").alias("mean"), r6("se").alias("se"))
 
 
-@query("matched_drift", EVENT_SQL + DRIFT_SQL + ", dw AS (SELECT t, count(*) AS w FROM ev GROUP BY t), m AS (SELECT a.t, k.k, avg(b.p / a.p - 1) AS v, max(w) AS w FROM px a JOIN dw USING (t), range(0, 22) k(k) JOIN px b ON b.symbol = a.symbol AND b.t = a.t + k.k GROUP BY ALL) SELECT CAST(k AS INTEGER) AS k, CAST(sum(w) AS BIGINT) AS n, round(sum(v * w) / sum(w), 6) + 0.0 AS mean FROM m GROUP BY k")
+@query("matched_drift", EVENT_SQL + DRIFT_SQL + ", dw AS (SELECT t, count(*) AS w FROM ev GROUP BY t), m AS (SELECT a.t, k.k, avg(b.p / a.p - 1) AS v, max(w) AS w FROM px a JOIN dw USING (t), range(0, 64) k(k) JOIN px b ON b.symbol = a.symbol AND b.t = a.t + k.k WHERE a.symbol <> 'Brand#1' GROUP BY ALL) SELECT CAST(k AS INTEGER) AS k, CAST(sum(w) AS BIGINT) AS n, round(sum(v * w) / sum(w), 6) + 0.0 AS mean FROM m GROUP BY k")
 def matched_drift(spark, d):
-    return S.matched_drift(events(spark, d), A.panel(spark, d), 21).select("k", "n", r6("mean").alias("mean"))
+    return S.matched_drift(events(spark, d), A.panel(spark, d), bench=BENCH).select("k", "n", r6("mean").alias("mean"))
+
+
+PAIR_SQL = DRIFT_SQL + ", pb AS (SELECT a.symbol, a.t, a.p, b.p AS q FROM px a JOIN px b ON b.symbol = 'Brand#1' AND b.t = a.t)"
+
+
+@query("event_drift_excess", EVENT_SQL + PAIR_SQL + ", m AS (SELECT k.k, b.p / a.p - b.q / a.q AS v FROM ev JOIN pb a USING (symbol, t), range(0, 64) k(k) JOIN pb b ON b.symbol = ev.symbol AND b.t = ev.t + k.k) SELECT CAST(k AS INTEGER) AS k, count(*) AS n, round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v) / sqrt(count(*)), 6) + 0.0 AS se FROM m GROUP BY k")
+def event_drift_excess(spark, d):
+    return S.event_drift(events(spark, d), A.panel(spark, d), hedge=BENCH).select("k", "n", r6("mean").alias("mean"), r6("se").alias("se"))
+
+
+@query("matched_drift_excess", EVENT_SQL + PAIR_SQL + ", dw AS (SELECT t, count(*) AS w FROM ev GROUP BY t), m AS (SELECT a.t, k.k, avg(b.p / a.p - b.q / a.q) AS v, max(w) AS w FROM pb a JOIN dw USING (t), range(0, 64) k(k) JOIN pb b ON b.symbol = a.symbol AND b.t = a.t + k.k WHERE a.symbol <> 'Brand#1' GROUP BY ALL) SELECT CAST(k AS INTEGER) AS k, CAST(sum(w) AS BIGINT) AS n, round(sum(v * w) / sum(w), 6) + 0.0 AS mean FROM m GROUP BY k")
+def matched_drift_excess(spark, d):
+    return S.matched_drift(events(spark, d), A.panel(spark, d), bench=BENCH, excess=True).select("k", "n", r6("mean").alias("mean"))
+
+
+@query("matched_base_excess", EVENT_SQL + EXCESS_SQL + f"SELECT h, {MEANS} FROM ev JOIN ret USING (symbol, t) JOIN day USING (t, h) GROUP BY h")
+def matched_base_excess(spark, d):
+    return S.matched_base(events(spark, d), returns(spark, d, True)).select("h", "n", *(r6(c).alias(c) for c in ("mean", "base", "edge")))
 
 
 BACKTEST_SQL = (
@@ -495,13 +534,13 @@ def backtest_equity(spark, d):
 @query(
     "backtest_stats",
     BACKTEST_SQL
-    + """SELECT count(*) AS days, round(arg_max(equity, t) - 1, 6) + 0.0 AS total, round(min(drawdown), 6) + 0.0 AS max_drawdown, round(avg(CASE WHEN positions > 0 THEN CAST(ret > 0 AS DOUBLE) END), 6) + 0.0 AS win,
-  round(avg(positions), 6) + 0.0 AS avg_positions, round(avg(CAST(positions > 0 AS DOUBLE)), 6) + 0.0 AS invested, round(pow(arg_max(equity, t), 252.0 / count(*)) - 1, 6) + 0.0 AS cagr,
+    + """SELECT count(*) AS days, round(arg_max(equity, t) - 1, 6) + 0.0 AS total, round(min(drawdown), 6) + 0.0 AS max_drawdown, (SELECT round(avg(CAST(b.p / a.p - 1 - 0.001 > 0 AS DOUBLE)), 6) + 0.0 FROM sp JOIN px a ON a.symbol = sp.symbol AND a.t = e JOIN px b ON b.symbol = sp.symbol AND b.t = x) AS win, (SELECT count(*) FROM sp) AS trades,
+  round(coalesce(avg(positions) FILTER (positions > 0), 0), 6) + 0.0 AS avg_positions, round(avg(CAST(positions > 0 AS DOUBLE)), 6) + 0.0 AS invested, round(pow(arg_max(equity, t), 252.0 / count(*)) - 1, 6) + 0.0 AS cagr,
   CASE WHEN stddev_pop(ret) > 0 THEN round(avg(ret) / stddev_pop(ret) * sqrt(252.0), 6) + 0.0 END AS sharpe FROM bt""",
 )
 def backtest_stats(spark, d):
-    out = S.backtest_statistics(S.backtest(events(spark, d), A.panel(spark, d), A.days(spark, d)))
-    return out.select("days", *(r6(c).alias(c) for c in ("total", "max_drawdown", "win", "avg_positions", "invested", "cagr", "sharpe")))
+    out = S.backtest_statistics(events(spark, d), A.panel(spark, d), A.days(spark, d))
+    return out.select("days", "trades", *(r6(c).alias(c) for c in ("total", "max_drawdown", "win", "avg_positions", "invested", "cagr", "sharpe")))
 
 
 @query(
@@ -562,5 +601,5 @@ SELECT n, round(mean, 6) + 0.0 AS mean, round(center, 6) + 0.0 AS placebo, round
 FROM b WHERE n >= 3 GROUP BY n, mean, center""",
 )
 def perm_test(spark, d):
-    returns = P.forward_return(A.panel(spark, d), 21, "ret").filter("ret is not null").select("symbol", "t", "ret")
-    return B.permutation_test(events(spark, d), returns).select("n", *(r6(c).alias(c) for c in ("mean", "placebo", "p", "percentile")))
+    own = P.forward_return(A.panel(spark, d), 21, "ret").filter("ret is not null").select("symbol", "t", "ret")
+    return B.permutation_test(events(spark, d), own).select("n", *(r6(c).alias(c) for c in ("mean", "placebo", "p", "percentile")))

@@ -102,11 +102,11 @@ l AS (SELECT symbol, max(dd) FILTER (back = 1) AS latest, CASE WHEN count(*) > 2
 c AS (SELECT fund, symbol, s / sum(s) OVER (PARTITION BY fund) * 100 AS share FROM membership JOIN m USING (symbol)),
 r AS (SELECT *, row_number() OVER (PARTITION BY fund ORDER BY share DESC, symbol) AS rank FROM c JOIN l USING (symbol))
 SELECT fund, symbol, round(share, 6) + 0.0 AS share, round(latest, 6) + 0.0 AS latest, round(change, 6) + 0.0 AS change, CASE WHEN change > 0.003 THEN 'accumulating' WHEN change < -0.003 THEN 'distributing' ELSE 'flat' END AS flow, CAST(rank AS INTEGER) AS rank
-FROM r WHERE rank <= 10""",
+FROM r WHERE rank <= 30""",
 )
 def sector_constituents(spark, d):
     # the change over 20 valid rows is from the 21st last one
-    out = I.constituents(A.panel(spark, d), A.grid(spark, d).withColumn("dd", F.round("dd", 9)), A.membership(spark, d).select("fund", "symbol"), top=10)
+    out = I.constituents(A.panel(spark, d), A.grid(spark, d).withColumn("dd", F.round("dd", 9)), A.membership(spark, d).select("fund", "symbol"))
     return out.select("fund", "symbol", *(r6(c).alias(c) for c in ("share", "latest", "change")), "flow", "rank")
 
 
@@ -143,13 +143,13 @@ SELECT CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi, streaks, h, n, roun
 UNION ALL SELECT 0, 0, NULL, h, count(*), round(avg(ret), 6) + 0.0, NULL, NULL FROM ret GROUP BY h""",
 )
 def sweep_table(spark, d):
-    out = S.sweep_table(Q.states(spark, d), S.long_returns(A.panel(spark, d)), Q.RUN)
+    out = S.sweep_table(Q.states(spark, d), Q.returns(spark, d), Q.RUN)
     return out.select("lo", "hi", "streaks", "h", "n", r6("mean").alias("mean"), "by_streaks", "by_mean")
 
 
 STATUS_SQL = (
     Q.EVENT_SQL
-    + """, nw AS (SELECT symbol, max(t) AS last_t FROM state WHERE decile IS NOT NULL GROUP BY symbol), en AS (SELECT max(last_t) AS e FROM nw),
+    + """, nw AS (SELECT symbol, max(t) AS last_t FROM state WHERE decile IS NOT NULL GROUP BY symbol), en AS (SELECT max(t) AS e FROM cal),
 tp AS (SELECT symbol, max(t) AS tip, arg_max(k, t) AS k FROM runs GROUP BY symbol),
 z AS (SELECT symbol, CAST(CASE WHEN tip = last_t AND last_t > e - 3 THEN k ELSE 0 END AS INTEGER) AS length FROM nw LEFT JOIN tp USING (symbol), en)
 """
@@ -163,7 +163,7 @@ z AS (SELECT symbol, CAST(CASE WHEN tip = last_t AND last_t > e - 3 THEN k ELSE
 SELECT status, CAST(row_number() OVER (PARTITION BY status ORDER BY length DESC, symbol) AS INTEGER) AS rank, symbol, length FROM y QUALIFY rank <= CASE WHEN status = 'active' THEN 12 ELSE 8 END""",
 )
 def current_streaks(spark, d):
-    return S.current_streaks(S.streak_status(Q.states(spark, d), Q.LO, Q.HI, Q.RUN))
+    return S.current_streaks(S.streak_status(Q.states(spark, d), A.days(spark, d), Q.LO, Q.HI, Q.RUN))
 
 
 @query(
@@ -175,7 +175,7 @@ SELECT period, h, {Q.MEANS} FROM x GROUP BY ALL""",
 )
 def regime_midpoint(spark, d):
     """The boundary lies after the sample, so its middle takes its place."""
-    out = S.regime_split(Q.events(spark, d), S.long_returns(A.panel(spark, d)), A.days(spark, d), "2030-01-01")
+    out = S.regime_split(Q.events(spark, d), Q.returns(spark, d), A.days(spark, d), "2030-01-01")
     return out.select("period", "h", "n", *(r6(c).alias(c) for c in ("mean", "base", "edge")))
 
 

@@ -19,7 +19,7 @@ from flowlens.functions.store import cut
 
 BINS = 4096
 #: Values of one group in one interval that are sorted as an array instead of binned once more.
-FEW = 2048
+FEW = 1 << 14
 
 
 def linear(q: float) -> Callable[[Column], Column]:

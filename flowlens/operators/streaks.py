@@ -121,12 +121,17 @@ def band_events(states: DataFrame, run: int = 5) -> DataFrame:
     marks |= {f"_under{k}": F.when(F.col("decile") < k, F.col("t")) for k in range(2, 11)} | {f"_over{k}": F.when(F.col("decile") > k, F.col("t")) for k in range(1, 10)}
     seen = states.select("symbol", "t", "decile").withColumn("_broken", gap)
     seen = seen.select("symbol", "t", "decile", *(F.max(v).over(so_far).alias(k) for k, v in marks.items()))
-    under, over = F.array(F.lit(None).cast("int"), *(f"_under{k}" for k in range(2, 11))), F.array(*(f"_over{k}" for k in range(1, 10)), F.lit(None).cast("int"))
-    bands = F.array(*(F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo in range(1, 11) for hi in range(lo, 11)))
-    outside = lambda b: F.greatest("_gap", F.get("_u", b["lo"] - 1), F.get("_o", b["hi"] - 1))
-    held = seen.filter("decile is not null").select("symbol", "t", "decile", "_gap", under.alias("_u"), over.alias("_o"))
-    mine = F.filter(bands, lambda b: F.col("t") - outside(b) == run)
-    return held.select("symbol", "t", mine.alias("bands")).filter(F.size("bands") > 0)
+    # a streak of a band has run sessions if the later of its two marks is at t - run; marks grow with lo and fall with hi,
+    # so the los whose mark is no later are 1 to lo_le and those whose mark is earlier 1 to lo_lt; of the his they are the last ones
+    since = F.col("t") - run
+    count = lambda name, ks, test: F.lit(1) + sum(F.coalesce(test(F.col(f"{name}{k}")).cast("int"), F.lit(1)) for k in ks)
+    both = {"lo": ("_under", range(2, 11)), "hi": ("_over", range(1, 10))}
+    ends = {f"{k}_le": count(*v, lambda c: c <= since) for k, v in both.items()} | {f"{k}_lt": count(*v, lambda c: c < since) for k, v in both.items()}
+    seen = seen.filter(F.col("decile").isNotNull() & (F.col("_gap") <= since)).select("symbol", "t", (F.col("_gap") == since).alias("begins"), *(v.alias(k) for k, v in ends.items()))
+    seen = seen.filter(F.col("begins") | (F.col("lo_le") > F.col("lo_lt")) | (F.col("hi_le") > F.col("hi_lt")))
+    held = F.flatten(F.transform(F.sequence(F.lit(1), "lo_le"), lambda lo: F.transform(F.sequence(11 - F.col("hi_le"), F.lit(10)), lambda hi: F.struct(lo.alias("lo"), hi.alias("hi")))))
+    mine = F.filter(held, lambda b: F.col("begins") | (b["lo"] > F.col("lo_lt")) | (b["hi"] <= 10 - F.col("hi_lt")))
+    return seen.select("symbol", "t", mine.alias("bands"))
 
 
 def band_sweep(states: DataFrame, returns: DataFrame, run: int = 5) -> DataFrame:

@@ -4,7 +4,8 @@ A candidate is a long run of key characters next to a sensitive word.  It is
 compressed twice with a raw zstandard dictionary made of common identifiers,
 some fixed and ``MOST`` learned from the corpus (letters only, from ``FEWEST``
 documents or more, so no key is among them), and of the code that surrounds
-it, copies of itself taken out: the surroundings
+it, in which whatever looks like a key is blanked out, so that no key is hidden by
+a copy of it, nor by another that begins alike: the surroundings
 alone, and with the candidate put back.  The difference is its marginal size.  Words, paths and repeated
 names cost a few bytes; what can't be predicted from the identifiers or
 the surroundings costs nearly its own length in bytes, and is reported; of a
@@ -17,21 +18,25 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.common import aside
+
 #: The base patterns and the least lengths of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-#: Words beside which a candidate is weighed, and common identifiers that never make one new.
-CONTEXT = re.compile(r"pass(?:word|wd|phrase)|secret|token|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|credential|bearer|authorization|signature|auth[\x20_-]?key", re.I | re.A)
+#: Words and beginnings of tokens beside which a candidate is weighed, and common identifiers that never make one new.
+CONTEXT = re.compile(r"pass(?:word|wd|phrase)|secret|token|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|credential|bearer|authorization|signature|auth[\x20_-]?key|\bgh[opsur]_|\bxox[abeprs]-|\bsk_live_|\bglpat-", re.I | re.A)
 IDENTIFIERS = (
     "password passwd passphrase secret token api_key apikey access_key private_key credential bearer authorization signature client_id client_secret "
     "refresh_token access_token session_id user_name username account_id public_key begin end certificate request response content_type application "
@@ -41,11 +46,13 @@ IDENTIFIERS = (
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ /usr/local/bin /usr/share/lib /home/user com.example.application org.example.service"
 )
 #: In lower case, one of these is in every sensitive word.
-CLUES = ("passw", "passp", "secret", "token", "key", "credential", "bearer", "authorization", "signature")
+CLUES = ("passw", "passp", "secret", "token", "key", "credential", "bearer", "authorization", "signature", "gho_", "ghp_", "ghs_", "ghu_", "ghr_", "xox", "sk_live_", "glpat-")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]{16,}")
 #: A private key in armour, up to its end line or the text's end; the short last line that may follow a full one.
 BLOCK = re.compile(r"-----BEGIN\x20[A-Z0-9\x20]*PRIVATE\x20KEY[A-Z\x20]*-----.*?(?=-----|\Z)", re.S)
 LAST = re.compile(r"\s+([A-Za-z0-9+/=]{1,15})(?=\s*(?:-----END|\Z))")
+#: What may not stand between a label and its value on a later line.
+LABELLED = re.compile(r"[^\W_]")
 REACH = 48
 AROUND = 256
 NOVELTY = 0.75
@@ -86,8 +93,13 @@ def marginal_bytes(candidate: str, before: str, after: str, known: str = IDENTIF
     return len(pack(around + candidate.encode())) - len(pack(around))
 
 
+def hidden(text: str) -> str:
+    """``text`` with every candidate that looks like a key blanked out, in place."""
+    return CANDIDATE.sub(lambda m: " " * len(m[0]) if keylike(m[0]) else m[0], text)
+
+
 def without(value: str, text: str, a: int, b: int) -> tuple[str, str]:
-    """The ``AROUND`` characters before ``a`` and after ``b``, copies of ``value`` blanked out, also those cut by the ends."""
+    """The ``AROUND`` characters before ``a`` and after ``b`` of a text of :func:`hidden`, copies of ``value`` blanked out, also those cut by the ends."""
     blank, wide = " " * len(value), AROUND + len(value)
     return text[max(0, a - wide) : a].replace(value, blank)[-AROUND:], text[b : b + wide].replace(value, blank)[:AROUND]
 
@@ -118,29 +130,49 @@ def keylike(value: str) -> bool:
     return 20 * sum(x.isupper() != y.isupper() for x, y in zip(letters, body)) >= 7 * len(body)
 
 
+class Marks:
+    """Sensitive words of a text and its key blocks, to ask whether a place is beside one."""
+
+    def __init__(self, text: str, spans: list[tuple[int, int]]) -> None:
+        self.text, spans = text, sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.reach = list(accumulate((b for _, b in spans), max))  # furthest end so far
+
+    def beside(self, a: int, b: int) -> bool:
+        """One is on a line of a..b, or within ``REACH`` characters of it, or before it with no letter or digit between, however far."""
+        low, high = min(self.text.rfind("\n", 0, a) + 1, a - REACH), self.text.find("\n", b)
+        high = max(len(self.text) if high < 0 else high, b + REACH)
+        last = bisect_right(self.starts, high) - 1
+        if last >= 0 and self.reach[last] >= low:
+            return True
+        last = bisect_right(self.starts, a) - 1
+        return last >= 0 and not LABELLED.search(self.text, self.reach[last], a)
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: float = NOVELTY, known: str = IDENTIFIERS) -> list[tuple[int, int, int]]:
-    """Candidates near a sensitive word, outside ``taken``, whose marginal bytes reach ``novelty`` of their length.
+    """Candidates beside a sensitive word, outside ``taken``, whose marginal bytes reach ``novelty`` of their length.
 
-    A sensitive word may end up to ``REACH`` characters before the candidate or
-    begin up to ``REACH`` after it; in a private key's block it always does.
+    A sensitive word is beside a candidate if it is on the same line, within
+    ``REACH`` characters, or the last word before it; in a private key's block it always is.
     """
     low = text.lower()
     if not any(x in low for x in CLUES):
         return []
     blocks = [m.span() for m in BLOCK.finditer(text)] if "-----BEGIN" in text else []
-    marks = sorted([m.span() for m in CONTEXT.finditer(text)] + blocks)
-    taken, out, k, t = sorted(taken), [], 0, 0
-    for m in CANDIDATE.finditer(text) if marks else ():
+    marks = Marks(text, [m.span() for m in CONTEXT.finditer(text)] + blocks)
+    taken, out, t, bare = sorted(taken), [], 0, None
+    for m in CANDIDATE.finditer(text) if marks.starts else ():
         a, b = m.span()
-        while k < len(marks) and marks[k][1] < a - REACH:
-            k += 1
         while t < len(taken) and taken[t][0] < b and taken[t][2] <= a:
             t += 1
-        if (a and text[a - 1] == "@") or k == len(marks) or marks[k][0] > b + REACH or any(s < b and a < e for s, _, e in taken[t : t + 3]):
+        if (a and text[a - 1] == "@") or any(s < b and a < e for s, _, e in taken[t : t + 3]):
             continue
         value = m[0]
         inside = any(s <= a < e for s, e in blocks)
-        if (inside or keylike(value)) and marginal_bytes(value, *without(value, text, a, b), known) >= novelty * alphabet_share(value) * len(value):
+        if not (inside or keylike(value)) or not marks.beside(a, b):
+            continue
+        bare = hidden(text) if bare is None else bare
+        if marginal_bytes(value, *without(value, bare, a, b), known) >= novelty * alphabet_share(value) * len(value):
             out.append((a, 3, b))
             last = LAST.match(text, b) if inside else None
             if last:
@@ -194,14 +226,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelt
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", novelty: float = NOVELTY, known: str | None = None) -> DataFrame:
-    """``docs`` with each reported span of the text replaced by ``mark``; ``n_chars``, if there, follows."""
+    """``docs`` with each reported span of the text replaced by ``mark``; ``n_chars``, if there, follows.
+
+    Further columns may have any name and type; they come back as they are.
+    """
     place, known = docs.columns.index(text_col), learn(docs, text_col) if known is None else known
+    own, names = aside(docs, text_col, "n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = (t.as_py() for t in b.column(place))
             clean = pa.array([redacted(t, find(t, novelty, known)[1], mark) for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([clean if k == place else c for k, c in enumerate(b.columns)], b.schema.names)
+            yield pa.RecordBatch.from_arrays([clean if k == place else c for k, c in enumerate(b.columns)], names)
 
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = own.mapInArrow(run, own.schema)
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.length(text_col).cast(own.schema["n_chars"].dataType))
+    return out.toDF(*docs.columns)

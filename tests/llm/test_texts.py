@@ -1,5 +1,6 @@
 """Token counts, SentencePiece, language identification and secret scans against the libraries and brute force."""
 
+import base64
 import collections
 import hashlib
 import random
@@ -181,6 +182,25 @@ def test_planted_keys_are_found_and_names_are_not():
     assert found >= 0.97 * len(keys) and false <= 0.01 * len(names)
 
 
+def test_alike_keys_do_not_hide_each_other():
+    """Two tokens with one head, one key under two prefixes, keys far from their label: nearly all are found."""
+    rng, letters = random.Random(5), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    novel = lambda t: {t[a:b] for a, k, b in secrets.find(t)[1]}
+    draw = lambda n: "".join(rng.choices(letters, k=n))
+    tokens = prefixed = distant = bare = 0
+    for k in range(200):
+        body = base64.urlsafe_b64encode(b'{"sub":"user%d","iat":1516239022}' % k).decode().rstrip("=")
+        pair = [f"eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.{body}.{draw(43)}" for _ in range(2)]
+        tokens += len(novel("".join(f"Authorization: Bearer {x}\n" for x in pair)) & set(pair))
+        key = draw(32)
+        prefixed += len(novel(f"credential prod_{key}\ncredential test_{key}\n") & {f"prod_{key}", f"test_{key}"})
+        distant += key in novel("credential:\n" + " " * 50 + key)
+        distant += key in novel("private key for the " + "x " * 60 + key)
+        bare += f"ghp_{key}" in novel(f"use ghp_{key} here")
+    assert min(tokens, prefixed, distant, 2 * bare) >= 0.97 * 400
+    assert not novel("credential is named below\n" + "other lines\n" * 5 + "and then q8Zt0LmX2vB7nR4kY9sW1cHd")
+
+
 def test_dictionary_is_learned_from_names_of_the_corpus(spark, none):
     key = "q8Zt0LmX2vB7nR4kY9sW1cHd"
     texts = ["call frobnicate_widget and getUserName. " + key, "frobnicate_widget x", "frobnicate_widget getUserName frobnicate_widget", "getUserName", "only_twice", "only_twice", None]

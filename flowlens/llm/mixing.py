@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from flowlens.llm.common import cut, words
+from flowlens.llm.common import aside, cut, row_hash, words
 
 #: Fixed value: 1 / golden ratio.
 PHI = 0.6180339887498949
@@ -37,7 +37,7 @@ def shuffle_key(df: DataFrame) -> DataFrame:
     """Adds ``_key``, equal for rows with equal ids and texts, in no order of either, and ``_row``, a hash of all columns, which tells such rows apart."""
     text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), text).cast("binary"))
-    return df.withColumn("_row", F.xxhash64(*df.columns)).withColumn("_key", key)
+    return df.withColumn("_row", row_hash(df)).withColumn("_key", key)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
@@ -142,20 +142,22 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block
     and sorted within, so part files in order are the stream.  Documents of no
     words, which no target counts, stay as they are, before the others.
     ``n_chars``, if there, follows.  Rows that repeat are taken as often as they
-    are there; ids and sources may be null; an empty table gives no rows.
+    are there; ids and sources may be null; an empty table gives no rows. Further
+    columns may have any name and type; they come back as they are.
     """
-    placed, stream = mix(docs, weights, block, most)
+    own, names = aside(docs, "doc_id", "source", "text", "n_chars")
+    placed, stream = mix(own, weights, block, most)
     takings = stream.groupBy("_key", "_row", "rank", "nth", "round").agg(F.min("slot").alias("_slot"), F.min("number").alias("_number"), F.sum(F.col("stop") - F.col("first")).alias("_words"))
     takings = takings.select("_key", "_row", "_slot", "_number", "_words")
     blank = placed.filter("size = 0").select("_key", "_row", F.lit(-1).cast("long").alias("_slot"), F.lit(-1).cast("long").alias("_number"), F.lit(-1).cast("long").alias("_words"))
     sizes = placed.groupBy("_key", "_row").agg(F.first("size").alias("_size"))
     takings = takings.unionByName(blank).join(sizes, ["_key", "_row"]).withColumnsRenamed({"_key": "_k", "_row": "_r"})
-    rows = shuffle_key(docs).dropDuplicates(["_key", "_row"])  # equal in all columns
+    rows = shuffle_key(own).dropDuplicates(["_key", "_row"])  # equal in all columns
     rows = rows.join(takings, (rows["_key"] == takings["_k"]) & (rows["_row"] == takings["_r"]))
     parts = F.split(F.col("text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each part ends with a word
     whole = (F.col("_words") < 0) | (F.col("_words") == F.col("_size"))
     rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(parts, 1, F.greatest(F.col("_words"), F.lit(1)).cast("int")), "")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.length("text").cast(own.schema["n_chars"].dataType))
     order = ["_slot", "_number", "_k", "_r"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*names).toDF(*docs.columns)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import cut
+from flowlens.llm.common import aside, cut, row_hash
 
 #: Golay code (23, 12, 7), its generator and its covering radius.
 GENERATOR, LENGTH, CHECKS, RADIUS = 0b110001110101, 23, 11, 3
@@ -231,13 +231,17 @@ def clusters(docs: DataFrame, threshold: int = 2, width: int = 3, id_col: str =
 
 
 def keep_one(docs: DataFrame, threshold: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id, ties broken by the row's hash."""
-    hashed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    """``docs`` with one row of each component: that of the smallest id, ties broken by the row's hash.
+
+    Further columns may have any name and type; they come back as they are.
+    """
+    own, names = aside(docs, id_col, text_col)
+    hashed = own.withColumn("_row", row_hash(own))
     found = clusters(hashed, threshold, width, id_col, text_col, ["_row"])
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
     chosen = found.groupBy("root_fp").agg(F.min(key).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.row").alias("_r"))
     kept = hashed.join(chosen, (hashed["_row"] == chosen["_r"]) & hashed[id_col].eqNullSafe(chosen["_id"]), "left_semi")
-    return kept.dropDuplicates(["_row", id_col]).select(*docs.columns)
+    return kept.dropDuplicates(["_row", id_col]).select(*names).toDF(*docs.columns)
 
 
 def hex16(fp: Column) -> Column:

@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from flowlens.llm.common import cut
+from flowlens.llm.common import aside, cut
 from flowlens.operators.relation import ranked
 
 #: Children of a node.
 ARITY = 3
 #: Nodes of a level are windowed in runs of this many, a power of ``ARITY``: a run fits a task, whatever a source holds.
-SPAN = ARITY**7
+SPAN = ARITY**4
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 STEP = "struct<left:string,right:string>"
 
@@ -118,11 +118,12 @@ def manifest(leaves: DataFrame, id: str = "doc_id", source: str = "source") -> D
 
     Leaves of one source ascend by id, null first; equal ids by leaf, so that
     repeated rows give the same trees in any order. Sources ascend bytewise, null
-    first, "" after it. An empty table gives an empty one. Further columns are
-    kept, but ``tree``, ``idx``, ``n``, ``path``, ``subroot`` and ``root``, which are replaced.
+    first, "" after it. An empty table gives an empty one. Further columns of any
+    name are kept, but ``path``, ``subroot`` and ``root``, which are replaced.
     """
-    leaves = leaves.drop("tree", "idx", "n", "path", "subroot", "root")
-    rows, trees = placed(leaves, source, [id, "leaf"])
+    leaves = leaves.drop("path", "subroot", "root")
+    own, names = aside(leaves, id, source, "leaf")
+    rows, trees = placed(own, source, [id, "leaf"])
     rows = cut(rows)
     levels, roots = climb(rows.select("tree", "idx", "n", F.col("leaf").alias("hash")))
     roots = cut(roots.join(trees, "tree"))
@@ -131,7 +132,8 @@ def manifest(leaves: DataFrame, id: str = "doc_id", source: str = "source") -> D
     over = descend(upper, top.select("tree", "height", F.array().cast(f"array<{STEP}>").alias("path"), F.col("hash").alias("subroot")))
     tops = cut(roots.join(over.select(F.col("idx").alias("tree"), "path"), "tree").select("tree", "height", "path", F.col("hash").alias("subroot")))
     paths = descend(levels, tops)
-    return rows.join(paths, ["tree", "idx"]).drop("tree", "idx", "n").withColumn("root", top.select("hash").scalar())
+    out = rows.join(paths, ["tree", "idx"]).withColumn("root", top.select("hash").scalar())
+    return out.select(*names, "path", "subroot", "root").toDF(*leaves.columns, "path", "subroot", "root")
 
 
 def audit(docs: DataFrame) -> DataFrame:

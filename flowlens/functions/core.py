@@ -36,7 +36,3 @@ def clip01(x: Column) -> Column:
 def r6(x: Column | str) -> Column:
     """Six decimals, for results; -0.0 becomes 0.0."""
     return F.round(x, 6) + F.lit(0.0)
-
-
-def least_count(x: Column, n: Column, least: int) -> Column:
-    return F.when(n >= least, x)

@@ -1,22 +1,12 @@
 """Declared schemas; nothing is inferred."""
 
-from pyspark.sql import types as T
-
-PANEL = T.StructType(
-    [T.StructField("universe", T.StringType()), T.StructField("symbol", T.StringType()), T.StructField("t", T.IntegerType()), T.StructField("d", T.DateType())]
-    + [T.StructField(c, T.DoubleType()) for c in ("short", "total", "dpi", "dd", "close", "adjclose", "volume")]
-)
-VOLUME_FILE = "trade_date string, symbol string, short_volume string, exempt string, total_volume string, market string"
-VOLUMES = "symbol string, d date, short double, total double"
 PRICE_FILE = (
     "chart struct<result:array<struct<meta:struct<symbol:string>, timestamp:array<bigint>, indicators:struct<"
     "quote:array<struct<close:array<double>, volume:array<bigint>>>, adjclose:array<struct<adjclose:array<double>>>>>>>"
 )
 FILING_ARRAYS = "form array<string>, filingDate array<string>, items array<string>, acceptanceDateTime array<string>"
 FILING_FILE = "filings struct<recent:struct<form:array<string>, filingDate:array<string>, items:array<string>, acceptanceDateTime:array<string>>>"
-EVENTS = "ticker string, report_date string, timing string"
-SNAPSHOTS = "fund string, snapshot_date date, symbol string, weight double"
 EVENT_TABLE = (
-    "symbol string, report_date date, timing string, base int, dpi5 double, dpi10 double, next_day_ret double, w1_ret double, w2_ret double, m1_ret double, "
-    "next_day_rvol double, w1_rvol double, w2_rvol double, m1_rvol double, looks_reaction int, dpi5_pct double, dpi10_pct double"
+    "symbol string, report_date date, timing string, base int, base_date date, anchored int, dpi5 double, dpi10 double, next_day_ret double, w1_ret double, w2_ret double, m1_ret double, "
+    "next_day_rvol double, w1_rvol double, w2_rvol double, m1_rvol double, looks_reaction int, has_data int, dpi5_pct double, dpi10_pct double"
 )

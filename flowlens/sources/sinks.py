@@ -48,3 +48,12 @@ def write_volumes(df: DataFrame, path: str, universe: str) -> None:
     """Append to the accumulated volumes, replacing the months that ``df`` has."""
     rows = df.withColumn("universe", F.lit(universe)).withColumn("month", F.date_format("d", "yyyy-MM"))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("universe", "month").parquet(path)
+
+
+def store_panel(panel: DataFrame, name: str, buckets: int = 64) -> None:
+    """The panel as a table of the catalogue, in ``buckets`` by symbol, each sorted by session in one file.
+
+    Windows and aggregations by symbol read it without a shuffle, whatever they
+    are; so do joins of two panels of equal buckets on the symbol.
+    """
+    panel.repartition(buckets, "symbol").write.mode("overwrite").bucketBy(buckets, "symbol").sortBy("symbol", "t").saveAsTable(name)

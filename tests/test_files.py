@@ -138,3 +138,43 @@ def test_streaming_equals_batch(spark, tmp_path):
     put(f"{src}/b20230104.txt", day_file("DD", 3))  # an old empty day is final as well
     run("2024-01-06")
     assert len(rows()) == 3
+
+
+def test_derived_columns_follow_late_days(spark, tmp_path):
+    """Batches in any order, a late day among them, leave what deriving everything at once gives; days out of reach are not touched."""
+    src, out, cp, der = (str(tmp_path / x) for x in ("src", "out", "cp", "der"))
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
+    text = lambda k: "Date|Symbol\n" + "".join(f"{day(k):%Y%m%d}|{s}|{(7 * k + i * k * k) % 50}|0|{60 + i}|Q\n" for i, s in enumerate(["AA", "BB", "CC"]) if (k + i) % 5)
+    run = lambda: M.ingest(spark, src, out, cp, "2024-03-01", derived=der, reach=6).awaitTermination()
+    rows = lambda df: sorted(tuple(r) for r in df.select("symbol", "d", "dpi", "dd", "seen", "share").collect())
+    stamps = lambda: {p: os.stat(os.path.join(der, p)).st_mtime_ns for p in os.listdir(der) if p.startswith("d=")}
+    for batch in (range(3, 8), range(9, 24), [8], range(0, 3), range(24, 26)):
+        old = stamps() if os.path.isdir(der) else {}
+        for k in batch:
+            put(f"{src}/v{day(k):%Y%m%d}.txt", text(k))
+        run()
+        assert rows(spark.read.parquet(der)) == rows(M.derive(M.volumes(M.stored(spark, out)), 6))
+        if batch == [8]:
+            same = {p for p, at in stamps().items() if old.get(p) == at}
+            assert {f"d={day(k)}" for k in range(3, 8)} <= same and {f"d={day(k)}" for k in range(14, 24)} <= same  # of 9 to 23 only what 8 reaches
+    assert len(os.listdir(der)) >= 26
+    M.refresh(spark, out, der, [day(12)], 6)
+    assert rows(spark.read.parquet(der)) == rows(M.derive(M.volumes(M.stored(spark, out)), 6))
+
+
+def test_stored_panel_needs_no_shuffle(spark, tmp_path):
+    from flowlens.operators import panel as P
+
+    df = spark.range(4000).select(F.format_string("s%02d", F.col("id") % 40).alias("symbol"), F.floor(F.col("id") / 40).cast("int").alias("t"), F.rand(1).alias("adjclose"))
+    spark.sql(f"create database if not exists panels location '{tmp_path}/panels'")
+    K.store_panel(df, "panels.panel", 4)
+    table = spark.table("panels.panel")
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    window = P.forward_return(P.moving_average(table, "adjclose", "m"), 5, "r5")
+    assert "Exchange" not in plan(window) and "Exchange" not in plan(window.groupBy("symbol").agg(F.avg("m"))) and "Exchange" in plan(P.moving_average(df, "adjclose", "m"))
+    assert window.count() == 4000 and window.filter("r5 is not null").count() == 40 * 95
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    both = table.join(table.groupBy("symbol").agg(F.max("t").alias("last")), "symbol")
+    assert "Exchange" not in plan(both) and both.count() == 4000
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.sql("drop database panels cascade")

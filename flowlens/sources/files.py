@@ -110,16 +110,19 @@ def holdings_csv(spark: SparkSession, path: str) -> DataFrame:
 def holdings_xml(spark: SparkSession, path: str, merge: dict[str, str] | None = None) -> DataFrame:
     """(fund, symbol, weight) from spreadsheet XML; stray ampersands are escaped, cells stand where their Index says.
 
+    Files are read row by row at the rows' end tags, so a large one is split; the XML source itself takes a row tag,
+    but loses the rows that hold a stray ampersand. Rows that are no XML all the same are left out.
     ``merge``: secondary share class to primary; weights add up.
     """
-    doc = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("fund"), F.regexp_replace("value", r"&(?!amp;|lt;|gt;|quot;|apos;|#)", "&amp;").alias("x"))
-    rows = doc.select("fund", F.posexplode(F.regexp_extract_all("x", F.lit(r"(?s)<(?:ss:)?Row\b[^>]*>(.*?)</(?:ss:)?Row>"), 1)).alias("row", "r"))
-    cell = F.regexp_extract_all("r", F.lit(r"(?s)(<(?:ss:)?Cell\b.*?(?:/>|</(?:ss:)?Cell>))"), 1)
-    data = lambda c: F.replace(F.trim(F.regexp_extract(c, r"(?s)<(?:ss:)?Data\b[^>]*>(.*?)</(?:ss:)?Data>", 1)), F.lit("&amp;"), F.lit("&"))
-    index = lambda c: F.expr("1") * F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(c, r'Index="(\d+)"', 1), F.lit("")), F.lit("999999")).cast("int"), F.lit(0))
+    fund = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("fund")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))  # order within a file
+    ended = spark.read.text(path, lineSep="Row>").select(fund, "value", place.alias("row")).filter(F.col("value").rlike(r"</(?:\w+:)?\z"))  # a row's cells, up to its end tag
+    cells = F.regexp_replace(F.regexp_replace("value", r"(?s)\A.*<(?:\w+:)?Row\b[^>]*>|</(?:\w+:)?\z", ""), r"&(?!amp;|lt;|gt;|quot;|apos;|#)", "&amp;")
+    rows = ended.select("fund", "row", F.from_xml(F.concat(F.lit("<Row>"), cells, F.lit("</Row>")), Z.XML_ROW, {"ignoreNamespace": "true"}).alias("x"))
     # the running cell index: a cell's own Index, or one after the cell before it
-    step = lambda acc, c: F.array_append(acc, F.struct(F.when(index(c) > 0, index(c)).otherwise(F.coalesce(F.get(acc, F.size(acc) - 1)["i"], F.lit(0)) + 1).alias("i"), data(c).alias("v")))
-    rows = rows.select("fund", "row", F.aggregate(cell, F.array().cast("array<struct<i:int,v:string>>"), step).alias("c"))
+    after = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1)["i"], F.lit(0)) + 1
+    step = lambda acc, c: F.array_append(acc, F.struct(F.coalesce(c["_Index"], after(acc)).alias("i"), F.trim(c["Data"]["_VALUE"]).alias("v")))
+    rows = rows.select("fund", "row", F.aggregate(F.coalesce("x.Cell", F.array()), F.array().cast("array<struct<i:int,v:string>>"), step).alias("c"))
     cells = rows.select("fund", "row", F.explode("c").alias("z")).select("fund", "row", "z.i", "z.v")
     own = W.partitionBy("fund")
     heads = cells.withColumn("_h", F.min(F.when(F.col("v") == "Ticker", F.col("row"))).over(own))

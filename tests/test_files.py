@@ -86,6 +86,18 @@ def test_holdings(spark, tmp_path):
     assert sorted(r[0] for r in R.ticker_list(spark, str(tmp_path / "l.txt")).collect()) == ["AA", "BB", "CC"]
 
 
+def test_spreadsheet_is_read_in_splits(spark, tmp_path):
+    cell = lambda v, i="": f"<Cell{i}><Data Type='String'>{v}</Data></Cell>"
+    rows = ["<Row>" + cell("fund of A & B") + "</Row>", "<Row Height='3'>" + cell("Ticker") + cell("Weight (%)", ' Index="4"') + "</Row>", "<Row/>"]
+    rows += [f"<Row Index='{k + 9}'>\n" + cell(f"T{chr(65 + k % 26)}{chr(65 + k // 26)}") + "<Cell/>" + cell(f"{k}.5", ' Index="4"') + "</Row>" for k in range(300)] + ["<Row>" + cell("BA<D") + cell("1", ' Index="4"') + "</Row>"]
+    put(tmp_path / "x/SPY.xml", '<?xml version="1.0"?><Workbook><Table>' + "\n".join(rows) + "</Table></Workbook>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    df = R.holdings_xml(spark, str(tmp_path / "x"))
+    got = {r["symbol"]: r["weight"] for r in df.collect()}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 300 and got["TAA"] == 0.5 and got["TZC"] == 77.5 and {r["fund"] for r in df.select("fund").collect()} == {"SPY"}
+
+
 def test_wide_document_snapshot_and_sector(spark, tmp_path):
     put(tmp_path / "w.csv", "date,AA,BB\n2024-01-02,1.5,\n")
     assert [tuple(r) for r in R.wide_document(spark, str(tmp_path / "w.csv"), "short").collect()] == [("AA", dt.date(2024, 1, 2), 1.5)]

@@ -174,6 +174,27 @@ def correlation_cuts(events: DataFrame, cohort: list[str], x: str = "dpi10", y:
     return out.filter(F.col("n") >= least).select("cut", "value", "n", "r")
 
 
+def cut_relations(events: DataFrame, cohort: list[str], least: int = 5) -> DataFrame:
+    """By year, cohort and timing: reports with a DPI, and its correlation with the month's and the next day's return, with p-values.
+
+    One aggregation over grouping sets; a correlation under ``least`` pairs or without variance is null.
+    """
+    ev = events.select(F.year("report_date").cast("string").alias("year"), F.when(F.col("symbol").isin(cohort), "in").otherwise("out").alias("cohort"), "timing", "dpi10", "m1_ret", "next_day_ret")
+    cuts = ["year", "cohort", "timing"]
+    which = F.coalesce(*(F.when(F.grouping(c) == 0, F.lit(c)) for c in cuts))
+    value = F.coalesce(*(F.when(F.grouping(c) == 0, F.col(c)) for c in cuts))
+    aggs = [which.alias("cut"), value.alias("value"), F.count("dpi10").alias("n")]
+    for name, y in (("m1", "m1_ret"), ("next", "next_day_ret")):
+        both = F.col("dpi10").isNotNull() & F.col(y).isNotNull()
+        a, b = F.when(both, F.col("dpi10")), F.when(both, F.col(y))
+        real = (F.count(a) >= least) & (F.stddev_pop(a) > 1e-12) & (F.stddev_pop(b) > 1e-12)
+        aggs += [F.count(a).alias(f"_{name}"), F.when(real, F.corr(a, b)).alias(f"{name}_r")]
+    out = ev.groupingSets([[c] for c in cuts], *cuts).agg(*aggs)
+    for name in ("m1", "next"):
+        out = out.withColumn(f"{name}_p", p_of_correlation(F.col(f"{name}_r"), F.col(f"_{name}")))
+    return out.select("cut", "value", "n", "m1_r", "m1_p", "next_r", "next_p")
+
+
 def event_classes(events: DataFrame, x: str = "dpi10", least: int = 6) -> DataFrame:
     """Adds ``cls``: hi or lo by the symbol's own terciles of x, with ``least`` values; else mid."""
     own = W.partitionBy("symbol")

@@ -292,6 +292,21 @@ def corr_cuts(spark, d):
     return N.correlation_cuts(study(spark, d), COHORT).select("cut", "value", "n", r6("r").alias("r"))
 
 
+CUTS_SQL = """, cx AS (SELECT dpi10, m1_ret, next_day_ret, unnest([{'cut': 'year', 'value': CAST(year(report_date) AS VARCHAR)}, {'cut': 'timing', 'value': timing},
+  {'cut': 'cohort', 'value': CASE WHEN symbol IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') THEN 'in' ELSE 'out' END}]) AS c FROM ev),
+cg AS (SELECT c.cut AS cut, c.value AS value, count(dpi10) AS n, count(*) FILTER (dpi10 IS NOT NULL AND m1_ret IS NOT NULL) AS na, count(*) FILTER (dpi10 IS NOT NULL AND next_day_ret IS NOT NULL) AS nb, corr(dpi10, m1_ret) AS a, corr(dpi10, next_day_ret) AS b FROM cx GROUP BY ALL),
+cu AS (SELECT cut, value, n, unnest([{'kind': 'm1', 'n': na, 'r': CASE WHEN na >= 5 AND NOT isnan(a) THEN a END}, {'kind': 'next', 'n': nb, 'r': CASE WHEN nb >= 5 AND NOT isnan(b) THEN b END}]) AS c FROM cg),
+tt AS (SELECT cut, value, n AS size, c.kind AS kind, c.r AS r, c.n - 2 AS df, c.r * sqrt((c.n - 2) / nullif(1 - c.r * c.r, 0)) AS t FROM cu)"""
+
+
+@query(
+    "study_cuts",
+    EVENT_SQL + CUTS_SQL + P_SQL + "SELECT cut, value, max(size) AS n, " + ", ".join(f"round(max(r) FILTER (kind = '{k}'), 6) + 0.0 AS {k}_r, round(max(CASE WHEN r IS NOT NULL THEN p END) FILTER (kind = '{k}'), 6) + 0.0 AS {k}_p" for k in ("m1", "next")) + " FROM tp GROUP BY cut, value",
+)
+def study_cuts(spark, d):
+    return N.cut_relations(study(spark, d), COHORT).select("cut", "value", "n", *(r6(c).alias(c) for c in ("m1_r", "m1_p", "next_r", "next_p")))
+
+
 @query(
     "paths",
     EVENT_SQL

@@ -1,6 +1,8 @@
 """Language identification by multilingual mixture inference.
 
-Each language is a multinomial over hashed character trigrams.  For a document,
+Each language is a multinomial over hashed character trigrams, mixed with a share of
+``SHARED`` of what all languages have in common, so that a trigram that none has seen
+is as likely in each, however few texts it was learned from.  For a document,
 expectation-maximisation estimates the proportions of all languages from its
 trigrams' likelihoods.  Sets of the k likeliest languages are then compared by
 log-likelihood less a penalty for each further language; the set grows while
@@ -21,6 +23,8 @@ from pyspark.sql import types as T
 BITS = 15
 BUCKETS = 1 << BITS
 SMOOTH = 0.5
+#: Part of each language's model that is the common one.
+SHARED = 0.05
 #: Expectation-maximisation ends when no proportion moves by more than this, or after so many rounds.
 SETTLED, ROUNDS = 1e-4, 100
 #: A further language must raise the log-likelihood by so many times log(number of trigrams).
@@ -51,7 +55,11 @@ def has_letter(text: str | None) -> bool:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages in order and their log-probabilities (languages, BUCKETS), from all rows that are not held out."""
+    """Languages in order and their log-probabilities (languages, BUCKETS), from all rows that are not held out.
+
+    A language without any letter in its texts is not learned. The model goes through the driver:
+    128 KB a language, so the values of ``lang_col`` must be languages.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -67,8 +75,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 lang, value = lang.as_py(), text.as_py()
                 if lang not in sums and len(sums) >= 64:
                     yield from flush()
-                sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 if has_letter(value):
+                    sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                     sums[lang] += trigrams(value)
         yield from flush()
 
@@ -76,11 +84,18 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sums = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = sums.toArrow()  # languages * BUCKETS rows at most: the model, which grows with the languages only
     langs = sorted(set(got.column("lang").to_pylist()))
-    table = np.full((len(langs), BUCKETS), SMOOTH)
+    table = np.zeros((len(langs), BUCKETS))
     place = {name: k for k, name in enumerate(langs)}
     if got.num_rows:
         np.add.at(table, (np.array([place[x] for x in got.column("lang").to_pylist()]), got.column("bucket").to_numpy()), got.column("n").to_numpy())
-    return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    return langs, log_model(table)
+
+
+def log_model(counts: np.ndarray) -> np.ndarray:
+    """Log-probabilities of the buckets in each language, from its counts (languages, BUCKETS), none of which is all zero."""
+    common = counts.sum(axis=0) + SMOOTH
+    own = counts / counts.sum(axis=1, keepdims=True)
+    return np.log((1 - SHARED) * own + SHARED * common / common.sum()).astype(np.float32)
 
 
 def proportions(likelihoods: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:

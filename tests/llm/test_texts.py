@@ -182,6 +182,16 @@ def test_planted_keys_are_found_and_names_are_not():
     assert found >= 0.97 * len(keys) and false <= 0.01 * len(names)
 
 
+def test_languages_of_few_texts_attract_nothing(spark):
+    rows = [(4 * i, f"the dog ran over hill {i} and far away with the cat", "en") for i in range(30)] + [(4 * i + 1, f"der hund lief über berg {i} und weit weg mit der katze", "de") for i in range(30)]
+    rows += [(k, "q x", "xx") for k in (900, 901, 904, 905)] + [(k, "12 34 !!", "yy") for k in (950, 951, 954, 955)]
+    langs, model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langs == ["de", "en", "xx"]  # without a letter nothing is learned
+    guess = lambda t: langid.predict_one(t, langs, model)[:2]
+    assert guess("der hund lief weg")[0] == "de" and guess("the cat ran away")[0] == "en" and guess("q x")[0] == "xx"
+    assert guess("漢字漢字漢字の文章")[1] < 0.5  # seen in none: no language stands out
+
+
 def test_alike_keys_do_not_hide_each_other():
     """Two tokens with one head, one key under two prefixes, keys far from their label: nearly all are found."""
     rng, letters = random.Random(5), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

@@ -12,7 +12,7 @@ from flowlens.plans import catalogue
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-SAMPLE = "dix_daily fwd_returns contributors_top residual_diff deciles_pooled histogram trailing_decile pooled_decile band_sweep backtest_equity sector_bands alias_join nearest_match asof_session event_table set_ops sector_constituents grid_table backtest_hedged study_full upsert_keep_last bootstrap_ci".split()
+SAMPLE = "dix_daily fwd_returns contributors_top residual_diff deciles_pooled histogram trailing_decile pooled_decile band_sweep backtest_equity sector_bands alias_join nearest_match asof_session event_table set_ops sector_constituents grid_table backtest_hedged study_full upsert_keep_last bootstrap_ci study_relations study_cuts reaction_anchor sector_crossings event_drift_excess matched_drift_excess band_sweep_excess split_detect backtest_stats welch_p".split()
 
 
 @pytest.fixture(scope="module")

@@ -13,11 +13,6 @@ def sessions(part: str | list[str], lo: int, hi: int, order: str = "t") -> Windo
     return W.partitionBy(*([part] if isinstance(part, str) else part)).orderBy(order).rangeBetween(lo, hi)
 
 
-def rows(part: str | list[str], lo: int, hi: int, order: str = "t") -> WindowSpec:
-    """Frame of rows lo..hi around a row: for windows over valid observations."""
-    return W.partitionBy(*([part] if isinstance(part, str) else part)).orderBy(order).rowsBetween(lo, hi)
-
-
 def at_session(x: Column | str, h: int, part: str | list[str]) -> Column:
     """The value exactly h sessions later (or -h earlier); null if that session has none."""
     return F.first(x).over(sessions(part, h, h))

@@ -244,13 +244,14 @@ def whiten(rows: DataFrame, k: int = COMPONENTS, id: str = "vec_id", vector: str
     values, axes, trace = values[kept], axes[:, kept], float(np.trace(cov))
     if not len(values):
         return empty
-    scaled = axes / np.sqrt(values)
+    shared = spark.sparkContext.broadcast((whole, rest, axes / np.sqrt(values)))  # d * (k + 2) numbers
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, part, scaled = shared.value
         for batch in batches:
             if batch.num_rows:
                 x = matrix_of(batch, "x")
-                w = (x - whole - rest) @ scaled
+                w = (x - base - part) @ scaled
                 lists = pa.ListArray.from_arrays(np.arange(len(w) + 1, dtype="int32") * w.shape[1], w.ravel())
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(deviations(x, n, total), pa.int64()), lists], ["vec_id", "deviation", "w"])
 

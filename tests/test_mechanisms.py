@@ -187,3 +187,25 @@ def test_placebo_of_few_names(spark):
     assert got["n"] == 3 and got["mean"] == pytest.approx(3.0) and 1 < got["placebo"] < 3.0
     assert got["p"] == pytest.approx(1 / 4, abs=0.08) and 0.8 < got["percentile"] < 0.95  # of 8 offsets, 0 and 7 away are as far
     assert B.permutation_test(events.filter("t = 9"), returns).count() == 0
+
+
+def test_residuals_of_two_million_rows(spark):
+    names, n = 100, N // 100
+    own = spark.range(N).select(F.format_string("s%02d", F.floor(F.col("id") / n)).alias("symbol"), (F.col("id") % n).cast("int").alias("t"), ((F.xxhash64("id") % 1000) / 1000.0).alias("dd"))
+    bench = spark.range(n).select(F.col("id").cast("int").alias("t"), (F.sin(F.col("id") / 40) + (F.xxhash64(F.col("id") + 7) % 1000) / 5000.0).alias("b"))
+    got = I.residuals(own, bench)
+    assert got.filter("reg is not null").count() == names * (n - 39)
+    mine = got.filter("symbol = 's41'").orderBy("t").toPandas()
+    for i in (39, 126, 9_999, n - 1):
+        x, b = (mine[c].to_numpy()[max(0, i - 125) : i + 1] for c in ("dd", "b"))
+        beta = np.cov(x, b)[0, 1] / b.var(ddof=1)
+        assert mine["reg"][i] == pytest.approx(x[-1] - (x.mean() - beta * b.mean() + beta * b[-1]), abs=1e-9)
+
+
+def test_placebo_over_two_million_returns(spark):
+    n = N // 40
+    returns = spark.range(N).select(F.format_string("s%02d", F.floor(F.col("id") / n)).alias("symbol"), (F.col("id") % n).cast("int").alias("t"), ((F.xxhash64("id") % 1000) / 1e5).alias("ret"))
+    events = returns.filter("t % 50 = 7").select("symbol", "t")
+    got = B.permutation_test(events, returns).first()
+    assert got["n"] == N // 50 and got["mean"] == pytest.approx(returns.filter("t % 50 = 7").agg(F.avg("ret")).first()[0], abs=1e-12)
+    assert abs(got["placebo"]) < 1e-4 and 0 < got["p"] <= 1 and 0 <= got["percentile"] <= 1

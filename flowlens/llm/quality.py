@@ -8,8 +8,8 @@ through both; the decision has no random part.
 * raw multinomial: all n-grams of all documents;
 * target multinomial: those of all trusted documents (quality 1, not toxic) that
   are not held back;
-* held back: the ids with odd hashes, of these at most the ``max_labels`` labelled
-  ones of lowest hash; ids with equal hashes stay together;
+* held back: all labelled ids with odd hashes, so each label is either counted or judged
+  by; a caller may hold back fewer, the ``max_labels`` of lowest hash (equal hashes stay together);
 * buckets: the least power of two that is no less than 32 times the square root
   of the number of distinct n-grams (HyperLogLog), and ``BUCKETS`` at least;
 * threshold: from those held back.  With g the 1st percentile of the trusted
@@ -32,7 +32,7 @@ from flowlens.llm.common import cut, words
 BUCKETS = 1 << 16
 PER_ROOT = 32
 MAX_LABELS = 10_000
-#: Trusted ids, and ratios of buckets, that are sent to every executor at most, 16 bytes a row; more of them meet texts, and n-grams, dealt by key.
+#: Trusted ids, ids held back, and ratios of buckets, that are sent to every executor at most, 16 bytes a row; more of them meet texts, and n-grams, dealt by key.
 MAX_BROADCAST = 2_000_000
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
@@ -90,12 +90,14 @@ def distinct_grams(df: DataFrame) -> int:
     return df.select(F.explode(F.concat("_ones", "_twos")).alias("g")).agg(F.approx_count_distinct("g")).first()[0]
 
 
-def label_kinds(labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
-    """All labelled ids with ``_kind``, 1 trusted or 0 junk, and ``_held``: at most ``max_labels`` that are held back."""
+def label_kinds(labels: DataFrame, max_labels: int | None = None) -> DataFrame:
+    """All labelled ids with ``_kind``, 1 trusted or 0 junk, and ``_held``: those of odd hash, or at most ``max_labels`` of them."""
     rows = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_label_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
     kind = F.when((F.col("q") == 1) & (F.col("t") == 0), 1).when(F.col("q") == 0, 0)
     rows = rows.select("_label_id", kind.alias("_kind"), F.xxhash64("_label_id").alias("_order")).filter(F.col("_kind").isNotNull())
     odd = F.pmod("_order", F.lit(2)) == 1
+    if max_labels is None:
+        return rows.select("_label_id", "_kind", odd.alias("_held"))
     first = rows.filter(odd).select("_order").orderBy("_order").limit(max_labels + 1)
     n, last = first.agg(F.count("*"), F.max("_order")).first()
     held = odd & (F.col("_order") < last) if n > max_labels else odd
@@ -143,7 +145,7 @@ def threshold_of(scored: DataFrame) -> DataFrame:
     return ends.select(F.coalesce(F.least(F.col("g"), (F.col("g") + F.col("j")) / 2), F.col("g"), F.lit(-1e300)).alias("threshold"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, buckets: int | None, max_labels: int) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, buckets: int | None, max_labels: int | None) -> DataFrame:
     """The columns of ``docs`` as ``_0``, ``_1``, ... beside ``COLUMNS``; so no name of the caller's is in the way."""
     own = [f"_{k}" for k in range(len(docs.columns))]
     id, text = (F.col(own[docs.columns.index(c)]) for c in ("doc_id", "text"))
@@ -154,7 +156,8 @@ def judged(docs: DataFrame, labels: DataFrame, buckets: int | None, max_labels:
     trusted = kinds.filter((F.col("_kind") == 1) & ~F.col("_held")).select("_label_id")
     weights = cut(ratios(with_words(marked(texts, trusted)), buckets))
     found = cut(scores(texts, weights, buckets))
-    held = F.broadcast(kinds.filter("_held"))  # at most max_labels rows of 17 bytes
+    held = kinds.filter("_held")
+    held = F.broadcast(held) if held.count() <= MAX_BROADCAST else held
     again = texts.join(held, F.col("_id") == F.col("_label_id")).select("_id", "_hash", "_kind")
     least = threshold_of(again.join(found, ["_id", "_hash"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))).first()[0]
     # A row of its own makes the statistics: a filter on them stays above it, where it would otherwise be moved below the
@@ -165,7 +168,7 @@ def judged(docs: DataFrame, labels: DataFrame, buckets: int | None, max_labels:
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least)).select(*own, *COLUMNS)
 
 
-def quality(docs: DataFrame, labels: DataFrame, buckets: int | None = None, max_labels: int = MAX_LABELS) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, buckets: int | None = None, max_labels: int | None = None) -> DataFrame:
     """``docs`` with the base statistics, ``score`` and ``kept``.
 
     The score is the mean ratio over a text's n-grams; a text without words has

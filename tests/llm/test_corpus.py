@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 
 import brute
 import duckdb
@@ -69,6 +70,29 @@ def test_ratios_grow_with_the_corpus(spark, docs, texts, labels):
         assert got[i] == pytest.approx(want, abs=2e-6)
 
 
+def test_every_label_is_counted_or_judged_by(spark):
+    labels = spark.range(40_000).select(F.col("id").alias("doc_id"), (F.col("id") % 4 > 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    kinds = {r["_label_id"]: (r["_kind"], r["_held"]) for r in quality.label_kinds(labels).collect()}
+    assert kinds == {i: (int(i % 4 > 0), brute.signed(brute.spark_xx(i, 42)) % 2 == 1) for i in range(40_000)}
+    assert sum(held for _, held in kinds.values()) > 19_000
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """24,000 short documents, all labelled, and their texts and labels."""
+    pick = random.Random(3)
+    texts = {i: " ".join(pick.choice("abcdefgh") + pick.choice("klmn") for _ in range(12)) for i in range(24_000)}
+    labels = {i: (int(i % 4 > 0), 0) for i in texts}
+    return texts, labels, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame([(i, *v) for i, v in labels.items()], "doc_id long, quality int, toxic int")
+
+
+def test_threshold_comes_from_all_labels_held_back(many):
+    texts, labels, docs, table = many
+    want = {i for i, (_, kept) in brute.quality(texts, labels, quality.BUCKETS).items() if kept}
+    assert {r["doc_id"] for r in quality.quality(docs, table, quality.BUCKETS).filter("kept").collect()} == want
+    assert {r["doc_id"] for r in quality.quality(docs, table, quality.BUCKETS, 10_000).filter("kept").collect()} != want
+
+
 @pytest.mark.parametrize("n", [0, 1, 4, 5, 6, 30])
 def test_repeats_of_short_texts(spark, n):
     rows = [(i, t) for i, t in enumerate([" ".join(["a"] * n), " ".join("abcde"[k % 5] for k in range(n)), "\n".join(["x y"] * n)])]

@@ -31,7 +31,6 @@ from flowlens.llm.common import cut, words
 
 BUCKETS = 1 << 16
 PER_ROOT = 32
-MAX_LABELS = 10_000
 #: Trusted ids, ids held back, and ratios of buckets, that are sent to every executor at most, 16 bytes a row; more of them meet texts, and n-grams, dealt by key.
 MAX_BROADCAST = 2_000_000
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
@@ -180,6 +179,6 @@ def quality(docs: DataFrame, labels: DataFrame, buckets: int | None = None, max_
     return judged(docs, labels, buckets, max_labels).select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns) if c not in COLUMNS), *COLUMNS)
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, buckets: int | None = None, max_labels: int = MAX_LABELS) -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame, buckets: int | None = None, max_labels: int | None = None) -> DataFrame:
     """The rows of ``docs`` that :func:`quality` keeps, all their columns as they are."""
     return judged(docs, labels, buckets, max_labels).filter("kept").select(*(f"_{k}" for k in range(len(docs.columns)))).toDF(*docs.columns)

@@ -93,6 +93,13 @@ def test_threshold_comes_from_all_labels_held_back(many):
     assert {r["doc_id"] for r in quality.quality(docs, table, quality.BUCKETS, 10_000).filter("kept").collect()} != want
 
 
+def test_first_stage_of_the_pipeline_uses_all_labels(spark, many, tmp_path):
+    texts, labels, docs, table = many
+    table.write.parquet(f"{tmp_path}/labels.parquet")
+    want = {i for i, (_, kept) in brute.quality(texts, labels, quality.BUCKETS).items() if kept}
+    assert {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()} == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 4, 5, 6, 30])
 def test_repeats_of_short_texts(spark, n):
     rows = [(i, t) for i, t in enumerate([" ".join(["a"] * n), " ".join("abcde"[k % 5] for k in range(n)), "\n".join(["x y"] * n)])]
